@@ -217,14 +217,31 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _with_component(_with_component(pairs, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
 
 
+def _sets(k: int):
+    """(class_id, members): 32 bits of the hash of each shingle, sorted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = _Words()
+        for part in batches:
+            found = [np.unique((_hashed(words_of(t), k, memo) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in part["text"]]
+            yield pd.DataFrame({"class_id": part["doc_id"], "members": found})
+
+    return run
+
+
 def _blocks(percent: int, miss: float):
-    """Pairs of different components within a block that share this band first and survive."""
+    """Pairs of different components within a block that share this band first, survive, and whose hashed sets are near enough.
+
+    Two shingles with equal 32 bits can lower a count by one; the bound allows for it, and
+    the full sets decide afterwards.
+    """
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (key, lo, hi), block in cell.groupby(["key", "lo", "hi"], sort=False):
             ids, comp, n = (block[c].to_numpy() for c in ("class_id", "comp", "n_shingles"))
             sketch, chunk = _matrix(block["sketch"]), block["chunk"].to_numpy()
+            sets = [np.frombuffer(x, np.uint32) for x in block["members"]]
             values, counts = np.unique(comp, return_counts=True)
             rest, band = comp != values[counts.argmax()], (int(key) >> 56) & 0xFF
             for i in np.flatnonzero(rest):
@@ -238,9 +255,16 @@ def _blocks(percent: int, miss: float):
                     continue
                 alike = (sketch[j] == sketch[i]).reshape(len(j), BANDS, ROWS).all(axis=2)
                 j = j[alike.argmax(axis=1) == band]
-                at, matches = surviving(np.broadcast_to(sketch[i], (len(j), HASHES)), sketch[j], percent / 100, miss)
-                out += [(min(ids[i], x), max(ids[i], x), m) for x, m in zip(ids[j[at]], matches, strict=True)]
-        return pd.DataFrame(out, columns=["a", "b", "matches"])
+                j = j[surviving(np.broadcast_to(sketch[i], (len(j), HASHES)), sketch[j], percent / 100, miss)[0]]
+                if not len(j):
+                    continue
+                size = np.array([len(sets[x]) for x in j])
+                others = np.concatenate([sets[x] for x in j])
+                at = np.minimum(np.searchsorted(sets[i], others), len(sets[i]) - 1)
+                both = np.add.reduceat((sets[i][at] == others).astype(np.int64), np.cumsum(size) - size)
+                near = 100 * (both + 1) >= percent * (size + len(sets[i]) - both)
+                out += [(min(ids[i], x), max(ids[i], x)) for x in ids[j[near]]]
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
@@ -300,8 +324,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     member = _with_component(shared.select("key", "class_id"), labels, "class_id", "comp")
     mixed = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     opened = cut(member.join(mixed, "key"), "open")
-    cells = grid(opened, "key", "class_id", 1024, 20_000).join(reps, "class_id").select("key", "class_id", "comp", "n_shingles", "sketch", "chunk", "lo", "hi", "cell")
-    late = cut(cells.groupBy("cell").applyInPandas(_blocks(percent, miss), "a long, b long, matches int").select("a", "b").distinct().join(likely, ["a", "b"], "left_anti"), "late")
+    sets = texts.join(opened.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(_sets(k), "class_id long, members binary")
+    cells = grid(opened, "key", "class_id", 1024, 20_000).join(reps.join(sets, "class_id"), "class_id")
+    cells = cells.select("key", "class_id", "comp", "n_shingles", "sketch", "members", "chunk", "lo", "hi", "cell")
+    late = cut(cells.groupBy("cell").applyInPandas(_blocks(percent, miss), "a long, b long").distinct().join(likely, ["a", "b"], "left_anti"), "late")
     last = cut(_exact(late, texts, k, percent), "links")
     labels = components(links.union(rest).union(last))
     for table in (shared, texts, opened, likely, late, reps):
