@@ -117,7 +117,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 ["doc_id", "n_shingles", "hi", "lo", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SKETCH)
+    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -284,6 +284,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     Candidates share one of 48 bands of 7 hashes: a pair at similarity 0.8 is
     missed with probability 1.2e-5, at 0.85 with 6e-9.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not _repeats(rows):
+        return _near(rows, k, percent, miss)
+    # ids that repeat: rows get ids of their own, and a document's rows are tied together afterwards
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    own = rows.where("doc_id is not null")
+    found = cut(_near(own.select(F.col("row").alias("doc_id"), "text"), k, percent, miss).distinct(), "rows")
+    tied = own.join(found.select(F.col("doc_id").alias("row"), "n_shingles", "component_id"), "row").select("doc_id", "n_shingles", F.xxhash64("component_id", F.lit("rows")).alias("c"))
+    tied = cut(tied, "tied")
+    labels = components(tied.select(F.col("c").alias("src"), F.xxhash64("doc_id", F.lit("ids")).alias("dst")).distinct())
+    whole = tied.join(labels.select(F.col("id").alias("c"), F.col("component_id").alias("label")), "c")
+    least = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    given = whole.join(least, "label").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return given.union(_near(rows.where("doc_id is null").select("doc_id", "text"), k, percent, miss))
+
+
+def _near(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """:func:`near_duplicates` of rows (doc_id, text) whose ids don't repeat."""
     all_rows = cut(sketches(docs, k), "sketches")
     classes = cut(all_rows.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id")), "classes")
     first = classes.select("class_id").where("class_id is not null")
@@ -291,14 +309,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         all_rows.join(first.withColumnRenamed("class_id", "doc_id"), "doc_id", "left_semi")
         .join(classes, ["hi", "lo"])
         .where("doc_id = class_id")
-        .select("class_id", "n_shingles", "sketch")
-        .dropDuplicates(["class_id", "n_shingles", "sketch"]),
+        .select("class_id", "n_shingles", "sketch"),
         "reps",
     )
-    # rows that repeat an id under different texts are linked by that id
-    same_id = all_rows.where("hi is not null").join(classes, ["hi", "lo"]).where("doc_id <> class_id").select(F.col("doc_id").alias("src"), F.col("class_id").alias("dst"))
-    reused = same_id.join(first.withColumnRenamed("class_id", "src"), "src", "left_semi")
-
     banded = reps.select("class_id", "sketch").mapInPandas(_banded, "key long, class_id long")
     mask = F.xxhash64("key")
     hubs = (
@@ -309,13 +322,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     likely = cut(_bayes(pairs, reps, percent, miss), "likely")
 
     wanted = shared.select(F.col("class_id").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    texts = cut(texts.dropDuplicates(["doc_id"]) if _repeats(all_rows) else texts, "texts")
+    texts = cut(docs.join(wanted, "doc_id", "left_semi"), "texts")
 
     # each class's most alike partner first: most of the other pairs then join nothing new
     ends = likely.select(F.col("a").alias("id"), "a", "b", "matches").union(likely.select(F.col("b").alias("id"), "a", "b", "matches"))
     best = ends.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("matches", F.col("a") + F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
-    links = cut(_exact(best, texts, k, percent).union(reused), "links")
+    links = cut(_exact(best, texts, k, percent), "links")
     labels = components(links)
     rest = cut(_exact(_across(likely, labels).join(best, ["a", "b"], "left_anti"), texts, k, percent), "links")
     labels = components(links.union(rest))
