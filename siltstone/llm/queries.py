@@ -5,17 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import minhash
+from siltstone.llm import bpe, minhash, token_counts, toxicity
+from siltstone.llm.tokens import public_path
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2, percent=80)
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_path("byte_bpe_50k.json"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_minhash_near_dedup,)
+    for f in (op2_minhash_near_dedup, op5_bpe_codec, op9_token_counts, op10_toxicity)
 }
 
 #: DuckDB SQL of the queries that SQL expresses at whole-table size.
