@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, minhash, token_counts, toxicity
+from siltstone.llm import bpe, chat, html, licenses, minhash, mixing, token_counts, toxicity
 from siltstone.llm.tokens import public_path
 
 
@@ -15,6 +15,17 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2, percent=80)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    text = F.lit("</s>[INST] ok [/INST]")
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    return chat.window_digests(chat.chat_windows(turns.union(odd), public_path("byte_bpe_50k.json")))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_path("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
@@ -26,6 +37,21 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        F.size("licenses").cast("long").alias("n_found"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("licenses.license"))), ",").alias("licenses"),
+        F.round(F.array_max(F.col("licenses.dice")), 6).alias("best_dice"),
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_path("byte_bpe_50k.json"))
 
@@ -36,7 +62,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_minhash_near_dedup, op5_bpe_codec, op9_token_counts, op10_toxicity)
+    for f in (
+        op2_minhash_near_dedup,
+        op3_chat_format,
+        op4_source_mixing,
+        op5_bpe_codec,
+        op7_html_main_text,
+        op8_license_scan,
+        op9_token_counts,
+        op10_toxicity,
+    )
 }
 
 #: DuckDB SQL of the queries that SQL expresses at whole-table size.
