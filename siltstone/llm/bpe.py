@@ -85,10 +85,8 @@ def _plain(path: str):
         for batch in batches:
             at = 0
             for group in small_groups(batch.column(1).to_pylist()):
-                codes = pieces.encode(group)
-                offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
-                flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+                flat, offsets = pieces.encode(group)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
                 at += len(group)
 
     return run

@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-_KEEP = 400_000  # pieces that a worker keeps
+_KEEP = 1_200_000  # pieces that a worker keeps; it forgets when half full
 _ASCII_SPACE = " \\t\\n\\r\\x0b\\x0c"
 #: White space to Unicode and to the tokenizers, but not in the ASCII class above.
 _OTHER_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -41,6 +41,22 @@ def tokenizer(path: str):
     return own
 
 
+#: ASCII signs that no pattern joins to a letter before them, and that no special string begins or ends with.
+_SIGNS = ".,!?;:$%&*#"
+
+
+class _Slots(dict):
+    """piece -> its number; asking for an unknown piece numbers it and notes it as new."""
+
+    def __init__(self) -> None:
+        self.new: list = []
+
+    def __missing__(self, piece) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Pieces:
     """Encodes texts by their pieces.
 
@@ -53,8 +69,52 @@ class Pieces:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict = {}
-        self.ids, self.size = [], np.zeros(0, np.int64)
+        self.slot = _Slots()
+        self.start, self.size, self.uses = (np.zeros(_KEEP + 1, np.int64) for _ in range(3))
+        self.pool, self.filled = np.zeros(_KEEP * 4, np.int32), 0
+
+    def _evict(self) -> None:
+        """Forget the pieces met once; all of them if most were met more often."""
+        old, start, size, uses, pool = self.slot, self.start, self.size, self.uses, self.pool
+        kept = [(piece, i) for piece, i in old.items() if uses[i] > 1]
+        self._clear()
+        if len(kept) < _KEEP // 4:
+            was = np.array([i for _, i in kept], np.int64)
+            for piece, _ in kept:
+                self.slot[piece]
+            self.slot.new.clear()
+            self._put(np.arange(len(kept)), size[was], _gathered(pool, start[was], size[was]))
+
+    def _put(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Store the ids of several pieces, which stand one behind the other."""
+        while len(self.slot) > len(self.start):
+            self.start, self.size, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.uses))
+        while self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.start[numbers], self.size[numbers] = self.filled + np.cumsum(sizes) - sizes, sizes
+        self.filled += len(ids)
+
+    def _learn(self) -> None:
+        """Encode the new pieces; a word with signs behind it is the word and the signs."""
+        new, self.slot.new = self.slot.new, []
+        parts, signs = [], _SIGNS if self.spaced else _SIGNS.encode()
+        for piece in new:
+            word = piece.rstrip(signs)
+            last = word[-1:] if self.spaced else word[-4:].decode(errors="ignore")[-1:]
+            if len(word) < len(piece) and last.isalpha():
+                parts.append((self.slot[piece], self.slot[word], self.slot[piece[len(word) :]]))
+        whole = {n for n, _, _ in parts}
+        asked = [x for x in new if self.slot[x] not in whole] + self.slot.new
+        self.slot.new = []
+        codes = [c.ids for c in self.own.encode_batch_fast([x if self.spaced else x.decode() for x in asked], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+        numbers = np.fromiter(map(self.slot.__getitem__, asked), np.int64, len(asked))
+        self._put(numbers, sizes, np.fromiter(chain.from_iterable(codes), np.int32, int(sizes.sum())))
+        if parts:
+            n, word, tail = np.array(parts, np.int64).T
+            both = np.stack([word, tail], axis=1).ravel()
+            self._put(n, self.size[word] + self.size[tail], _gathered(self.pool, self.start[both], self.size[both]))
 
     def _split(self, text: str) -> list:
         if not self.spaced:
@@ -63,30 +123,36 @@ class Pieces:
             return [text]
         return _PIECE.findall(text)
 
-    def _slots(self, texts: list[str]) -> list[np.ndarray]:
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all pieces in order, and how many each text has."""
+        if len(self.slot) > _KEEP // 2:
+            self._evict()
         split = [self._split(t) for t in texts]
-        new = list(set(chain.from_iterable(split)) - self.slot.keys())
-        if len(self.slot) + len(new) > _KEEP:
-            self._clear()
-            new = list(set(chain.from_iterable(split)))
-        if new:
-            codes = self.own.encode_batch_fast([x if self.spaced else x.decode() for x in new], add_special_tokens=False)
-            self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
-            self.ids += [np.array(c.ids, np.int32) for c in codes]
-            self.size = np.concatenate([self.size, [len(c.ids) for c in codes]]).astype(np.int64)
-        return [np.fromiter(map(self.slot.__getitem__, x), np.int64, len(x)) for x in split]
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+        if self.slot.new:
+            self._learn()
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        return numbers, lengths
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
-        return [int(self.size[s].sum()) for s in self._slots(texts)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        out = []
-        for s in self._slots(texts):
-            parts = [self.ids[i] for i in s.tolist()]
-            out.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
-        return out
+        numbers, lengths = self._numbers(texts)
+        ends = np.concatenate([[0], np.cumsum(self.size[numbers])])
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        return (ends[at[1:]] - ends[at[:-1]]).tolist()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, and where each text's begin (and the last's end)."""
+        numbers, lengths = self._numbers(texts)
+        ends = np.concatenate([[0], np.cumsum(self.size[numbers])])
+        return _gathered(self.pool, self.start[numbers], self.size[numbers]), ends[np.concatenate([[0], np.cumsum(lengths)])]
+
+
+def _gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` at ``start`` of ``size``, one behind the other."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def small_groups(items: list, characters: int = 500_000):
