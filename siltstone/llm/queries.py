@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat, html, licenses, minhash, mixing, token_counts, toxicity
+from siltstone.llm import ann, bpe, chat, html, licenses, minhash, mixing, token_counts, toxicity, vector_dedup
 from siltstone.llm.tokens import public_path
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2, percent=80)
 
@@ -37,6 +42,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -63,10 +72,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_ann_search,
         op2_minhash_near_dedup,
         op3_chat_format,
         op4_source_mixing,
         op5_bpe_codec,
+        op6_vector_dedup,
         op7_html_main_text,
         op8_license_scan,
         op9_token_counts,
