@@ -95,9 +95,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     drawn = lambda n: F.pmod(order, F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30))
     positives = rated.where("toxic = 1").where(drawn(toxic)).select("doc_id", F.lit(True).alias("positive"))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(training_fold())
+    # ``positives`` is a sample of SAMPLE ids, so it may be broadcast
     unlabelled = chosen.where(drawn(everyone * 2 // 3))
     marked = unlabelled.select(F.lit(False).alias("positive"), "text")
-    known = chosen.join(positives, "doc_id").select("positive", "text")
+    known = chosen.join(F.broadcast(positives), "doc_id").select("positive", "text")
     rows = marked.union(known).mapInArrow(_hashed, "positive boolean, slots array<bigint>").toArrow()
     slots = [np.asarray(x.values, np.int64) for x in rows["slots"]]
     flags = rows["positive"].to_pylist()
