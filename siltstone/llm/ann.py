@@ -71,6 +71,7 @@ class Graph:
         """Nearest ``wanted`` centroids of each row and their distances, nearest first, as far as the walk meets them."""
         n, k = len(x), len(self.points)
         wanted = min(wanted, k)
+        beam = min(max(wanted, 24), k)  # the walk goes on from whatever is nearer than so many
         far = np.full((n, k), np.inf)  # distances met so far: rows * CENTROIDS, within one batch
         open_ = np.zeros((n, k), bool)
         rows = np.arange(n)
@@ -90,7 +91,7 @@ class Graph:
             waiting = np.where(open_[rows], far[rows], np.inf)
             best = np.argpartition(waiting, width - 1, axis=1)[:, :width] if width < k else np.tile(np.arange(k), (len(rows), 1))
             near = np.take_along_axis(waiting, best, 1)
-            bound = np.partition(far[rows], wanted - 1, axis=1)[:, wanted - 1]
+            bound = np.partition(far[rows], beam - 1, axis=1)[:, beam - 1]
             going = np.isfinite(near) & (near <= bound[:, None])
             keep = going.any(axis=1)
             at, to = np.repeat(rows, width)[going.ravel()], best[going]
