@@ -2,45 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.storage import cut, fresh_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    ``spark.checkpoint.dir`` is the cluster's setting. Where nobody set one, as
-    in local tests, a temporary folder is made and kept for the session.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the JVM's file system closes."""
-    path = f"{shared_dir(spark).rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages start from files.
-
-    A lost executor then costs no recomputation of what stands before, unlike a
-    local checkpoint.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "cut", "drop", "fresh_path", "grid", "shared_dir"]
 
 
 def drop(df: DataFrame) -> None:
