@@ -69,12 +69,12 @@ def first_of_each(items: Column, key) -> Column:
     return F.transform(kept, lambda x: x["value"])
 
 
-def multivalue(text: Column) -> Column:
+def multivalue(normal: Column) -> Column:
     """Values of a field that lists several, without repeats in another case.
 
-    The text is collapsed first, so line breaks are spaces by then and don't split.
+    ``normal`` is a column of NFKC text: the UDF can't stand inside the array functions. It is collapsed first, so line breaks are spaces by then and don't split.
     """
-    parts = F.filter(F.transform(F.split(normalize_text(text), MULTI_SEPARATORS), meaningful), lambda x: x.isNotNull())
+    parts = F.filter(F.transform(F.split(meaningful(normal), MULTI_SEPARATORS), meaningful), lambda x: x.isNotNull())
     return F.coalesce(first_of_each(parts, F.lower), F.array().cast("array<string>"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import core, texts
+from siltstone.plans import core, entities, texts
 
-_MODULES = (core, texts)
+_MODULES = (core, texts, entities)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.QUERIES.sql.items()}
