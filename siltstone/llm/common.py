@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.graph import connected_components as components
 from siltstone.storage import cut, fresh_path, shared_dir
 
 __all__ = ["components", "cut", "drop", "fresh_path", "grid", "shared_dir"]
@@ -18,37 +19,6 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Smallest id reachable from each node: ``edges`` (src, dst) -> (id, component_id).
-
-    Undirected; nodes without an edge don't appear. Each round takes the
-    smallest label among the neighbours and then follows labels once
-    (pointer jumping), so a chain of length n settles in about log n rounds.
-    Neighbours' labels are pre-aggregated before the shuffle, so a hub with a
-    third of all edges costs each task one row.
-    """
-    both = cut(
-        edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select(F.col("dst"), F.col("src"))).distinct(),
-        "edges",
-    )
-    labels = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.col("id")).alias("component_id")), "labels")
-    while True:
-        near = (
-            both.join(labels.select(F.col("id").alias("dst"), "component_id"), "dst")
-            .groupBy(F.col("src").alias("id"))
-            .agg(F.min("component_id").alias("near"))
-        )
-        step = labels.join(near, "id").select("id", F.col("component_id").alias("was"), F.least("component_id", "near").alias("now"))
-        root = labels.select(F.col("id").alias("now"), F.col("component_id").alias("root"))
-        after = cut(step.join(root, "now").select("id", "was", F.least("now", "root").alias("component_id")), "labels")
-        settled = after.where("component_id <> was").isEmpty()
-        drop(labels)
-        labels = after.select("id", "component_id")
-        if settled:
-            drop(both)
-            return labels
-
-
 def grid(members: DataFrame, key: str, item: str, cap: int, cell_rows: int) -> DataFrame:
     """Deal the members of each ``key`` out to bounded cells that meet every pair once.
 

@@ -212,6 +212,17 @@ def _with_component(df: DataFrame, labels: DataFrame, column: str, name: str) ->
     return df.join(mine, column, "left").withColumn(name, F.coalesce(name, column))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: only the components that these join are walked again."""
+    ends = _with_component(_with_component(links, labels, "src", "cs"), labels, "dst", "cd")
+    ends = cut(ends.select("src", "dst", "cs", "cd"), "ends")
+    up = components(ends.select(F.col("cs").alias("src"), F.col("cd").alias("dst")).where("src <> dst").distinct())
+    fresh = ends.select(F.col("src").alias("id")).union(ends.select("dst")).distinct().join(labels, "id", "left_anti")
+    every = labels.select("id", F.col("component_id").alias("c")).union(fresh.select("id", F.col("id").alias("c")))
+    moved = every.join(up.select(F.col("id").alias("c"), "component_id"), "c", "left")
+    return cut(moved.select("id", F.coalesce("component_id", "c").alias("component_id")), "labels")
+
+
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components so far."""
     return _with_component(_with_component(pairs, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
@@ -329,8 +340,10 @@ def _near(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
     best = ends.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("matches", F.col("a") + F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
     links = cut(_exact(best, texts, k, percent), "links")
     labels = components(links)
-    rest = cut(_exact(_across(likely, labels).join(best, ["a", "b"], "left_anti"), texts, k, percent), "links")
-    labels = components(links.union(rest))
+    across = cut(_across(likely, labels).join(best, ["a", "b"], "left_anti"), "across")
+    lead = across.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p")).select("p.a", "p.b")
+    labels = _joined(labels, _exact(lead, texts, k, percent))
+    labels = _joined(labels, _exact(_across(across.select("a", "b"), labels), texts, k, percent))
 
     # every other pair of different components that shares a band, block by block
     member = _with_component(shared.select("key", "class_id"), labels, "class_id", "comp")
@@ -340,9 +353,8 @@ def _near(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
     cells = grid(opened, "key", "class_id", 1024, 20_000).join(reps.join(sets, "class_id"), "class_id")
     cells = cells.select("key", "class_id", "comp", "n_shingles", "sketch", "members", "chunk", "lo", "hi", "cell")
     late = cut(cells.groupBy("cell").applyInPandas(_blocks(percent, miss), "a long, b long").distinct().join(likely, ["a", "b"], "left_anti"), "late")
-    last = cut(_exact(late, texts, k, percent), "links")
-    labels = components(links.union(rest).union(last))
-    for table in (shared, texts, opened, likely, late, reps):
+    labels = _joined(labels, _exact(late, texts, k, percent))
+    for table in (shared, texts, opened, likely, across, late, reps):
         drop(table)
 
     component = _with_component(classes.where("class_id is not null"), labels, "class_id", "component_id")
