@@ -56,6 +56,15 @@ def _template_words(text: str) -> list[str]:
     return out
 
 
+def template_pairs(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    """Licence and sorted distinct bigrams of each template."""
+    out = []
+    for name, text in templates:
+        words = _template_words(text)
+        out.append((name, sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}) or words))
+    return out
+
+
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, dice: float = DICE) -> DataFrame:
     """doc_id, n_lines, licenses for each row of ``docs`` (doc_id, text).
 
@@ -67,11 +76,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
 
     No shuffle: templates are literals, so each row is scanned where it is read.
     """
-    known = []
-    for name, text in templates or TEMPLATES:
-        words = _template_words(text)
-        pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}) or words
-        known.append((name, pairs))
+    known = template_pairs(templates or TEMPLATES)
     least = min(len(p) for _, p in known)
     most = max(len(p) for _, p in known)
     low, ratio = least * dice / (2 - dice), (2 - dice) / dice

@@ -85,5 +85,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+def _license_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({quoted(n)}, [{', '.join(map(quoted, p))}])" for n, p in licenses.template_pairs(licenses.TEMPLATES))
+    dotted = "regexp_replace(regexp_replace(s, '([0-9])\\.([0-9])', '\\1·\\2', 'g'), '([0-9])\\.([0-9])', '\\1·\\2', 'g')"
+    return f"""
+        WITH t(name, pairs) AS (VALUES {templates}),
+        u AS (SELECT doc_id, text, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS parts FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+        x AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS line FROM u UNION ALL SELECT doc_id, text, 0 FROM u WHERE len(parts) > 1),
+        w AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower({dotted}), '[^\\p{{L}}\\p{{N}}·]+', ' ', 'g')), ' ') AS words FROM x),
+        p AS (SELECT doc_id, line, CASE WHEN len(words) > 1 THEN list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) ELSE words END AS pairs FROM w WHERE words[1] <> ''),
+        m AS (SELECT doc_id, line, name, max(2.0::DOUBLE * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs))) AS d FROM p CROSS JOIN t WHERE len(p.pairs) <= 40 GROUP BY ALL),
+        f AS (SELECT doc_id, count(*) AS n_found, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, round(max(d), 6) AS best_dice FROM m WHERE d >= {licenses.DICE} GROUP BY doc_id)
+        SELECT u.doc_id, CAST(len(parts) AS BIGINT) AS n_lines, coalesce(n_found, 0) AS n_found, coalesce(licenses, '') AS licenses, best_dice FROM u LEFT JOIN f USING (doc_id)"""
+
+
 #: DuckDB SQL of the queries that SQL expresses at whole-table size.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_vector_dedup": """
+        WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+        r(id, c) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.c),
+        c AS (SELECT id, min(c) AS component_id FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op8_license_scan": _license_sql(),
+}
