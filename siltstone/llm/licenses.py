@@ -32,11 +32,9 @@ TEMPLATES = [
 DICE = 0.9
 
 
-def normalised_words(text: Column) -> Column:
-    """Words of a line: lower case, runs of letters and digits, with dots between digits kept."""
-    lower = F.lower(F.regexp_replace(text, r"(?<=\d)\.(?=\d)", "·"))
-    clean = F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}·]+", " "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+def normalised(text: Column) -> Column:
+    """Lower case, runs of letters and digits, dots between digits and line breaks kept, the rest as single spaces."""
+    return F.regexp_replace(F.lower(F.regexp_replace(text, r"(?<=\d)\.(?=\d)", "·")), r"[^\p{L}\p{N}·\n]+", " ")
 
 
 def bigrams(words: Column) -> Column:
@@ -83,15 +81,16 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     table = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, p)).alias("pairs")) for n, p in known])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), lines.alias("parts"))
-    numbered = F.transform("parts", lambda x, i: F.struct((i + 1).cast("int").alias("line"), x.alias("text")))
-    everything = F.when(F.size("parts") > 1, F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("text")))).otherwise(F.array().cast("array<struct<line:int,text:string>>"))
-    # a bigram takes two characters and the space between at least
-    possible = F.filter(F.concat(everything, numbered), lambda x: F.length(x["text"]) >= int(low))
-    worded = F.transform(possible, lambda x: F.struct(x["line"].alias("line"), normalised_words(x["text"]).alias("words")))
-    # distinct bigrams are at most words - 1; a text of many repeats can be small, so only its set's size bounds it above
-    sized = F.filter(worded, lambda x: F.greatest(F.size(x["words"]) - 1, F.lit(1)) >= low)
+    clean = normalised(text)
+    lines = F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, "\n"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("parts"))
+    worded = F.transform("parts", lambda x, i: F.struct((i + 1).cast("int").alias("line"), F.filter(F.split(x, " "), lambda w: w != "").alias("words")))
+    rows = rows.select("doc_id", F.size("parts").cast("long").alias("n_lines"), worded.alias("worded"))
+    everything = F.struct(F.lit(0).alias("line"), F.flatten(F.transform("worded", lambda x: x["words"])).alias("words"))
+    units = F.when(F.size("worded") > 1, F.concat(F.array(everything), "worded")).otherwise(F.col("worded"))
+    # w words make w - 1 bigrams at most, and d distinct words d - 1 distinct bigrams at least
+    sized = F.filter(units, lambda x: (F.greatest(F.size(x["words"]) - 1, F.lit(1)) >= low) & (F.size(x["words"]) > 0))
+    sized = F.filter(sized, lambda x: (F.size(x["words"]) <= most * ratio) | (F.size(F.array_distinct(x["words"])) - 1 <= most * ratio))
     paired = F.transform(sized, lambda x: F.struct(x["line"].alias("line"), bigrams(x["words"]).alias("pairs")))
     bounded = F.filter(paired, lambda x: (F.size(x["pairs"]) <= most * ratio) & (F.size(x["pairs"]) >= low))
 
@@ -110,5 +109,5 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     matched = F.array_sort(F.flatten(F.transform(bounded, against)))
     # sorted ascending: of one line and licence the last value is the best
     best = F.filter("matches", lambda m, i: (i + 1 >= F.size("matches")) | F.coalesce((F.get("matches", i + 1)["line"] != m["line"]) | (F.get("matches", i + 1)["license"] != m["license"]), F.lit(True)))
-    found = rows.select("doc_id", F.size("parts").cast("long").alias("n_lines"), matched.alias("matches"))
+    found = rows.select("doc_id", "n_lines", matched.alias("matches"))
     return found.select("doc_id", "n_lines", best.alias("licenses"))
