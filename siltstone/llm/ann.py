@@ -122,20 +122,26 @@ def _assigned(graph: Graph, most: float):
     return run
 
 
-def _probes(graph: Graph, sizes: np.ndarray, top: int, width: int):
-    """(query, q, list): the lists that a query reads."""
+def _probes(graph: Graph, sizes: np.ndarray, top: int):
+    """(query, q, list): the lists that a query reads.
+
+    The walk asks for more centroids as long as the farthest that it found still is to be read.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for at in range(0, len(part), 256):
-                few = part.iloc[at : at + 256]
-                x = matrix(few["v"])
-                lists, far = graph.search(np.hstack([x, np.zeros((len(x), 1))]), width)
-                held = np.cumsum(sizes[lists], axis=1) - sizes[lists]
-                # at least so many lists that enough candidates are in them, whatever their distance
-                read = (far <= RATIO * far[:, :1] + 1e-12) | (held <= 4 * top)
-                rows = np.repeat(np.arange(len(few)), read.sum(axis=1))
-                yield pd.DataFrame({"query_id": few["id"].to_numpy()[rows], "q": few["v"].to_numpy()[rows], "list": lists[read].astype(np.int32)})
+                few, width = part.iloc[at : at + 256], 64
+                while len(few):
+                    x = matrix(few["v"])
+                    lists, far = graph.search(np.hstack([x, np.zeros((len(x), 1))]), width)
+                    held = np.cumsum(sizes[lists], axis=1) - sizes[lists]
+                    # at least so many lists that enough candidates are in them, whatever their distance
+                    read = (far <= RATIO * far[:, :1] + 1e-12) | (held <= 4 * top)
+                    done = ~read[:, -1] | (lists.shape[1] == len(graph.points))
+                    rows = np.repeat(np.flatnonzero(done), read[done].sum(axis=1))
+                    yield pd.DataFrame({"query_id": few["id"].to_numpy()[rows], "q": few["v"].to_numpy()[rows], "list": lists[done][read[done]].astype(np.int32)})
+                    few, width = few[~done], width * 4
 
     return run
 
@@ -209,7 +215,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, sample: int =
     held = placed.groupBy("list").agg(F.count(F.when(F.col("first"), 1)).alias("own"), F.count(F.lit(1)).alias("n"))
     for r in held.collect():  # a row a centroid: CENTROIDS at most
         sizes[r["list"]] = r["own"]
-    probes = cut(asked.mapInPandas(_probes(graph, sizes, top, len(graph.points)), "query_id long, q array<double>, list int"), "probes")
+    probes = cut(asked.mapInPandas(_probes(graph, sizes, top), "query_id long, q array<double>, list int"), "probes")
 
     # blocks: a list in parts of PART rows, its queries in parts of QUERIES; each part of one meets each of the other
     loads = held.select("list", F.ceil(F.col("n") / PART).cast("int").alias("parts")).join(
