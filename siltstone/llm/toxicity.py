@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-SAMPLE = 12_000  # positives, and unlabelled texts, that a fit draws at most (as the mean of a hash sample)
+SAMPLE = 6_000  # positives, and unlabelled texts, that a fit draws at most (as the mean of a hash sample)
 FEATURES = 3_000  # distinct features kept of one sampled text, those of smallest hash, for the fit alone
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
