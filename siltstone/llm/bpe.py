@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from siltstone.llm.tokens import Pieces, small_groups, tokenizer
 LEAF = 4096  # characters of a leaf; longer runs without ASCII space are long unsplit text
 _WINDOW = 64
 _AGREE = 3
+_ROWS = 64  # texts decoded at a time
 
 Token = tuple[int, int, int]  # start, end (in characters of the text), id
 
@@ -149,13 +151,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         own = tokenizer(path)
         names = None
         if own.decoder is None:
-            size = own.get_vocab_size(with_added_tokens=True)
-            names = [own.id_to_token(i) for i in range(size)].__getitem__
-        at = encoded_columns.index("ids")
+            names = pa.array([own.id_to_token(i) for i in range(own.get_vocab_size(with_added_tokens=True))], pa.string())
         for batch in batches:
-            ids = batch.column(at)
-            texts = [None if not x.is_valid else " ".join(map(names, x.values.to_pylist())) if names else own.decode(x.as_py(), skip_special_tokens=False) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*encoded_columns, "decoded"])
+            for at in range(0, len(batch), _ROWS):
+                few = batch.slice(at, _ROWS)
+                ids = few.column(kept.index("ids"))
+                texts = _spaced(ids, names) if names is not None else [own.decode(x.as_py(), skip_special_tokens=False) if x.is_valid else None for x in ids]
+                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(texts, pa.string())], [*kept, "decoded"])
 
-    encoded_columns = kept
     return encoded.select(kept).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(kept).schema) + ", decoded string")
+
+
+def _spaced(ids: pa.ListArray, names: pa.Array) -> pa.Array:
+    """The tokens of each list of ids, joined by spaces."""
+    first, last = ids.offsets[0].as_py(), ids.offsets[-1].as_py()
+    tokens = names.take(ids.values.slice(first, last - first))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), tokens), " ")
+    return pc.if_else(ids.is_valid(), joined, None)
