@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from siltstone.llm.common import cut, drop
+
 SAMPLE = 6_000  # positives, and unlabelled texts, that a fit draws at most (as the mean of a hash sample)
-FEATURES = 3_000  # distinct features kept of one sampled text, those of smallest hash, for the fit alone
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _KEEP = 400_000
@@ -65,10 +66,22 @@ def _slots(text: str | None, memo: _Memo) -> set[int]:
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = _Memo()
     for batch in batches:
-        found = []
-        for text in batch.column(1):
-            found.append(np.array(sorted(_slots(text.as_py(), memo))[:FEATURES], np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["positive", "slots"])
+        for flag, text in zip(batch.column(0), batch.column(1), strict=True):
+            found = np.fromiter(_slots(text.as_py(), memo), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.repeat(flag, len(found)), pa.array(found)], ["positive", "slot"])
+
+
+def _told(telling: list[int]):
+    """Which telling features each text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = dict.fromkeys(telling, 0.0)
+        memo = _Memo(wanted)
+        for batch in batches:
+            found = [sorted(i for i in _slots(text.as_py(), memo) if i in wanted) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["positive", "slots"])
+
+    return run
 
 
 def training_fold(doc_id: str = "doc_id"):
@@ -99,34 +112,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     unlabelled = chosen.where(drawn(everyone * 2 // 3))
     marked = unlabelled.select(F.lit(False).alias("positive"), "text")
     known = chosen.join(F.broadcast(positives), "doc_id").select("positive", "text")
-    rows = marked.union(known).mapInArrow(_hashed, "positive boolean, slots array<bigint>").toArrow()
-    slots = [np.asarray(x.values, np.int64) for x in rows["slots"]]
-    flags = rows["positive"].to_pylist()
-    return _minimise([x for x, f in zip(slots, flags, strict=True) if f], [x for x, f in zip(slots, flags, strict=True) if not f], prior)
+    texts = cut(marked.union(known), "sampled")
+    many = dict(texts.groupBy("positive").agg(F.count(F.lit(1))).collect())
+    telling = _telling(texts, many.get(True, 0), many.get(False, 0), prior)
+    rows = texts.mapInArrow(_told(telling), "positive boolean, slots array<bigint>").toArrow()
+    drop(texts)
+    # in an order of their own: sums of the fit then don't depend on the order of files
+    pairs = sorted(zip(rows["positive"].to_pylist(), rows["slots"].to_pylist(), strict=True))
+    return _minimise(telling, [x for f, x in pairs if f], [x for f, x in pairs if not f], prior)
 
 
-def _telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
+def _telling(texts: DataFrame, positive: int, unlabelled: int, prior: float) -> list[int]:
     """Sorted features of which, one deviation under their count in positives, half the texts are still toxic.
 
-    That share is prior * P(feature | positive) / P(feature), by Bayes.
+    That share is prior * P(feature | positive) / P(feature), by Bayes. ``texts``
+    (positive, text) are counted whole, a feature once a text, in Spark; only the
+    features that tell come to the driver.
     """
-    names, p = np.unique(np.concatenate(positive), return_counts=True)
-    names, p = names[p >= 3], p[p >= 3].astype(float)
-    others = np.concatenate(unlabelled)
-    at = np.searchsorted(names, others)
-    met = np.zeros(0, np.int64) if not len(names) else at[names[np.minimum(at, len(names) - 1)] == others]
-    u = np.bincount(met, minlength=len(names))
-    low = (p - np.sqrt(p)) / len(positive)
-    return names[2 * prior * low >= (u + 1) / len(unlabelled)]
+    if not positive or not unlabelled:
+        return []
+    p, u = F.count_if("positive"), F.count_if(~F.col("positive"))
+    counted = texts.mapInArrow(_hashed, "positive boolean, slot bigint").groupBy("slot").agg(p.alias("p"), u.alias("u")).where("p >= 3")
+    low = (F.col("p") - F.sqrt("p")) / F.lit(float(positive))
+    found = counted.where(F.lit(2 * prior) * low >= (F.col("u") + 1) / F.lit(float(unlabelled))).select("slot").toArrow()
+    return sorted(found["slot"].to_pylist())
 
 
-def _minimise(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-5) -> tuple[dict[int, float], float]:
+def _minimise(telling: list[int], positive: list[list[int]], unlabelled: list[list[int]], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-5) -> tuple[dict[int, float], float]:
     """Adam on the non-negative risk with logistic loss over the telling features."""
     if not positive or not unlabelled:
         return {}, math.log(1e-3)
-    telling = _telling(positive, unlabelled, prior)
-    place = {int(x): i for i, x in enumerate(telling)}
-    slots = [np.array([place[i] for i in x.tolist() if i in place], np.int64) for x in positive + unlabelled]
+    place = {x: i for i, x in enumerate(telling)}
+    slots = [np.array([place[i] for i in x], np.int64) for x in positive + unlabelled]
     flat = np.concatenate(slots)
     row = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
     n, many = len(positive), len(slots)
@@ -143,7 +160,7 @@ def _minimise(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: f
         step = np.append(np.bincount(flat, slope[row], len(telling)), slope.sum()) + decay * w
         mean, spread = 0.9 * mean + 0.1 * step, 0.999 * spread + 0.001 * step**2
         w -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(spread / (1 - 0.999**t)) + 1e-9)
-    return dict(zip(telling.tolist(), w[:-1].tolist(), strict=True)), float(w[-1])
+    return dict(zip(telling, w[:-1].tolist(), strict=True)), float(w[-1])
 
 
 def score(docs: DataFrame, weight: dict[int, float], bias: float, threshold: float = THRESHOLD) -> DataFrame:

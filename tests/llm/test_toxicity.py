@@ -46,6 +46,24 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
     assert fits[0] == fits[1]
 
 
+def test_long_texts_are_counted_whole(spark):
+    long = " ".join(f"{a}{b}{c}" for a in "bcdfghklmnprstvw" for b in ("aro", "eli", "uvi", "omu") for c in ("ka", "lon", "mir", "ter", "sun", "pax", "gol", "dri", "bem", "fos", "wal", "zin", "yor", "qua", "hep", "jut"))
+    marks = [a + b for a in ("xyl", "zog", "quil", "vrek") for b in ("orn", "ath", "isk", "ump", "eld")]  # in each long text, toxic or not
+    ids = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = [(i, f"{long} {' '.join(marks)}{' grobvile' if n % 4 == 0 else ''}") for n, i in enumerate(ids[:120])] + [(i, "lorem plain words grobvile" if n % 4 == 0 else "lorem plain words") for n, i in enumerate(ids[120:240])]
+    labels = [(i, int(n % 4 == 0)) for n, i in enumerate(ids[:240])]
+    D = spark.createDataFrame(docs, "doc_id long, text string")
+    L = spark.createDataFrame(labels, "doc_id long, toxic int")
+    features = len(toxicity._slots(docs[0][1], toxicity._Memo()))
+    assert features > 3000
+    weight, _ = toxicity.fit(D, L)
+    mine = set(toxicity._features("grobvile"))
+    assert set(weight) == mine  # clean words tell nothing; those of toxic texts are all there, whatever their hash
+    texts = D.join(L, "doc_id").selectExpr("toxic = 1 as positive", "text")
+    assert toxicity._telling(texts, 60, 180, 0.25) == sorted(mine)
+    assert {r.predicted for r in toxicity.toxicity(D, L).join(L.where("toxic = 1"), "doc_id").collect()} == {1}
+
+
 def test_without_positives_and_empty(spark):
     docs, _ = corpus(20)
     D = spark.createDataFrame(docs, "doc_id long, text string, lang string")
