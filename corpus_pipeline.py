@@ -7,6 +7,7 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +31,26 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mixing_order(docs)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position``: rises in the order in which the stage before wrote its rows.
+
+    Spark deals files out to tasks by size, so the order is that of part numbers and
+    of rows in a part. A table that is not read from files has the order of its partitions.
+    """
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    try:
+        return docs.select("*", (F.shiftleft(part, 40) + F.col("_metadata.row_index")).alias("position"))
+    except AnalysisException:
+        return docs.withColumn("position", F.monotonically_increasing_id())
+
+
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digest of the text that they decode to."""
+    """Token ids of each document, with the digest of the text that they decode to, sorted by ``position`` in the mixture."""
     path = public_path("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(docs, path), path)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = bpe.decode(bpe.encode(placed(docs), path, carried=("position",)), path)
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "position")
+    # written first: ranges are drawn from a sample, which would encode all texts twice
+    return cut(coded, "coded").repartitionByRange("position").sortWithinPartitions("position")
 
 
 STAGES = [

@@ -81,26 +81,26 @@ def concatenated(own, text: str, leaves: list[list[Token]], spans: list[tuple[in
     return level[0][2]
 
 
-def _plain(path: str):
+def _plain(path: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path, spaced=False)
         for batch in batches:
             at = 0
-            for group in small_groups(batch.column(1).to_pylist()):
+            for group in small_groups(batch.column(len(names)).to_pylist()):
                 flat, offsets = pieces.encode(group)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(group)) for i in range(len(names))), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))], [*names, "ids"])
                 at += len(group)
 
     return run
 
 
-def _by_tree(docs: DataFrame, path: str, leaf: int) -> DataFrame:
+def _by_tree(docs: DataFrame, path: str, leaf: int, names: list[str]) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            for row, doc_id, text in part[["row", "doc_id", "text"]].itertuples(index=False):
+            for row, text, *own in part[["row", "text", *names]].itertuples(index=False):
                 spans = halves(0, len(text), leaf)
                 yield pd.DataFrame({"row": row, "leaf": range(len(spans)), "low": [a for a, _ in spans], "text": [text[a:b] for a, b in spans]}).assign(
-                    doc_id=pd.array([doc_id] * len(spans), "Int64")
+                    **{name: pd.array([x] * len(spans), "Int64") for name, x in zip(names, own, strict=True)}
                 )
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,15 +117,16 @@ def _by_tree(docs: DataFrame, path: str, leaf: int) -> DataFrame:
             at += len(piece)
         leaves = [[tuple(t) for t in np.asarray(x, np.int64).reshape(-1, 3).tolist()] for x in rows["tokens"]]
         ids = [i for _, _, i in concatenated(own, text, leaves, spans)]
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].astype("Int64"), "ids": [np.array(ids, np.int32)]})
+        return pd.DataFrame({name: rows[name].iloc[:1].astype("Int64") for name in names} | {"ids": [np.array(ids, np.int32)]})
 
-    kind = "row long, leaf int, low long, text string, doc_id long"
-    leaves = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInPandas(cut, kind)
+    own_kind = ", ".join(f"{name} long" for name in names)
+    kind = f"row long, leaf int, low long, text string, {own_kind}"
+    leaves = docs.withColumn("row", F.monotonically_increasing_id()).select("row", *names, "text").mapInPandas(cut, kind)
     dealt = leaves.repartition("row", "leaf").mapInPandas(encode, f"{kind}, tokens array<bigint>")
-    return dealt.groupBy("row").applyInPandas(join, "doc_id long, ids array<int>")
+    return dealt.groupBy("row").applyInPandas(join, f"{own_kind}, ids array<int>")
 
 
-def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+def encode(docs: DataFrame, path: str, leaf: int = LEAF, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids for each row of ``docs`` (doc_id, text), as the tokenizers library gives them.
 
     ``path``: file of a word tokenizer that drops white space (a byte-level one
@@ -133,11 +134,12 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     empty text; its ids are an empty list. Special strings inside texts become their
     special ids. Texts are whole, however long; rows that repeat, or have no doc_id,
     return a row each. An empty table gives an empty result; other columns are
-    not read.
+    not read, but for the integer columns ``carried``, which are returned behind doc_id.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    names = ["doc_id", *carried]
+    rows = docs.select(*(F.col(x).cast("long").alias(x) for x in names), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     unsplit = (F.length("text") > leaf) & F.col("text").rlike(rf"[^\x20\x09-\x0D]{{{leaf + 1},}}+")
-    return rows.where(~unsplit).mapInArrow(_plain(path), "doc_id long, ids array<int>").union(_by_tree(rows.where(unsplit), path, leaf))
+    return rows.where(~unsplit).mapInArrow(_plain(path, names), ", ".join(f"{x} long" for x in names) + ", ids array<int>").union(_by_tree(rows.where(unsplit), path, leaf, names))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

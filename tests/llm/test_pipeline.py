@@ -3,7 +3,7 @@
 import hashlib
 
 import corpus_pipeline
-from siltstone.llm import minhash, toxicity
+from siltstone.llm import minhash, mixing, toxicity
 from siltstone.llm.common import cut
 from siltstone.llm.tokens import public_path, tokenizer
 
@@ -50,6 +50,23 @@ def test_stages_keep_columns_and_match_plain_versions(spark):
         assert r.decoded_sha256 == hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_result_is_in_mixing_order(spark):
+    # sizes differ by block, so files are not read by part number; two texts go through the tree
+    rows = [(i, ("lorem ipsum " * (1 + 5 * (i % 97))) if i not in (40, 300) else "ab" * 3000, "en", "big" if i % 4 else f"s{i % 3}", 1) for i in range(400)] + [(7, "again", "en", "big", 1), (None, "no id", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    stages = dict(corpus_pipeline.STAGES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files, however small
+    try:
+        mixed = cut(stages["source_mixing"](spark, docs, SF), "m")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(mixed.inputFiles()) > 1
+    out = stages["bpe_encoding"](spark, mixed, SF).collect()
+    want = [r.doc_id for r in mixing.mixed(docs).orderBy("position").collect()]
+    assert [r.doc_id for r in out] == want and len(want) == len(rows)
+    assert [r.position for r in out] == sorted({r.position for r in out})
+
+
 def test_empty_table(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
