@@ -1,15 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source's documents, in an order drawn by hash, are cut into blocks. A round
-gives each live source as many block slots as its integer target weight; block i of
-c in a round of C slots is released at floor((i - 1) * C / c) and due at
-ceil(i * C / c), and the earliest deadline among the released blocks takes each
-slot. So at every slot a source is less than one block away from its share. When a
-source's blocks run out, the part of a round that this takes is scheduled likewise, and
-the others go on with the shares that they have among themselves: no document is
-dropped or repeated.
-
-The slots of a round depend on the weights alone; the documents are only ranked, by
+Every source's documents, in an order drawn by hash, are cut into blocks. While the
+same sources are live, block i of a source with the share p of their weights is
+released at floor((i - 1) / p) and due at ceil(i / p), and the earliest deadline among
+the released blocks takes each slot. So at every slot of such a phase a source is less than
+one block away from its share of the phase, however long it is and however many sources there
+are: weights are never rounded to slots. When a source's last block is placed, the next phase
+begins, and the others go on with the shares that they have among themselves: no
+document is dropped or repeated.
+
+The driver keeps a number a block, the source that takes the slot, and no more than
+one waiting block a source; the documents are only ranked, by
 counts per source and hash bucket before ranks within a bucket, so that a source
 with a third of all rows is spread like any other.
 """
@@ -17,70 +18,77 @@ with a third of all rows is spread like any other.
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut
 
-RESOLUTION = 400  # slots of a full round: target weights are rounded to this grain
+SCALE = 1 << 62  # weights are integers that add up to about this: what that rounds stays far under a block
 BUCKET_ROWS = 2_000  # mean rows of a source's hash bucket
 
 
-def slots(counts: dict) -> list[tuple[int, object, int]]:
-    """(slot, source, block) of one round in which each source has ``counts`` blocks.
+def _phase(left: dict, weights: dict) -> Iterator:
+    """Sources in order of slots, until all blocks in ``left`` are placed or the reader stops.
 
     Earliest deadline first among released blocks; ties to the smaller source.
     """
-    total = sum(counts.values())
-    waiting = sorted((((i - 1) * total // c, -(-i * total // c), s, i) for s, c in counts.items() for i in range(1, c + 1)), reverse=True)
-    ready: list = []
-    out = []
-    for t in range(total):
-        while waiting and waiting[-1][0] <= t:
-            _, due, source, i = waiting.pop()
-            heapq.heappush(ready, (due, source, i))
+    total = sum(weights[s] for s in left)
+    waiting, ready, t = [(0, s, 1) for s in sorted(left)], [], 0
+    while waiting or ready:
+        while waiting and waiting[0][0] <= t:
+            _, source, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-i * total // weights[source]), source, i))
         _, source, i = heapq.heappop(ready)
-        out.append((t, source, i))
+        if i < left[source]:
+            heapq.heappush(waiting, (i * total // weights[source], source, i + 1))
+        yield source
+        t += 1
+
+
+def slots(counts: dict) -> list[tuple[int, object, int]]:
+    """(slot, source, block) of one round in which each source has ``counts`` blocks."""
+    done, out = dict.fromkeys(counts, 0), []
+    for t, source in enumerate(_phase(counts, counts)):
+        done[source] += 1
+        out.append((t, source, done[source]))
     return out
 
 
-def grains(weights: dict, resolution: int = RESOLUTION) -> dict:
-    """Integer slots a round for each source: its share of ``resolution``, rounded, one at least."""
-    total = sum(Fraction(w) for w in weights.values())
-    return {s: max(1, round(Fraction(w) / total * resolution)) for s, w in weights.items()}
+def scaled(weights: dict) -> dict:
+    """Integers in the ratio of ``weights``."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    return {s: max(1, round(w * SCALE / total)) for s, w in exact.items()}
 
 
-def rounds(blocks: dict, share: dict) -> list[tuple[int, int, dict]]:
-    """(first round, number of rounds, blocks of each source in one round) in order of time."""
-    left, at, out = dict(blocks), 0, []
+def schedule(blocks: dict, weights: dict) -> array:
+    """For each slot the place in sorted(blocks) of the source that takes it."""
+    names = sorted(blocks)
+    left, weight, out = dict(enumerate(blocks[s] for s in names)), scaled({i: weights[s] for i, s in enumerate(names)}), array("i")
     while left:
-        whole = min(n // share[s] for s, n in left.items())
-        if whole:
-            out.append((at, whole, {s: share[s] for s in left}))
-            left = {s: n - whole * share[s] for s, n in left.items()}
-            at += whole
-        part = min(Fraction(n, share[s]) for s, n in left.items())  # of a round, until a source is used up
-        short = {s: c for s in left if (c := round(part * share[s]))}
-        if short:
-            out.append((at, 1, short))
-            at += 1
-        left = {s: rest for s, n in left.items() if (rest := n - short.get(s, 0))}
+        phase = dict(left)
+        for source in _phase(phase, weight):
+            out.append(source)
+            left[source] -= 1
+            if not left[source]:
+                del left[source]
+                break
     return out
 
 
-def _plan(blocks: dict, share: dict) -> list[tuple]:
-    """(source, first block, blocks a round, rounds, block, first slot, slots a round): the schedule, a row for each kind of round and block in it."""
-    rows, base, done = [], 0, dict.fromkeys(blocks, 0)
-    for _, many, counts in rounds(blocks, share):
-        size = sum(counts.values())
-        for slot, source, i in slots(counts):
-            rows.append((source, done[source], counts[source], many, i - 1, base + slot, size))
-        for source, c in counts.items():
-            done[source] += c * many
-        base += size * many
-    return rows
+def _plan(blocks: dict, weights: dict) -> pa.Table:
+    """name, block, slot: a row for each block."""
+    taken = np.frombuffer(schedule(blocks, weights), np.int32)
+    order = np.argsort(taken, kind="stable")  # slots of a source after another, in order
+    sizes = np.bincount(taken)
+    block = np.arange(len(taken)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return pa.table({"name": pa.array(sorted(blocks), pa.string()).take(pa.array(taken[order])), "block": block, "slot": order})
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, block: int = 16, smoothing: float = 0.5, seed: int = 11) -> DataFrame:
@@ -107,8 +115,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = 16, smoothi
         named = {"" if s is None else f"={s}": w for s, w in weights.items() if w > 0}
         target = {s: named.get(s, min(named.values(), default=1)) for s in sizes}
     blocks = {s: -(-n // block) for s, n in sizes.items()}
-    plan = spark.createDataFrame(_plan(blocks, grains(target)), "name string, first long, share long, many long, inner long, base long, size long")
-    phases = plan.select("name", "first", "share", "many").distinct()
+    plan = spark.createDataFrame(_plan(blocks, target))
 
     buckets = max(1, -(-sum(sizes.values()) // BUCKET_ROWS))
     keyed = keyed.withColumn("bucket", F.pmod(F.col("draw"), F.lit(buckets)).cast("int"))
@@ -118,17 +125,16 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = 16, smoothi
     ranked = keyed.withColumn("rank", F.row_number().over(within)).join(offsets, ["name", "bucket"]).withColumn("rank", F.col("offset") + F.col("rank") - 1)
     numbered = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
 
-    # sources and the slots of their kinds of rounds: bounded by sources * RESOLUTION, whatever the rows
-    mine = numbered.join(F.broadcast(phases), "name").where("block >= first and block < first + share * many")
-    placed = mine.withColumn("round", F.floor((F.col("block") - F.col("first")) / F.col("share"))).withColumn("inner", F.pmod(F.col("block") - F.col("first"), F.col("share")))
-    slot = F.col("base") + F.col("round") * F.col("size")
-    return placed.join(F.broadcast(plan), ["name", "first", "share", "many", "inner"]).select("doc_id", "source", slot.alias("slot"), (slot * block + F.pmod(F.col("rank"), F.lit(block))).alias("position"))
+    # a key is a block: no task gets a whole source
+    slot = F.col("slot")
+    return numbered.join(plan, ["name", "block"]).select("doc_id", "source", slot, (slot * block + F.pmod(F.col("rank"), F.lit(block))).alias("position"))
 
 
 def in_mixing_order(docs: DataFrame, weights: dict | None = None, block: int = 16) -> DataFrame:
-    """``docs`` range-partitioned and sorted in mixing order: files written from it are read in that order.
+    """``docs`` range-partitioned and sorted in mixing order.
 
-    Columns and rows stay as they are; each occurrence of a repeated doc_id takes one of its places.
+    Files written from it hold that order by part number and row in a part; Spark reads files by size, so a
+    reader has to sort by these. Columns and rows stay as they are; each occurrence of a repeated doc_id takes one of its places.
     """
     places = mixed(docs, weights, block)
     copy = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("position"))

@@ -13,6 +13,30 @@ def test_every_slot_is_less_than_one_block_from_its_share():
                 assert abs(done[s] * total - c * (t + 1)) < total
 
 
+def deviation(blocks, weights):
+    """Largest distance, in blocks, of a source from its share of a phase by the exact weights."""
+    names, worst = sorted(blocks), 0
+    left, live, done, t = dict(blocks), set(blocks), dict.fromkeys(blocks, 0), 0
+    total = sum(weights.values())
+    for place in mixing.schedule(blocks, weights):
+        s, t = names[place], t + 1
+        done[s] += 1
+        left[s] -= 1
+        worst = max(worst, max(abs(done[x] - t * weights[x] / total) for x in live))
+        if not left[s]:
+            live.remove(s)
+            done, t, total = dict.fromkeys(live, 0), 0, sum(weights[x] for x in live)
+    assert not any(left.values())
+    return worst
+
+
+def test_deviation_stays_below_a_block_against_the_exact_weights():
+    skew = {"big": 17_000} | {f"s{i:02}": 1_700 + 7 * i for i in range(20)}
+    assert deviation({s: n // 2 for s, n in skew.items()}, {s: n**0.5 for s, n in skew.items()}) < 1
+    many = {f"s{i:03}": 1 + 99 * i / 449 for i in range(450)}  # more sources than a round had slots, 100:1
+    assert deviation({s: round(w) if i % 50 else 9 for i, (s, w) in enumerate(many.items())}, many) < 1
+
+
 @pytest.mark.parametrize("weights", [None, {"s0": 0.5, "s1": 0.25, None: 0.25}])
 def test_mixture_keeps_rows_and_follows_weights(spark, weights):
     rows = [(i, "s0") for i in range(600)] + [(i, "s1") for i in range(600, 800)] + [(i, None) for i in range(800, 870)] + [(5, "s0"), (None, "s1"), (None, "s1")]
