@@ -29,7 +29,7 @@ from siltstone.llm.vectors import dimension, dots, matrix, usable
 
 WIDTH = 5.0  # quantisation steps: this many times the distance at the threshold
 BUCKET = 48  # unrelated vectors that a bucket holds, as a mean
-MISS = 0.02  # chance to miss a pair just at the threshold; much less above it
+MISS = 1e-4  # chance to miss a pair just at the threshold; much less above it
 FINE_TABLES, FINE_PROJECTIONS = 6, 24  # tables of fine buckets, whose members are nearly equal
 SLACK = 1e-7  # radians by which a bound must be clear before it decides without members
 
@@ -134,7 +134,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     part: n_links 0, component_id null, kept. An empty table gives an empty
     result. Other columns, labels too, are not read.
 
-    A pair just at the threshold is missed with probability 0.02, at 0.95 with 1e-4.
+    A pair just at the threshold is missed with probability 1e-4 at most, whatever the rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     valid = rows.where(F.col("vec_id").isNotNull() & usable("v"))

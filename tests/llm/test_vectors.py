@@ -67,6 +67,27 @@ def test_chance_of_a_bucket_is_what_the_tables_count_on():
     assert abs(same - vector_dedup.same_bucket(vector_dedup.WIDTH) ** 3) < 0.03
 
 
+@pytest.mark.parametrize("cosine", [0.9, 0.91, 0.93])
+def test_lone_pairs_share_a_bucket(cosine):
+    projections, tables = vector_dedup.shape(10_000, 0.9)
+    draw, dim, n, found = np.random.default_rng(5), 64, 500, 0
+    for _ in range(8):
+        x, other = (draw.standard_normal((n, dim)) for _ in range(2))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        other -= (other * x).sum(axis=1)[:, None] * x
+        other /= np.linalg.norm(other, axis=1)[:, None]
+        y = cosine * x + math.sqrt(1 - cosine**2) * other
+        a, b = (vector_dedup._hash(v, tables, projections, vector_dedup.WIDTH * math.sqrt(0.2), 32) for v in (x, y))
+        found += int((a == b).any(axis=1).sum())
+    assert found >= 8 * n - 8  # of 4,000 pairs; a chance to miss of 1e-4 loses one
+
+
+@pytest.mark.parametrize("rows", [100, 10_000, 50_000, 1_000_000])
+def test_chance_to_miss_a_pair_at_the_threshold(rows):
+    projections, tables = vector_dedup.shape(rows, 0.9)
+    assert (1 - vector_dedup.same_bucket(vector_dedup.WIDTH) ** projections) ** tables <= 1e-4
+
+
 @pytest.mark.parametrize("n, top", [(150, 20), (6, 20)])
 def test_search_reaches_its_recall(spark, n, top):
     rows = [(i, v * (1 + i % 3)) for i, v in enumerate(cloud(2, n))] + [(2000 + i, [1.0] * 16) for i in range(30)]
