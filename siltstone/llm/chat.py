@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.tokens import Pieces, small_groups
+from siltstone.llm.common import sliced
+from siltstone.llm.tokens import Pieces
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that chat templates and tokenizers take as control strings.
@@ -126,12 +127,10 @@ def chat_windows(turns: DataFrame, path: str, budget: int = 1024, history: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, packer = Pieces(path, spaced=True), _Packer(budget, history)
-        for batch in batches:
+        for batch in sliced(batches, 3):
             convs, roles, texts = (batch.column(i).to_pylist() for i in (0, 2, 3))
             marked = [_marked(r or "", t or "") for r, t in zip(roles, texts, strict=True)]
-            counts: list[int] = []
-            for group in small_groups([m[0] for m in marked]):
-                counts += pieces.counts(group)
+            counts = pieces.counts([m[0] for m in marked])
             out: list[dict] = []
             for conv, role, text, n, m in zip(convs, roles, texts, counts, marked, strict=True):
                 if not packer.open or conv != packer.conv:
@@ -154,16 +153,20 @@ def window_digests(windows: DataFrame) -> DataFrame:
     """One row for each conversation of ``windows``, read back from their texts.
 
     Takes windows as :func:`chat_windows` leaves them: a conversation's in one
-    partition, consecutive and in order.
+    partition, consecutive and in order; other orders are refused. Sort windows that come
+    from files by conv_id and window within partitions by conv_id first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv: tuple | None = None
-        n = loss_chars = size = 0
+        n = loss_chars = size = expected = 0
         turns = loss = hashlib.sha256()
         out: list[tuple] = []
         for batch in batches:
             for w in batch.to_pylist():
+                if w["window"] != 0 and (conv != (w["conv_id"],) or w["window"] != expected):
+                    raise ValueError(f"window {w['window']} of conversation {w['conv_id']} stands out of order")
+                expected = w["window"] + 1
                 if w["window"] == 0:
                     if conv is not None:
                         out.append((*conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), size))

@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.graph import connected_components as components
 from siltstone.storage import cut, fresh_path, shared_dir
 
-__all__ = ["components", "cut", "drop", "fresh_path", "grid", "shared_dir"]
+__all__ = ["components", "cut", "drop", "fresh_path", "grid", "shared_dir", "sliced"]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in slices of about ``size`` bytes of text (a longer text is alone).
+
+    What a worker makes of a slice in Python then stays small, however large Spark's batches are.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        start = 0
+        while start < len(batch):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def drop(df: DataFrame) -> None:

@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, cut, drop, grid
+from siltstone.llm.common import components, cut, drop, grid, sliced
 
 ROWS = 7  # hashes of a band; a band's seven bytes and its number fit one long
 BANDS = 48
 HASHES = ROWS * BANDS
 BATCH = 48  # hashes compared between two looks at the posterior
 MISS = 1e-6  # posterior probability below which a candidate pair is given up
-_MEMO = 1_000_000  # words whose hash a worker keeps
+_MEMO = 200_000  # words whose hash a worker keeps: about 40 MB
 _WIDE = 4096  # shingles hashed at a time
 
 
@@ -103,7 +103,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
-        for batch in batches:
+        for batch in sliced(batches, 1):
             n, hi, lo, sketch = [], [], [], []
             for text in batch.column(1):
                 x = _hashed(words_of(text.as_py()), k, memo)

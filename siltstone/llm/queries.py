@@ -33,7 +33,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_path("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    coded = bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

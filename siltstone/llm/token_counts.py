@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from siltstone.llm.common import fresh_path
-from siltstone.llm.tokens import Pieces, small_groups
+from siltstone.llm.common import fresh_path, sliced
+from siltstone.llm.tokens import Pieces
 
 _CACHE = T.StructType([T.StructField("version", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
@@ -56,11 +56,8 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path, spaced)
-        for batch in batches:
-            found: list[int] = []
-            for group in small_groups(batch.column(1).to_pylist()):
-                found += pieces.counts(group)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["digest", "n_tokens"])
+        for batch in sliced(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces.counts(batch.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
     distinct = rows.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(_stored(docs, where, version).select("digest"), "digest", "left_anti")

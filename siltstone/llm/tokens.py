@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-_KEEP = 1_200_000  # pieces that a worker keeps; it forgets when half full
+_KEEP = 400_000  # pieces that a worker keeps, about 90 MB; it forgets when half full
 _ASCII_SPACE = " \\t\\n\\r\\x0b\\x0c"
 #: White space to Unicode and to the tokenizers, but not in the ASCII class above.
 _OTHER_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -153,16 +153,3 @@ def _gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     """The runs of ``pool`` at ``start`` of ``size``, one behind the other."""
     ends = np.cumsum(size)
     return pool[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-
-
-def small_groups(items: list, characters: int = 500_000):
-    """Consecutive runs of ``items`` (texts) of about so many characters."""
-    group, size = [], 0
-    for item in items:
-        group.append(item)
-        size += len(item)
-        if size >= characters:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from siltstone.llm.common import cut, drop
+from siltstone.llm.common import cut, drop, sliced
 
 SAMPLE = 6_000  # positives, and unlabelled texts, that a fit draws at most (as the mean of a hash sample)
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
-_KEEP = 400_000
+_KEEP = 100_000  # words whose features a worker keeps: about 40 MB
 
 
 #: What turns the hash of a feature into that of "twice" and "three times or more".
@@ -65,7 +65,7 @@ def _slots(text: str | None, memo: _Memo) -> set[int]:
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = _Memo()
-    for batch in batches:
+    for batch in sliced(batches, 1):
         for flag, text in zip(batch.column(0), batch.column(1), strict=True):
             found = np.fromiter(_slots(text.as_py(), memo), np.int64)
             yield pa.RecordBatch.from_arrays([pa.repeat(flag, len(found)), pa.array(found)], ["positive", "slot"])
@@ -77,7 +77,7 @@ def _told(telling: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = dict.fromkeys(telling, 0.0)
         memo = _Memo(wanted)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found = [sorted(i for i in _slots(text.as_py(), memo) if i in wanted) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["positive", "slots"])
 
@@ -163,6 +163,15 @@ def _minimise(telling: list[int], positive: list[list[int]], unlabelled: list[li
     return dict(zip(telling, w[:-1].tolist(), strict=True)), float(w[-1])
 
 
+def _scores(texts: pa.Array, weight: dict[int, float], bias: float, memo: _Memo) -> list[float]:
+    """Score of each text; sums run in order of the features, so equal texts score alike."""
+    out = []
+    for text in texts:
+        total = bias + sum(weight[i] for i in sorted(_slots(text.as_py(), memo)) if i in weight)
+        out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))))
+    return out
+
+
 def score(docs: DataFrame, weight: dict[int, float], bias: float, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs`` (doc_id, text).
 
@@ -173,15 +182,10 @@ def score(docs: DataFrame, weight: dict[int, float], bias: float, threshold: flo
     sent = docs.sparkSession.sparkContext.broadcast((weight, bias))  # at most the features of the sampled positives, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = sent.value
-        memo = _Memo(w)
-        for batch in batches:
-            found = []
-            for text in batch.column(1):
-                slots = _slots(text.as_py(), memo)
-                total = b + sum(w[i] for i in sorted(slots) if i in w)
-                found.append(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
+        weight, bias = sent.value
+        memo = _Memo(weight)
+        for batch in sliced(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), weight, bias, memo), pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (~training_fold()).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -196,23 +200,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; columns and other rows as they are.
 
-    Equal texts score alike, so the decision joins back on the text's digest and
-    also holds for rows that repeat a doc_id or have none.
+    Rows are kept or left where they are read, without a join, so rows that repeat a
+    doc_id or have none are judged by their own texts.
     """
     weight, bias = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((weight, bias))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = sent.value
-        memo = _Memo(w)
-        least = math.log(threshold / (1 - threshold))
-        for batch in batches:
-            keep = []
-            for text in batch.column(at):
-                slots = _slots(text.as_py(), memo)
-                total = b + sum(w[i] for i in sorted(slots) if i in w)
-                keep.append(total < least)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        weight, bias = sent.value
+        memo = _Memo(weight)
+        for batch in sliced(batches, at):
+            yield batch.filter(pa.array([s < threshold for s in _scores(batch.column(at), weight, bias, memo)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

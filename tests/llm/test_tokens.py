@@ -31,11 +31,15 @@ def rows(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' as ids", "0 as digest", "1 as row")
 
 
-@pytest.mark.parametrize("leaf", [64, 4096])
-def test_encode_and_decode_are_the_librarys(spark, leaf):
-    texts = TEXTS + long_texts()
+@pytest.mark.parametrize(("leaf", "long", "once"), [(512, 1 << 20, False), (300, 400, True), (bpe.LEAF, bpe.LONG, True)])
+def test_encode_and_decode_are_the_librarys(spark, leaf, long, once):
+    draw = random.Random(6)
+    spelt = " ".join("".join(draw.choice("abé.1'") for _ in range(draw.randrange(1, 30))) for _ in range(9_000))
+    texts = TEXTS + long_texts() + [spelt, spelt.replace(" ", "")]
+    assert len(spelt) > bpe.LONG
     own = tokenizer(WORD)
-    out = bpe.decode(bpe.encode(rows(spark, texts), WORD, leaf), WORD).collect()
+    out = bpe.encode(rows(spark, texts), WORD, leaf, long, decoded=once)
+    out = (out if once else bpe.decode(out, WORD)).collect()
     assert len(out) == len(texts)
     for r in out:
         ids = own.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
@@ -46,9 +50,22 @@ def test_encode_and_decode_are_the_librarys(spark, leaf):
 def test_tree_takes_byte_level_tokens_too():
     own = tokenizer(BYTE)
     for text in long_texts():
-        spans = bpe.halves(0, len(text), 50)
-        leaves = [bpe._tokens(own, text[a:b], a) for a, b in spans]
-        assert [i for _, _, i in bpe.concatenated(own, text, leaves, spans)] == own.encode(text, add_special_tokens=False).ids
+        level = [(a, b, bpe._tokens(own, text[a:b], a)) for a, b in bpe.halves(len(text), 50)]
+        while len(level) > 1:
+            level = [(a, d, bpe.joined(own, text, x, y, b, a, d)) for (a, b, x), (_, d, y) in zip(level[::2], level[1::2], strict=True)]
+        assert [i for _, _, i in level[0][2]] == own.encode(text, add_special_tokens=False).ids
+
+
+def test_joins_are_exact_wherever_they_fall():
+    draw = random.Random(8)
+    for path, kinds in ((WORD, ["abcdeé", "aé\u0301 ", "ab.,' ", "12 ab", "<|endoftx>", "'strevm", "中文字 "]), (BYTE, ["abcdeé", "ab.,'", "aé\u0301"])):
+        own = tokenizer(path)
+        for kind in kinds:
+            text = "".join(draw.choice(kind) for _ in range(600)) + "<|endoftext|>" * (path == WORD) + "".join(draw.choice(kind) for _ in range(600))
+            whole = own.encode(text, add_special_tokens=False).ids
+            for cut in (1, 599, 601, 606, 612, draw.randrange(1, len(text)), len(text) - 1):
+                both = bpe.joined(own, text, bpe._tokens(own, text[:cut]), bpe._tokens(own, text[cut:], cut), cut, 0, len(text))
+                assert [i for _, _, i in both] == whole, (kind, cut)
 
 
 def test_counts_are_the_librarys_and_misses_are_encoded_once(spark, tmp_path):
