@@ -47,7 +47,7 @@ def placed(docs: DataFrame) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digest of the text that they decode to, sorted by ``position`` in the mixture."""
     path = public_path("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(placed(docs), path, carried=("position",)), path)
+    coded = bpe.encode(placed(docs), path, carried=("position",), decoded=True)
     coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "position")
     # written first: ranges are drawn from a sample, which would encode all texts twice
     return cut(coded, "coded").repartitionByRange("position").sortWithinPartitions("position")
