@@ -11,7 +11,9 @@ Groups of copies never become all pairs. Equal vectors are one. Vectors of a fin
 that lie within half the linking angle of a member, drawn by the bucket's key, are one ball:
 any two of them link. Balls and single vectors are the units that the tables compare;
 for two units, pivots and radii mostly tell that all their members link or that none
-does, and only otherwise are members compared.
+does, and only otherwise are members compared. Two single vectors are counted in the first
+table that puts them into one bucket, and a bucket returns numbers of links and a
+spanning star of each of its components: never a row for each linked pair.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, cut, grid
+from siltstone.llm.common import components, cut, drop, grid
 from siltstone.llm.vectors import dimension, dots, matrix, usable
 
 WIDTH = 5.0  # quantisation steps: this many times the distance at the threshold
@@ -49,30 +51,34 @@ def shape(rows: int, cosine: float) -> tuple[int, int]:
 
 
 def _hash(x: np.ndarray, tables: int, projections: int, step: float, seed: int) -> np.ndarray:
-    """A 64-bit key for each row and table."""
+    """The 32-bit bucket of each row in each table."""
     draw = np.random.default_rng(seed)
     lines = draw.standard_normal((x.shape[1], tables * projections))
     shift = draw.uniform(0, step, tables * projections)
     cells = np.floor((x @ lines + shift) / step).astype(np.int64).view(np.uint64).reshape(len(x), tables, projections)
-    key = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(x), tables)).copy()
+    key = np.zeros((len(x), tables), np.uint64)
     for i in range(projections):
         key = (key ^ cells[:, :, i]) * np.uint64(0xFF51AFD7ED558CCD)
         key ^= key >> np.uint64(32)
-    return key.view(np.int64)
+    return key.astype(np.uint32).view(np.int32)
 
 
-def _keys(tables: int, projections: int, step: float, seed: int, payload: bool):
-    """A row for each vector and table: id, key and, if wanted, the vector."""
+def _hashed(classes: DataFrame, tables: int, projections: int, step: float, seed: int) -> DataFrame:
+    """(id, buckets): a vector's bucket in each table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for at in range(0, len(part), 1024):
                 few = part.iloc[at : at + 1024]
-                key = _hash(matrix(few["v"]), tables, projections, step, seed)
-                rows = pd.DataFrame({"id": np.repeat(few["id"].to_numpy(), tables), "key": key.ravel()})
-                yield rows.assign(v=np.repeat(few["v"].to_numpy(), tables)) if payload else rows
+                yield pd.DataFrame({"id": few["id"], "buckets": list(_hash(matrix(few["v"]), tables, projections, step, seed))})
+
+    return classes.select("id", "v").mapInPandas(run, "id long, buckets array<int>")
 
-    return run
+
+def _keyed(hashed: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and key: a row for each table; the key is the table's number and the bucket."""
+    rows = hashed.select(*columns, F.posexplode("buckets").alias("table", "bucket"))
+    return rows.select(*columns, F.shiftleft(F.col("table").cast("long"), 32).bitwiseOR(F.col("bucket").cast("long").bitwiseAND(F.lit((1 << 32) - 1))).alias("key"))
 
 
 def _angle(cosine: np.ndarray) -> np.ndarray:
@@ -92,22 +98,76 @@ def _in_ball(reach: float):
     return run
 
 
-def _unit_pairs(limit: float):
-    """Pairs of units in a block that may link, and whether all their members do."""
+_FOUND = "a long, b long, kind int, n long"
+SINGLE, STAR, ALL, SOME = range(4)
+
+
+def _earlier(buckets: np.ndarray, table: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the rows a and b share a bucket in a table before ``table``."""
+    parts = [(buckets[a[i : i + 65536], :table] == buckets[b[i : i + 65536], :table]).any(axis=1) for i in range(0, len(a), 65536)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
+def _star(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the least row of their component, for all rows that are not the least themselves."""
+    label = np.arange(n)
+    while True:
+        after = label.copy()
+        np.minimum.at(after, a, label[b])
+        np.minimum.at(after, b, after[a])
+        after = after[after]
+        if (after == label).all():
+            rows = np.flatnonzero(label != np.arange(n))
+            return rows, label[rows]
+        label = after
+
+
+def _near_units(limit: float):
+    """What a block's units are to each other, by kind.
+
+    SINGLE: ``a`` has ``n`` links to single vectors; STAR: ``a`` and ``b`` are of one component; ALL, SOME: all members
+    of the units ``a`` and ``b`` link, or some may.
+    """
+    surely, maybe = math.cos(limit - SLACK), math.cos(limit + SLACK)
+
+    def block(own: pd.DataFrame, table: int, halves: bool) -> Iterator[pd.DataFrame]:
+        ids, radius, chunk, weight, x = own["unit"].to_numpy(), own["radius"].to_numpy(), own["chunk"].to_numpy(), own["weight"].to_numpy(), matrix(own["v"])
+        lone = own["buckets"].notna().to_numpy()
+        buckets = np.zeros((len(own), table), np.int32)
+        if table and lone.any():
+            buckets[lone] = np.stack([k[:table] for k in own["buckets"][lone]])
+        links, ends = np.zeros(len(own), np.int64), []
+        for at in range(0, len(ids), 512):
+            here = slice(at, at + 512)
+            cosine = x[here] @ x.T
+            apart = ids[here, None] < ids[None]
+            if halves:
+                apart &= chunk[here, None] != chunk[None]
+            single = apart & lone[here, None] & lone[None]
+            a, b = np.nonzero(single & (cosine >= maybe))
+            sure = cosine[a, b] >= surely
+            a += at
+            fresh = ~_earlier(buckets, table, a, b)
+            a, b, sure = a[fresh], b[fresh], sure[fresh]
+            yield pd.DataFrame({"a": ids[a[~sure]], "b": ids[b[~sure]], "kind": SOME, "n": 0})
+            a, b = a[sure], b[sure]
+            links += np.bincount(a, weight[b], len(ids)).astype(np.int64) + np.bincount(b, weight[a], len(ids)).astype(np.int64)
+            ends.append((a, b))
+            if not lone.all():
+                a, b = np.nonzero(apart & ~single & (cosine > -1.1))
+                angle, a = _angle(cosine[a, b]), a + at
+                reach = radius[a] + radius[b]
+                near = angle - reach <= limit + SLACK
+                every = angle + reach <= limit - SLACK
+                yield pd.DataFrame({"a": ids[a[near]], "b": ids[b[near]], "kind": np.where(every[near], ALL, SOME), "n": 0})
+        rows, least = _star(*(np.concatenate(t) for t in zip(*ends, strict=True)), len(ids))
+        yield pd.DataFrame({"a": ids[rows], "b": ids[least], "kind": STAR, "n": 0})
+        met = np.flatnonzero(links)
+        yield pd.DataFrame({"a": ids[met], "b": ids[met], "kind": SINGLE, "n": links[met]})
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (_, lo, hi), block in cell.groupby(["key", "lo", "hi"], sort=False):
-            ids, radius, chunk, x = block["unit"].to_numpy(), block["radius"].to_numpy(), block["chunk"].to_numpy(), matrix(block["v"])
-            for at in range(0, len(ids), 512):
-                angle = _angle(x[at : at + 512] @ x.T)
-                reach = radius[at : at + 512, None] + radius[None]
-                near = (angle - reach <= limit + SLACK) & (ids[at : at + 512, None] < ids[None])
-                if lo != hi:
-                    near &= chunk[at : at + 512, None] != chunk[None]
-                a, b = np.nonzero(near)
-                out.append(pd.DataFrame({"a": ids[at + a], "b": ids[b], "all": (angle + reach <= limit - SLACK)[a, b]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "all": []}).astype({"all": bool})
+        found = [f for (key, lo, hi), own in cell.groupby(["key", "lo", "hi"], sort=False) for f in block(own, int(key) >> 32, lo != hi) if len(f)]
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "kind": [], "n": []})
 
     return run
 
@@ -135,12 +195,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     result. Other columns, labels too, are not read.
 
     A pair just at the threshold is missed with probability 1e-4 at most, whatever the rows.
+    Huge and tiny finite components count like others: vectors are divided by their largest first.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     valid = rows.where(F.col("vec_id").isNotNull() & usable("v"))
     size = dimension(valid, "v")
+    # by the largest component first: squares of huge or tiny ones would overflow or vanish
+    big = F.array_max(F.transform("v", F.abs))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
-    unit = valid.where(F.size("v") == size).select("vec_id", F.transform("v", lambda e: e / norm).alias("v"))
+    scaled = valid.where(F.size("v") == size).select("vec_id", F.transform("v", lambda e: e / big).alias("v"))
+    unit = cut(scaled.select("vec_id", F.transform("v", lambda e: e / norm).alias("v")), "vectors")
     classes = cut(unit.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")), "classes")
     count = classes.count()
     if not count:
@@ -148,7 +212,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     limit, near = math.acos(cosine), math.sqrt(2 - 2 * cosine)
 
     # balls: fine buckets, one drawn member each, and who is within half the linking angle of it
-    fine = classes.select("id", "v").mapInPandas(_keys(FINE_TABLES, FINE_PROJECTIONS, WIDTH * near / 2, 31, False), "id long, key long")
+    fine = _keyed(_hashed(classes, FINE_TABLES, FINE_PROJECTIONS, WIDTH * near / 2, 31), "id")
     mask = F.xxhash64("key")
     pivots = fine.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(mask)).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("least").bitwiseXOR(mask).alias("pivot"))
     asked = fine.join(pivots, "key").select("id", "pivot").distinct()
@@ -161,26 +225,33 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     member = classes.join(chosen, "id", "left").select("id", "v", "weight", F.coalesce("unit", F.lit(-1)).alias("pivot"), F.coalesce("angle", F.lit(0.0)).alias("angle"), F.col("unit").isNull().alias("alone"))
     # a single vector is a unit of its own; a ball is named by its pivot, which may be in another one
     member = cut(member.withColumn("unit", F.when(F.col("alone"), F.col("id") * 2).otherwise(F.col("pivot") * 2 + 1)).drop("pivot", "alone"), "members")
+    drop(inside)
     pivot_id = F.floor(F.col("unit") / 2).cast("long")
+    projections, tables = shape(count, cosine)
+    hashed = cut(_hashed(classes, tables, projections, WIDTH * near, 32), "hashed")
     units = member.groupBy("unit").agg(F.max("angle").alias("radius"), F.sum("weight").alias("weight"), F.min("id").alias("least"), F.count(F.lit(1)).alias("classes"))
-    units = cut(units.withColumn("id", pivot_id).join(classes.select("id", "v"), "id").drop("id"), "units")
+    of_lone = hashed.withColumnRenamed("id", "lone")
+    units = units.withColumn("id", pivot_id).join(classes.select("id", "v"), "id").withColumn("lone", F.when(F.col("unit") % 2 == 0, F.col("id")))
+    units = cut(units.join(of_lone, "lone", "left").drop("id", "lone"), "units")
 
     # units that share a bucket in one of the tables, through any of their members
-    projections, tables = shape(count, cosine)
-    keys = classes.select("id", "v").mapInPandas(_keys(tables, projections, WIDTH * near, 32, False), "id long, key long")
-    met = keys.join(member.select("id", "unit"), "id").select("key", "unit").distinct()
-    cells = grid(met, "key", "unit", 512, 20_000).join(units.select("unit", "radius", "v"), "unit")
-    pairs = cut(cells.select("key", "unit", "radius", "v", "chunk", "lo", "hi", "cell").groupBy("cell").applyInPandas(_unit_pairs(limit), "a long, b long, all boolean").distinct(), "pairs")
+    met = _keyed(hashed.join(member.select("id", "unit"), "id"), "unit").distinct()
+    cells = grid(met, "key", "unit", 512, 20_000).join(units.select("unit", "radius", "weight", "v", "buckets"), "unit")
+    found = cut(cells.select("key", "unit", "radius", "weight", "v", "buckets", "chunk", "lo", "hi", "cell").groupBy("cell").applyInPandas(_near_units(limit), _FOUND), "found")
+    drop(hashed)
+    pairs = cut(found.where(F.col("kind").isin(ALL, SOME)).select("a", "b", (F.col("kind") == ALL).alias("all")).distinct(), "pairs")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "all"))
 
     weights = units.select(F.col("unit").alias("b"), F.col("weight").alias("other"))
-    sure = both.where("all").join(weights, "b").groupBy(F.col("a").alias("unit")).agg(F.sum("other").alias("sure"))
+    single = found.where(F.col("kind") == SINGLE).select(F.col("a").alias("unit"), F.col("n").alias("other"))
+    sure = both.where("all").join(weights, "b").select(F.col("a").alias("unit"), "other").union(single).groupBy("unit").agg(F.sum("other").alias("sure"))
     packed = member.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).join(units.select("unit", "classes"), "unit")
     packed = packed.withColumn("pack", F.pmod(F.col("pack"), F.ceil(F.col("classes") / 256))).groupBy(F.col("unit").alias("b"), "pack").agg(F.collect_list("v").alias("vs"), F.collect_list("weight").alias("ws"))
     open_ = both.where("not all").join(member.select(F.col("unit").alias("a"), "id", "v"), "a").join(packed, "b").select("id", "a", "b", "v", "vs", "ws")
     unsure = cut(open_.mapInPandas(_member_links(cosine), "id long, a long, b long, n long").where("n > 0").groupBy("id", "a", "b").agg(F.sum("n").alias("n")), "unsure")
 
-    edges = pairs.where("all").select("a", "b").union(unsure.select("a", "b")).distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    stars = found.where(F.col("kind") == STAR).select("a", "b")
+    edges = pairs.where("all").select("a", "b").union(unsure.select("a", "b")).union(stars).distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"))
     labels = components(edges)
     grouped = units.join(labels.withColumnRenamed("id", "unit"), "unit", "left").withColumn("label", F.coalesce("component_id", "unit")).drop("component_id")
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from siltstone.llm import ann, vector_dedup
@@ -54,6 +55,30 @@ def test_links_match_brute_force(spark):
     assert sum(r.component_id == want[r.vec_id][1] for r in exact) >= 0.98 * len(exact)
 
 
+def test_huge_and_tiny_vectors(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [1e200, 0.0]), (3, [0.0, 1e200]), (4, [3e-320, 0.0]), (5, [1e300, 1e300]), (6, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.near_vectors(df).collect()}
+    assert out == {1: (1, 1, True), 2: (1, 2, True), 3: (0, 3, True), 4: (1, 2, False), 5: (1, 1, False), 6: (0, 6, True)}
+    found = {(r.query_id, r.vec_id): r.score for r in ann.nearest(df, df.where("vec_id IN (2, 6)"), 9).collect()}
+    assert len(found) == 10 and found[2, 1] == 1.0 and found[2, 5] == math.inf and found[6, 2] == -1e200 and found[2, 3] == 0
+
+
+def test_a_shell_of_links_gives_rows_by_vectors_alone():
+    draw, n, dim = np.random.default_rng(9), 400, 64
+    x = draw.standard_normal((n, dim)) / math.sqrt(dim) * 0.4 + np.eye(dim)[0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    block = pd.DataFrame({"unit": np.arange(n) * 2, "radius": 0.0, "weight": 1, "v": list(x), "buckets": [np.zeros(3, np.int32)] * n, "chunk": 0, "lo": 0, "hi": 0, "key": 0})
+    limit = math.acos(0.8)
+    found = vector_dedup._near_units(limit)(block)
+    near = x @ x.T >= 0.8
+    np.fill_diagonal(near, False)
+    assert near.sum() > 10_000 and len(found) <= 2 * n
+    single = found[found.kind == vector_dedup.SINGLE]
+    assert dict(zip(single.a // 2, single.n, strict=True)) == {i: c for i, c in enumerate(near.sum(axis=1)) if c}
+    assert vector_dedup._near_units(limit)(block.assign(key=1 << 32)).empty  # the table before has them
+
+
 def test_chance_of_a_bucket_is_what_the_tables_count_on():
     draw, dim = np.random.default_rng(4), 64
     x = draw.standard_normal((4000, dim))
@@ -119,6 +144,14 @@ def test_graph_finds_the_nearest_centroids():
     assert (np.diff(far, axis=1) >= 0).all()
 
 
+@pytest.mark.parametrize("spread", [0.1, 10.0])
+def test_search_prunes(spread):
+    draw = np.random.default_rng(3)
+    x = (draw.standard_normal((60, 1, 24)) + spread * draw.standard_normal((60, 100, 24)) / 5).reshape(-1, 24)
+    index = ann.fitted(x, len(x), np.abs(x).max(), float(np.sqrt((x**2).sum(axis=1).max()) / np.abs(x).max()), 20)
+    assert len(index.graph.points) > 150 and index.share <= 1 / 3 and index.recall >= 0.95
+
+
 def test_empty_table(spark):
     df = frame(spark, [])
     assert vector_dedup.near_vectors(df).collect() == [] and ann.nearest(df, df).collect() == []
