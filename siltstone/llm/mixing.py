@@ -10,7 +10,8 @@ begins, and the others go on with the shares that they have among themselves: no
 document is dropped or repeated.
 
 The driver keeps a number a block, the source that takes the slot, and no more than
-one waiting block a source; the documents are only ranked, by
+one waiting block a source. Blocks grow with the rows, so that there are ``BLOCKS`` and
+one more a source at most. The documents are only ranked, by
 counts per source and hash bucket before ranks within a bucket, so that a source
 with a third of all rows is spread like any other.
 """
@@ -24,13 +25,16 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import cut
 
 SCALE = 1 << 62  # weights are integers that add up to about this: what that rounds stays far under a block
+BLOCKS = 1 << 20  # blocks that the driver schedules, besides one a source: 4 bytes each
 BUCKET_ROWS = 2_000  # mean rows of a source's hash bucket
+BUCKETS = 1 << 16  # buckets of a source at most: their counts are summed up in one task
 
 
 def _phase(left: dict, weights: dict) -> Iterator:
@@ -91,60 +95,65 @@ def _plan(blocks: dict, weights: dict) -> pa.Table:
     return pa.table({"name": pa.array(sorted(blocks), pa.string()).take(pa.array(taken[order])), "block": block, "slot": order})
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, block: int = 16, smoothing: float = 0.5, seed: int = 11) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, block: int = 16, smoothing: float = 0.5, seed: int = 11, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, slot, position for each row of ``docs`` (doc_id, source).
 
     ``slot`` numbers the blocks of ``block`` documents in mixing order, ``position`` is
     slot * block plus the place in the block: sorting by it gives the mixture. A
-    source's last block may hold fewer documents, so positions may skip numbers.
+    source's last block may hold fewer documents, so positions may skip numbers. Over
+    BLOCKS blocks of so many documents a block holds more.
     ``weights``: target weight of each source (others get the smallest); by default a
     source's number of rows to the power ``smoothing``. A null source is a source like
     any other. Rows that repeat or have no doc_id have places of their own. An
-    empty table gives an empty result. Other columns are not read.
+    empty table gives an empty result. Other columns are not read, but for ``carried``, which tell rows apart and are returned too.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *carried)
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    keyed = keyed.withColumn("name", name).withColumn("draw", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)))
+    # rows without doc_id are alike but for ``carried``, so which of them takes which place says nothing
+    alike = F.xxhash64(*carried) if carried else F.monotonically_increasing_id()
+    keyed = keyed.withColumn("name", name).withColumn("draw", F.xxhash64(F.coalesce("doc_id", alike), F.lit(seed)))
     sizes = {r["name"]: r["n"] for r in keyed.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a source
     if not sizes:
-        return keyed.select("doc_id", "source", F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("position"))
+        return keyed.select("doc_id", "source", *carried, F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("position"))
     if weights is None:
         target = {s: Fraction(n**smoothing).limit_denominator(10**6) for s, n in sizes.items()}
     else:
         named = {"" if s is None else f"={s}": w for s, w in weights.items() if w > 0}
         target = {s: named.get(s, min(named.values(), default=1)) for s in sizes}
+    block = max(block, -(-sum(sizes.values()) // BLOCKS))
     blocks = {s: -(-n // block) for s, n in sizes.items()}
     plan = spark.createDataFrame(_plan(blocks, target))
 
-    buckets = max(1, -(-sum(sizes.values()) // BUCKET_ROWS))
+    buckets = min(BUCKETS, max(1, -(-sum(sizes.values()) // BUCKET_ROWS)))
     keyed = keyed.withColumn("bucket", F.pmod(F.col("draw"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("name", "bucket").agg(F.count(F.lit(1)).alias("n")).select("name", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("name", "bucket").orderBy("draw", "doc_id")
+    within = Window.partitionBy("name", "bucket").orderBy("draw", "doc_id", *carried)
     ranked = keyed.withColumn("rank", F.row_number().over(within)).join(offsets, ["name", "bucket"]).withColumn("rank", F.col("offset") + F.col("rank") - 1)
     numbered = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
 
     # a key is a block: no task gets a whole source
     slot = F.col("slot")
-    return numbered.join(plan, ["name", "block"]).select("doc_id", "source", slot, (slot * block + F.pmod(F.col("rank"), F.lit(block))).alias("position"))
+    return numbered.join(plan, ["name", "block"]).select("doc_id", "source", *carried, slot, (slot * block + F.pmod(F.col("rank"), F.lit(block))).alias("position"))
+
+
+def _located(docs: DataFrame) -> DataFrame:
+    """``docs`` with mix_file and mix_row, where each row stands; what isn't read from files is written first."""
+    try:
+        return docs.select("*", F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    except AnalysisException:
+        return _located(cut(docs, "docs"))
 
 
 def in_mixing_order(docs: DataFrame, weights: dict | None = None, block: int = 16) -> DataFrame:
     """``docs`` range-partitioned and sorted in mixing order.
 
     Files written from it hold that order by part number and row in a part; Spark reads files by size, so a
-    reader has to sort by these. Columns and rows stay as they are; each occurrence of a repeated doc_id takes one of its places.
+    reader has to sort by these. Columns and rows stay as they are; rows are told apart by where they stand,
+    so those that repeat a doc_id or have none are dealt out like others.
     """
-    places = mixed(docs, weights, block)
-    copy = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("position"))
-    places = cut(places.withColumn("copy", copy).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "copy", "position"), "places")
-    repeated = not places.where("copy > 1").isEmpty()
-    if repeated:
-        own = F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long"), "source").orderBy(F.xxhash64("text")))
-        left = docs.withColumn("mix_copy", own)
-    else:
-        left = docs.withColumn("mix_copy", F.lit(1))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_copy") == F.col("copy"))
-    joined = left.join(places, same)
-    return joined.repartitionByRange("position").sortWithinPartitions("position").select(docs.columns)
+    rows = _located(docs)
+    place = ("mix_file", "mix_row")
+    places = cut(mixed(rows, weights, block, carried=place).select(*place, "position"), "places")
+    return rows.join(places, list(place)).repartitionByRange("position").sortWithinPartitions("position").select(docs.columns)
