@@ -31,6 +31,17 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else x.casefold())
 
 
+@F.pandas_udf(StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+
+def folded(text: Column) -> Column:
+    """NFKC, then case folded. ASCII needs neither: it is lower-cased in the JVM, and only other texts go to Python."""
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_, F.lower(text)).otherwise(_folded(F.when(~ascii_, text)))
+
+
 def collapsed(text: Column) -> Column:
     """Runs of Unicode white space as one space, ends trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

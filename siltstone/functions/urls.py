@@ -51,9 +51,21 @@ def catalog_url(url: Column) -> Column:
     return F.when(_web(url), _with_query(F.concat(scheme, F.lit("://"), host(url), kept, path), F.array_join(pairs, "&")))
 
 
+def _decoded(text: Column) -> Column:
+    """Percent signs and plus read; what isn't well encoded stays."""
+    return F.coalesce(F.try_url_decode(text), text)
+
+
+def _rewritten(pair: Column) -> Column:
+    """name=value with both encoded anew: the unreserved signs bare, a space as plus, a bare name with an equals sign."""
+    encoded = lambda c: F.replace(F.replace(F.url_encode(_decoded(c)), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    value = F.when(F.contains(pair, F.lit("=")), F.regexp_replace(pair, "^[^=]*=", "")).otherwise("")
+    return F.concat(encoded(F.substring_index(pair, "=", 1)), F.lit("="), encoded(value))
+
+
 def fact_url(url: Column) -> Column:
-    """Provenance form: tracking parameters and fragment dropped, order of the others kept."""
-    pairs = F.filter(F.split(part(url, 4), "&"), lambda x: (x != "") & ~F.lower(F.substring_index(x, "=", 1)).isin(TRACKING))
+    """Provenance form: tracking parameters and fragment dropped, order of the others kept, each decoded and encoded again."""
+    pairs = F.transform(F.filter(F.split(part(url, 4), "&"), lambda x: (x != "") & ~F.lower(_decoded(F.substring_index(x, "=", 1))).isin(TRACKING)), _rewritten)
     base = F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 2)), part(url, 3))
     return F.when(F.trim(url) != "", _with_query(base, F.array_join(pairs, "&")))
 

@@ -109,8 +109,10 @@ def choose_facet(links: DataFrame, page: str) -> DataFrame:
 
 
 def iso_utc(text: Column) -> Column:
-    """ISO time as UTC timestamp; without zone it is UTC, and what is no time is null."""
-    return F.try_to_timestamp(F.trim(text))
+    """ISO time as UTC timestamp; without zone it is UTC, whatever the session's is, and what is no time is null."""
+    clean = F.trim(text)
+    timed = F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(clean, F.lit("T00:00:00"))).otherwise(clean)
+    return F.try_to_timestamp(F.when(timed.rlike(r"(?i)(z|utc|[+-]\d{2}:?\d{2})$"), timed).otherwise(F.concat(timed, F.lit("Z"))))
 
 
 def string_list(json: Column) -> Column:

@@ -10,9 +10,9 @@ def merge_nodes(old: DataFrame, found: DataFrame) -> DataFrame:
     """Nodes (node_key, status, attempts, priority, owner, metadata map) with rediscovered ones merged in.
 
     Status and attempts stay, the greatest priority wins, a missing owner is filled, metadata
-    keys that are there win.
+    keys that are there win. Of several finds of a node the one of least priority gives the metadata, ties to the least as JSON.
     """
-    news = found.groupBy("node_key").agg(F.max("priority").alias("p"), F.min("owner").alias("o"), F.min_by("metadata", "priority").alias("m"))
+    news = found.groupBy("node_key").agg(F.max("priority").alias("p"), F.min("owner").alias("o"), F.min_by("metadata", F.struct("priority", F.to_json("metadata"))).alias("m"))
     empty = F.create_map().cast("map<string,string>")
     mine, other = F.coalesce("metadata", empty), F.coalesce("m", empty)
     merged = F.map_concat(mine, F.map_filter(other, lambda k, v: ~F.map_contains_key(mine, k)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import ordered_digest
+from siltstone.functions.text import folded
 
 Order = Sequence[Column]
 
@@ -33,22 +34,21 @@ def top_per_key(df: DataFrame, keys: list[str], order: Order, n: int, rank: str
 
 
 def ordered_union(df: DataFrame, keys: list[str], value: str, order: Order, separator: str = "；") -> DataFrame:
-    """Union of a field's values per key: first of each in case-insensitive comparison, in order, joined."""
-    folded = F.lower(value)
-    first = best_by(df.where(F.col(value).isNotNull()), [*keys, "_key"], order) if "_key" in df.columns else best_by(df.where(F.col(value).isNotNull()).withColumn("_key", folded), [*keys, "_key"], order)
+    """Union of a field's values per key: first of each in case-folded comparison, in order, joined."""
+    first = best_by(df.where(F.col(value).isNotNull()).withColumn("_key", folded(F.col(value))), [*keys, "_key"], order)
     ranked = first.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     rows = F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col(value).alias("v"))))
     return ranked.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda x: x["v"]), separator).alias(value), F.count(F.lit(1)).alias("n_values"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``old`` with the rows of ``new`` put in; columns in ``keep`` keep an old value that is there."""
-    a, b = old.alias("a"), new.alias("b")
+    """``old`` with the rows of ``new`` put in, nulls too; columns in ``keep`` keep an old value that is there."""
+    a, b = old.alias("a"), new.withColumn("_new", F.lit(True)).alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
 
     def pick(c: str) -> Column:
-        first, second = (f"a.{c}", f"b.{c}") if c in keep else (f"b.{c}", f"a.{c}")
-        return F.coalesce(first, second).alias(c)
+        fresh = F.when(F.col("b._new"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
+        return (F.coalesce(f"a.{c}", f"b.{c}") if c in keep else fresh).alias(c)
 
     return a.join(b, on, "full_outer").select([pick(c) for c in old.columns])
 
@@ -85,18 +85,25 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.sha2(F.col(key).cast("string").cast("binary"), 256), key).limit(n)
 
 
-def manifest(df: DataFrame, partition: str, key: Column, payload: Column, partitions: DataFrame | None = None, digits: int = 2) -> DataFrame:
+def manifest(df: DataFrame, partition: str, key: Column, payload: Column, partitions: DataFrame | None = None, digits: int = 2, levels: int = 1) -> DataFrame:
     """Count, least and greatest key, and digest of the ordered rows of each partition.
 
     A partition's rows are digested in buckets, by the first hex ``digits`` of the
     key's SHA-256, and the buckets' digests in order make the partition's: no task gathers a
-    whole partition. ``partitions`` lists those that must appear though they are empty.
+    whole partition. ``levels`` stages of ``digits`` each keep buckets small in larger tables: 16 ** (digits * levels) buckets
+    are digested first, and each stage after that takes 16 ** digits digests together. The checksum depends on
+    both, so they are part of a manifest's version. ``partitions`` lists those that must appear though they are empty.
     """
     rows = df.select(partition, key.cast("string").alias("_key"), F.sha2(payload.cast("binary"), 256).alias("_sha"))
-    bucket = F.substring(F.sha2(F.col("_key").cast("binary"), 256), 1, digits)
+    bucket = F.substring(F.sha2(F.col("_key").cast("binary"), 256), 1, digits * levels)
     parts = rows.groupBy(partition, bucket.alias("_bucket")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_low"), F.max("_key").alias("_high"), ordered_digest(F.col("_key"), F.col("_sha")).alias("_digest")
     )
+    for level in range(levels - 1, 0, -1):
+        above = F.substring("_bucket", 1, digits * level).alias("_above")
+        parts = parts.groupBy(partition, above).agg(
+            F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"), ordered_digest(F.col("_bucket"), F.col("_digest")).alias("_digest")
+        ).withColumnRenamed("_above", "_bucket")
     found = parts.groupBy(partition).agg(
         F.sum("_n").alias("row_count"), F.min("_low").alias("min_key"), F.max("_high").alias("max_key"), ordered_digest(F.col("_bucket"), F.col("_digest")).alias("checksum")
     )

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import sparse_index
-from siltstone.functions.text import bm25_tokens, casefold, nfkc, sparse_tokens
-from siltstone.functions.vectors import cosine, dcg, finite
+from siltstone.functions.text import bm25_tokens, folded, sparse_tokens
+from siltstone.functions.vectors import dcg, finite
 from siltstone.operators.relational import top_per_key
+from siltstone.storage import cut
 
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, token, tf, length): a row a document and token."""
-    tokens = docs.select(doc, bm25_tokens(casefold(nfkc(F.col(text)))).alias("tokens"))
+def tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, tokens), cut: every figure of a ranking then starts from files instead of the texts."""
+    return cut(docs.select(key, bm25_tokens(folded(F.col(text))).alias("tokens")), "tokens")
+
+
+def postings(tokens: DataFrame, doc: str) -> DataFrame:
+    """(doc, token, tf, length): a row a document and token of :func:`tokenised` documents."""
     exploded = tokens.select(doc, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
     return exploded.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
 
@@ -23,15 +30,17 @@ def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", k: int = 10) -> DataFrame:
     """Best ``k`` documents of every query by BM25: (query, doc, score, rank); ties to the smaller doc.
 
-    Postings of tokens that no query has go before anything is joined; scores are summed
+    Texts are tokenised once. Postings of tokens that no query has go before anything is joined; scores are summed
     before the ranking's shuffle. Corpus figures are two numbers.
     """
-    rows = postings(docs, doc, text)
-    asked = queries.select(query, F.explode(F.array_distinct(bm25_tokens(casefold(nfkc(F.col(text)))))).alias("token"))
+    tokens = tokenised(docs, doc, text)
+    asked = queries.select(query, F.explode(F.array_distinct(bm25_tokens(folded(F.col(text))))).alias("token"))
     wanted = asked.select("token").distinct()
-    used = rows.join(wanted, "token", "left_semi")
+    # tokens go before they are counted: most of a text's are in no query
+    used = tokens.select(doc, F.size("tokens").alias("length"), F.explode("tokens").alias("token")).join(wanted, "token", "left_semi")
+    used = cut(used.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length")), "postings")
     df = used.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    figures = docs.select(F.size(bm25_tokens(casefold(nfkc(F.col(text))))).cast("double").alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("n") / F.count(F.lit(1))).alias("mean"))
+    figures = tokens.select(F.size("tokens").cast("double").alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("n") / F.count(F.lit(1))).alias("mean"))
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
     part = idf * (F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * (1.0 - B + B * F.col("length") / mean))
@@ -42,7 +51,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str =
 
 def sparse_vectors(docs: DataFrame, doc: str, text: str, version: str) -> DataFrame:
     """(doc, index, value): saturated counts at hashed indices; tokens that collide stay rows of their own."""
-    tokens = docs.select(doc, F.explode(sparse_tokens(casefold(nfkc(F.col(text))))).alias("token"))
+    tokens = docs.select(doc, F.explode(sparse_tokens(folded(F.col(text)))).alias("token"))
     counts = tokens.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"))
     return counts.select(doc, "token", sparse_index(version, F.col("token")).alias("index"), (F.col("tf") * 2.2 / (F.col("tf") + 1.2)).alias("value"))
 
@@ -50,22 +59,49 @@ def sparse_vectors(docs: DataFrame, doc: str, text: str, version: str) -> DataFr
 def sparse_search(vectors: DataFrame, asked: DataFrame, doc: str, query: str, k: int) -> DataFrame:
     """Best ``k`` documents of every query by inner product of sparse vectors."""
     right = asked.select(query, "index", F.col("value").alias("weight"))
+    # rows that no query meets go before the join, and what is left is one that AQE may split where an index is hot
+    vectors = vectors.join(right.select("index").distinct(), "index", "left_semi")
     scores = vectors.join(right, "index").groupBy(query, doc).agg(F.round(F.sum(F.col("value") * F.col("weight")), 6).alias("score"))
     return top_per_key(scores, [query], [F.desc("score"), F.col(doc)], k)
 
 
-def dense_search(vectors: DataFrame, asked: DataFrame, k: int, salts: int = 32) -> DataFrame:
+BLOCK = 8_192  # vectors that a block of dense search holds, as a mean
+
+
+def _block_best(k: int):
+    """The best ``k`` of a block for each query by cosine, with what a rounding to six digits may tie with them."""
+
+    def run(stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(stored) and len(asked):
+            x, q = (np.array(df[c].tolist(), np.float64) for df, c in ((stored, "v"), (asked, "q")))
+            ids, asks = stored["id"].to_numpy(), asked["query_id"].to_numpy()
+            xn, qn = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+            for at in range(0, len(q), 256):
+                part = slice(at, at + 256)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = (q[part] @ x.T) / (qn[part, None] * xn[None])
+                score[(asks[part, None] == ids[None]) | ~np.isfinite(score)] = -np.inf
+                least = np.partition(score, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(score), -np.inf)
+                a, b = np.nonzero((score >= least[:, None] - 2e-6) & np.isfinite(score))
+                out.append(pd.DataFrame({"query_id": asks[part][a], "id": ids[b], "score": score[a, b]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    return run
+
+
+def dense_search(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """Best ``k`` of ``vectors`` for every row of ``asked`` (both id, v) by cosine, itself excluded: (query_id, id, score, rank).
 
-    The queries are a stated set. Vectors are dealt out to ``salts`` blocks and every
-    block gets the queries; it ranks its own before the blocks' best meet.
+    The queries are a stated set, in blocks against blocks of all rows: a block is a product of
+    matrices, and only its best leave it. Blocks are as many as the rows ask for.
     """
     sure = lambda df: df.where(finite(F.col("v")))
-    left = sure(vectors).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("block"))
-    right = sure(asked).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("block"))
-    scores = left.join(right, "block").where("id <> query_id").select("block", "query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score")).where("score is not null")
-    order = [F.desc("score"), F.col("id")]
-    return top_per_key(top_per_key(scores, ["query_id", "block"], order, k).drop("rank", "block"), ["query_id"], order, k)
+    n = max(1, -(-vectors.count() // BLOCK))
+    left = sure(vectors).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
+    right = sure(asked).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    best = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(_block_best(k), "query_id long, id long, score double")
+    return top_per_key(best.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], query: str, doc: str, k: int = 60) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siltstone.functions.hashing import ordered_digest
 from siltstone.operators.relational import manifest
 
 
@@ -46,9 +47,9 @@ def markdown_chunks(docs: DataFrame) -> DataFrame:
 
 
 def knowledge_version(chunks: DataFrame) -> DataFrame:
-    """One row (content_hash, version) of the chunks' sorted hashes."""
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list("chunk_hash")), "\n").cast("binary"), 256)
-    return chunks.agg(digest.alias("content_hash")).select("content_hash", F.concat(F.lit("kb-v1-"), F.substring("content_hash", 1, 12)).alias("version"))
+    """One row (content_hash, version) of the chunks' sorted hashes, digested in buckets by their first digits."""
+    parts = chunks.groupBy(F.substring("chunk_hash", 1, 3).alias("bucket")).agg(ordered_digest(F.col("chunk_hash"), F.col("chunk_hash")).alias("digest"))
+    return parts.agg(ordered_digest(F.col("bucket"), F.col("digest")).alias("content_hash")).select("content_hash", F.concat(F.lit("kb-v1-"), F.substring("content_hash", 1, 12)).alias("version"))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -85,14 +86,26 @@ def write_snapshot(df: DataFrame, root: str, key: str) -> str:
     return path
 
 
+def _pointers(spark: SparkSession, pointer: str) -> list[int]:
+    """Numbers of the pointers that were written whole, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(pointer).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(pointer)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path(pointer))]
+    return sorted(int(n[3:]) for n in names if n.startswith("at=") and fs.exists(path(f"{pointer}/{n}/_SUCCESS")))
+
+
 def promote(spark: SparkSession, pointer: str, version: str) -> None:
-    """Make ``version`` the active one: the pointer table is written aside and renamed."""
-    jvm = spark._jvm
-    fresh = f"{pointer}.next"
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(fresh)
-    old, new = jvm.org.apache.hadoop.fs.Path(pointer), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{fresh} can't be renamed")
+    """Make ``version`` the active one: a pointer behind those that are there, which counts once it is written whole.
+
+    A crash on the way leaves the version before active.
+    """
+    n = max(_pointers(spark, pointer), default=0) + 1
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{pointer}/at={n}")
+
+
+def active(spark: SparkSession, pointer: str) -> str | None:
+    """The version that was promoted last; None before the first."""
+    there = _pointers(spark, pointer)
+    return spark.read.parquet(f"{pointer}/at={there[-1]}").first()["version"] if there else None

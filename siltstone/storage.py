@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, as the session names it.
 
-    ``spark.checkpoint.dir`` is the cluster's setting. Where nobody set one, as
-    in local tests, a temporary folder is made and kept for the session.
+    ``spark.checkpoint.dir`` is the cluster's setting. Where nobody set one, a local
+    session, whose executors are this machine, makes a temporary folder and keeps it; a cluster is told to set it.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(where)
     return where

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
@@ -72,18 +72,53 @@ def work_queue(outcomes: DataFrame, most: int = 3, base: float = 30.0, cap: floa
     return outcomes.groupBy("key").applyInPandasWithState(step, QUEUE, "state string, attempts int, next_retry_at double, changes long", "update", GroupStateTimeout.NoTimeout)
 
 
-def into_table(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Upsert each micro-batch of all that is there into a Parquet table of versions.
+def into_table(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Upsert each micro-batch of all that is there into a Parquet table of key buckets; read it by :func:`current`.
 
-    Version n holds the table after batch n and is written whole before it counts, so a
-    batch that runs again after a failure writes the same version again.
+    Of a key's rows in a batch the one greatest in ``order`` counts, so a batch that runs again
+    writes the same. Batch n writes only the buckets that it touches, as version n, whole before it counts; what
+    no longer is the newest or the one before goes.
     """
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates(keys)
-        if n:
-            batch = upsert(spark.read.parquet(f"{path}/version={n - 1}"), batch, keys)
-        batch.write.mode("overwrite").parquet(f"{path}/version={n}")
+        own = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
+        values = [c for c in batch.columns if c not in keys]
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order, *values)).alias("_row")).select(*keys, "_row.*")
+        newest = newest.select(*batch.columns).withColumn("bucket", own).persist()
+        touched = [r[0] for r in newest.select("bucket").distinct().collect()]  # buckets at most
+        old = current(spark, path, n)
+        merged = newest if old is None else upsert(old.where(F.col("bucket").isin(touched)), newest, [*keys, "bucket"])
+        merged.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/version={n}")
+        newest.unpersist()
+        _prune(spark, path, n)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, path: str, before: int) -> dict[int, list[int]]:
+    """Buckets and the whole versions below ``before`` that hold them, oldest first."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    names = [f.getPath().getName() for f in fs.listStatus(make(path))] if fs.exists(make(path)) else []
+    for n in sorted(int(x[8:]) for x in names if x.startswith("version=") and fs.exists(make(f"{path}/{x}/_SUCCESS"))):
+        if n < before:
+            for f in fs.listStatus(make(f"{path}/version={n}")):
+                if f.getPath().getName().startswith("bucket="):
+                    found.setdefault(int(f.getPath().getName()[7:]), []).append(n)
+    return found
+
+
+def current(spark: SparkSession, path: str, before: int = 1 << 62) -> DataFrame | None:
+    """The newest version of each bucket of a table of :func:`into_table`; None before the first."""
+    newest = [f"{path}/version={v[-1]}/bucket={b}" for b, v in sorted(_versions(spark, path, before).items())]
+    return spark.read.option("basePath", path).parquet(*newest).drop("version") if newest else None
+
+
+def _prune(spark: SparkSession, path: str, n: int) -> None:
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket, versions in _versions(spark, path, n + 1).items():
+        for old in versions[:-2]:
+            fs.delete(make(f"{path}/version={old}/bucket={bucket}"), True)

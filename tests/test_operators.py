@@ -151,6 +151,12 @@ def test_sqlite_files_and_snapshots(spark, tmp_path):
     assert rows(df.select("id", "name", "email")) == [(0, "n0", None), (1, "n1", None)]
     first = files.write_snapshot(df.drop("source_file"), str(tmp_path / "s"), "id")
     assert files.write_snapshot(df.drop("source_file"), str(tmp_path / "s"), "id") == first and spark.read.parquet(first).count() == 2
-    files.promote(spark, str(tmp_path / "active"), "v1")
-    files.promote(spark, str(tmp_path / "active"), "v2")
-    assert rows(spark.read.parquet(str(tmp_path / "active"))) == [("v2",)]
+    where = str(tmp_path / "active")
+    assert files.active(spark, where) is None
+    files.promote(spark, where, "v1")
+    files.promote(spark, where, "v2")
+    assert files.active(spark, where) == "v2"
+    (tmp_path / "active" / "at=3").mkdir()  # a promotion that never ended
+    assert files.active(spark, where) == "v2"
+    files.promote(spark, where, "v3")
+    assert files.active(spark, where) == "v3"

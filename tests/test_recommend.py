@@ -5,14 +5,14 @@ from siltstone.functions import repair
 from siltstone.operators import recommend
 
 
-@pytest.mark.parametrize("text, want", [("ä¸\xadæ\x96\x87", "中文"), ("café", "café"), ("中文", "中文"), ("", ""), (None, None)])
-def test_mojibake(text, want):
-    assert repair.repaired(text) == want
+@pytest.mark.parametrize("text, want", [("ä¸\xadæ\x96\x87", "中文"), ("café", "café"), ("中文", "中文"), ("", ""), ("Ã©t", "ét"), ("é", "é"), (None, None)])
+def test_mojibake(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(repair.repair_mojibake(F.col("t"))).first()[0] == want
 
 
-@pytest.mark.parametrize("name, want", [("计算机（ 软件", "计算机（软件）"), ("a) b", "a b"), ("  ", None), ("x (y）z", "x(yz)"), (None, None)])
-def test_brackets(name, want):
-    got = repair.balanced(name)
+@pytest.mark.parametrize("name, want", [("计算机（ 软件", "计算机（软件）"), ("a) b", "a b"), ("  ", None), ("x (y）z", "x(yz)"), ("((a", "((a))"), (")", None), ("甲（乙(丙）丁", "甲（乙(丙丁)）"), (None, None)])
+def test_brackets(spark, name, want):
+    got = spark.createDataFrame([(name,)], "t string").select(repair.org_unit_name(F.col("t"))).first()[0]
     assert got is None and want is None or got.replace(" ", "") == want.replace(" ", "")
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.streaming import events
 
@@ -36,5 +37,10 @@ def test_work_queue_state(spark, stream):
 
 def test_upserts_resume(spark, stream, tmp_path):
     for _ in range(2):
-        events.into_table(stream.select("user_id", "event_type"), str(tmp_path / "t"), ["user_id"], str(tmp_path / "c")).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t/version=0")).collect()) == [(7, "a"), (8, "b")]
+        events.into_table(stream.select("user_id", "event_type", "event_id"), str(tmp_path / "t"), ["user_id"], ["event_id"], str(tmp_path / "c")).awaitTermination()
+    there = lambda: sorted((r.user_id, r.event_type) for r in events.current(spark, str(tmp_path / "t")).collect())
+    assert there() == [(7, "a"), (8, "b")]
+    later = spark.createDataFrame([(9, "2024-01-02 00:00:00", None, 1.0, 8), (8, "2024-01-02 00:00:00", "z", 1.0, 8)], "event_id long, ts string, event_type string, value double, user_id long")
+    later.withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "event_type", "value", "user_id").write.mode("append").parquet(str(tmp_path / "in"))
+    events.into_table(stream.select("user_id", "event_type", "event_id"), str(tmp_path / "t"), ["user_id"], ["event_id"], str(tmp_path / "c")).awaitTermination()
+    assert there() == [(7, "a"), (8, None)]
