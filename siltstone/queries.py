@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import catalog, core, entities, texts
+from siltstone.plans import catalog, core, crawl, entities, texts
 
-_MODULES = (core, texts, entities, catalog)
+_MODULES = (core, texts, entities, catalog, crawl)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.QUERIES.sql.items()}
