@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import catalog, core, crawl, entities, export, texts
+from siltstone.plans import answers, catalog, core, crawl, entities, export, texts
 
-_MODULES = (core, texts, entities, catalog, crawl, export)
+_MODULES = (core, texts, entities, catalog, crawl, export, answers)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.QUERIES.sql.items()}
