@@ -70,6 +70,11 @@ def email(text: Column) -> Column:
     return F.when(clean.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), F.concat(F.substring_index(clean, "@", 1), F.lit("@"), F.lower(F.substring_index(clean, "@", -1))))
 
 
+def fold(text: Column) -> Column:
+    """Case folding without Python, for use inside array functions: upper case first, which spells out what has two cases of unequal length."""
+    return F.lower(F.upper(text))
+
+
 def first_of_each(items: Column, key) -> Column:
     """Array without the items whose key came before."""
     keyed = F.transform(items, lambda x: F.struct(x.alias("value"), key(x).alias("key")))
@@ -86,7 +91,7 @@ def multivalue(normal: Column) -> Column:
     ``normal`` is a column of NFKC text: the UDF can't stand inside the array functions. It is collapsed first, so line breaks are spaces by then and don't split.
     """
     parts = F.filter(F.transform(F.split(meaningful(normal), MULTI_SEPARATORS), meaningful), lambda x: x.isNotNull())
-    return F.coalesce(first_of_each(parts, F.lower), F.array().cast("array<string>"))
+    return F.coalesce(first_of_each(parts, fold), F.array().cast("array<string>"))
 
 
 def language(text: Column) -> Column:
@@ -100,7 +105,7 @@ def statements(text: Column) -> Column:
 
     Splits on separators and line breaks, drops a field label, a list marker and edge signs.
     """
-    raw = F.filter(F.transform(F.split(text, MULTI_SEPARATORS), F.trim), lambda x: x != "")
+    raw = F.filter(F.transform(F.split(text, MULTI_SEPARATORS), lambda x: F.trim(x)), lambda x: x != "")
     label = r"^(?:研究方向|研究领域|研究兴趣|Research (?:interests?|areas?|directions?))\s*[:：]\s*"
     marker = r"^\s*(?:[\(（\[【]?\d{1,3}[\)）\]】.、:：]|[-*•·])\s*"
 
@@ -108,7 +113,7 @@ def statements(text: Column) -> Column:
         return F.btrim(F.regexp_replace(F.regexp_replace(collapsed(x), f"(?i){label}", ""), marker, ""), F.lit(EDGE_SIGNS))
 
     parts = F.filter(F.transform(raw, lambda x: F.struct(x.alias("raw"), clean(x).alias("text"))), lambda x: x["text"].rlike(r"(?U)[\p{L}\p{N}]"))
-    kept = first_of_each(parts, lambda x: F.lower(x["text"]))
+    kept = first_of_each(parts, lambda x: fold(x["text"]))
     return F.transform(kept, lambda x: F.struct(x["raw"].alias("raw"), x["text"].alias("text"), language(x["text"]).alias("language"), F.sha2(x["text"].cast("binary"), 256).alias("hash")))
 
 
@@ -130,7 +135,7 @@ def publications(text: Column) -> Column:
         one = lambda a: F.when(F.size(a) == 1, a[0])
         return F.struct(x.alias("text"), one(d).alias("doi"), one(y).cast("int").alias("year"), ((F.size(d) > 1) | (F.size(y) > 1)).alias("needs_review"))
 
-    return F.transform(first_of_each(parts, F.lower), mention)
+    return F.transform(first_of_each(parts, fold), mention)
 
 
 def bm25_tokens(folded: Column) -> Column:

@@ -98,9 +98,9 @@ def claim_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.add()
 def greedy_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of a conversation within a budget; turns that say "the" always stay."""
+    """Facts of a conversation within a budget; turns that say "the" as a word always stay."""
     facts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("subject_id"), F.col("turn").alias("ordinal"), F.col("text").alias("value"))
-    return grounding.trim_facts(facts, 200, [" heheonha "]).select("subject_id", "ordinal", "hit", "cost")
+    return grounding.trim_facts(facts, 200, [" the "]).select("subject_id", "ordinal", "hit", "cost")
 
 
 @QUERIES.add(
@@ -122,12 +122,20 @@ def facet_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.add(
     """
-    SELECT user_id AS node_key, 'pending' AS status, 0 AS attempts, max("value") AS priority, min(event_type) AS owner FROM events GROUP BY user_id"""
+    WITH o AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'done' ELSE 'retry' END AS status, CAST(c_custkey % 3 AS INTEGER) AS attempts, 100.0::DOUBLE AS priority, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'seed' END AS owner FROM customer WHERE c_custkey % 3 > 0),
+    n AS (SELECT user_id AS k, max("value") AS p, min(event_type) AS o, arg_min(event_type, ("value", event_type)) AS first FROM events GROUP BY user_id)
+    SELECT coalesce(o.k, n.k) AS node_key, coalesce(status, 'pending') AS status, coalesce(attempts, 0) AS attempts, greatest(priority, p) AS priority, coalesce(owner, n.o) AS owner,
+      CASE WHEN o.k IS NOT NULL THEN 'mine' ELSE first END AS kept, CASE WHEN n.k IS NOT NULL THEN first END AS filled FROM o FULL JOIN n ON o.k = n.k"""
 )
 def frontier_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "events").select(F.col("user_id").alias("node_key"), F.col("value").alias("priority"), F.col("event_type").alias("owner"), F.create_map(F.lit("props"), "props").alias("metadata"))
-    old = found.where(F.lit(False)).select("node_key", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), "priority", "owner", "metadata")
-    return frontier.merge_nodes(old, found).drop("metadata")
+    """Customers as known nodes, events as finds of nodes: a metadata key that is there stays, another is added."""
+    found = table(spark, sf_dir, "events").select(F.col("user_id").alias("node_key"), F.col("value").alias("priority"), F.col("event_type").alias("owner"), F.create_map(F.lit("kept"), "event_type", F.lit("filled"), "event_type").alias("metadata"))
+    key = F.col("c_custkey")
+    old = table(spark, sf_dir, "customer").where(key % 3 > 0).select(
+        key.alias("node_key"), F.when(key % 2 == 0, "done").otherwise("retry").alias("status"), (key % 3).cast("int").alias("attempts"), F.lit(100.0).alias("priority"), F.when(key % 4 > 0, "seed").alias("owner"), F.create_map(F.lit("kept"), F.lit("mine")).alias("metadata")
+    )
+    merged = frontier.merge_nodes(old, found)
+    return merged.select("node_key", "status", "attempts", "priority", "owner", F.try_element_at("metadata", F.lit("kept")).alias("kept"), F.try_element_at("metadata", F.lit("filled")).alias("filled"))
 
 
 @QUERIES.add("SELECT event_id, least(30.0::DOUBLE * pow(2.0, user_id % 6), 600.0) AS delay FROM events")
@@ -181,8 +189,9 @@ def normalized_multivalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.nfkc(joined).alias("joined")).select("doc_id", text.multivalue(F.col("joined")).alias("items"))
 
 
-@QUERIES.add("SELECT l_shipmode, n FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n FROM lineitem GROUP BY 1) WHERE n > 0")
+@QUERIES.add("SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1 UNION ALL SELECT o_custkey, -1 FROM orders GROUP BY 1 HAVING count_if(o_orderkey % 2 = 0) = 0")
 def insert_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows inserted unless their key is there: a second insert of the same keys changes nothing."""
-    flags = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("l_shipmode")).agg(F.count(F.lit(1)).alias("n"))
-    return relational.insert_ignore(relational.insert_ignore(flags.where(F.lit(False)), flags, ["l_shipmode"]), flags.withColumn("n", F.lit(0).cast("long")), ["l_shipmode"])
+    """Customers' first even orders are there already: of a second insert only customers without one stay."""
+    orders = table(spark, sf_dir, "orders")
+    there = orders.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
+    return relational.insert_ignore(there, orders.select("o_custkey", F.lit(-1).cast("long").alias("first")), ["o_custkey"])
