@@ -55,7 +55,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         "n_lines",
-        F.size("licenses").cast("long").alias("n_found"),
+        F.size(F.array_distinct(F.col("licenses.license"))).cast("long").alias("n_found"),
         F.array_join(F.array_sort(F.array_distinct(F.col("licenses.license"))), ",").alias("licenses"),
         F.round(F.array_max(F.col("licenses.dice")), 6).alias("best_dice"),
     )
@@ -87,17 +87,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _license_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    templates = ", ".join(f"({quoted(n)}, [{', '.join(map(quoted, p))}])" for n, p in licenses.template_pairs(licenses.TEMPLATES))
+    known = licenses.template_pairs(licenses.TEMPLATES)
+    listed = lambda p: f"[{', '.join(map(quoted, p))}]"
+    templates = ", ".join(f"({quoted(n)}, {listed(p)})" for n, p in known)
+    opening = ", ".join(f"({quoted(known[t][0])}, {listed(known[t][1])}, {quoted(a)}, {quoted(b)}, {at}, {n})" for t, a, b, at, n in licenses.anchors(licenses.TEMPLATES))
+    most = int(max(len(p) for _, p in known) * (2 - licenses.DICE) / licenses.DICE)
     dotted = "regexp_replace(regexp_replace(s, '([0-9])\\.([0-9])', '\\1·\\2', 'g'), '([0-9])\\.([0-9])', '\\1·\\2', 'g')"
+    pairs = lambda w: f"CASE WHEN len({w}) > 1 THEN list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])) ELSE {w} END"
     return f"""
-        WITH t(name, pairs) AS (VALUES {templates}),
-        u AS (SELECT doc_id, text, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS parts FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
-        x AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS line FROM u UNION ALL SELECT doc_id, text, 0 FROM u WHERE len(parts) > 1),
-        w AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower({dotted}), '[^\\p{{L}}\\p{{N}}·]+', ' ', 'g')), ' ') AS words FROM x),
-        p AS (SELECT doc_id, line, CASE WHEN len(words) > 1 THEN list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) ELSE words END AS pairs FROM w WHERE words[1] <> ''),
-        m AS (SELECT doc_id, line, name, max(2.0::DOUBLE * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs))) AS d FROM p CROSS JOIN t WHERE len(p.pairs) <= 40 GROUP BY ALL),
-        f AS (SELECT doc_id, count(*) AS n_found, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, round(max(d), 6) AS best_dice FROM m WHERE d >= {licenses.DICE} GROUP BY doc_id)
-        SELECT u.doc_id, CAST(len(parts) AS BIGINT) AS n_lines, coalesce(n_found, 0) AS n_found, coalesce(licenses, '') AS licenses, best_dice FROM u LEFT JOIN f USING (doc_id)"""
+        WITH t(name, pairs) AS (VALUES {templates}), g(name, pairs, a, b, place, n) AS (VALUES {opening}),
+        u AS (SELECT row_number() OVER () AS row, doc_id, text, CASE WHEN text = '' THEN [] ELSE string_split(text, chr(10)) END AS parts FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+        x AS (SELECT row, doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS line FROM u UNION ALL SELECT row, doc_id, text, 0 FROM u WHERE len(parts) > 1),
+        w AS (SELECT row, doc_id, line, string_split(trim(regexp_replace(lower({dotted}), '[^\\p{{L}}\\p{{N}}·]+', ' ', 'g')), ' ') AS words FROM x),
+        p AS (SELECT row, doc_id, line, {pairs('words')} AS pairs FROM w WHERE words[1] <> ''),
+        m AS (SELECT row, doc_id, line, name, max(2.0::DOUBLE * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs))) AS d FROM p CROSS JOIN t WHERE len(p.pairs) <= {most} GROUP BY ALL),
+        k AS (SELECT row, doc_id, words, len(words) AS size FROM w WHERE words[1] <> '' AND (line = 0 OR row IN (SELECT row FROM u WHERE len(parts) = 1))),
+        o AS (SELECT row, doc_id, words, size, g.name, g.pairs, place, n, unnest(list_filter(range(1, size), lambda i: words[i] = a AND words[i + 1] = b)) AS i FROM k JOIN g ON contains(' ' || array_to_string(words, ' ') || ' ', ' ' || a || ' ' || b || ' ')),
+        c AS (SELECT row, doc_id, name, pairs AS theirs, list_slice(words, greatest(i - place, 1), least(i - place + n - 1, size)) AS own FROM o),
+        z AS (SELECT row, doc_id, name, theirs, {pairs('own')} AS mine FROM c),
+        v AS (SELECT row, doc_id, name, max(2.0::DOUBLE * len(list_intersect(mine, theirs)) / (len(mine) + len(theirs))) AS d FROM z GROUP BY ALL),
+        b AS (SELECT row, doc_id, name, d FROM m WHERE d >= {licenses.DICE} UNION ALL SELECT row, doc_id, name, d FROM v WHERE d >= {licenses.DICE}),
+        f AS (SELECT row, count(DISTINCT name) AS n_found, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, round(max(d), 6) AS best_dice FROM b GROUP BY row)
+        SELECT u.doc_id, CAST(len(parts) AS BIGINT) AS n_lines, coalesce(n_found, 0) AS n_found, coalesce(licenses, '') AS licenses, best_dice FROM u LEFT JOIN f USING (row)"""
 
 
 #: DuckDB SQL of the queries that SQL expresses at whole-table size.

@@ -23,6 +23,17 @@ def brute(text):
             d = 2 * len(mine & theirs) / (len(mine) + len(theirs)) if mine else 0
             if d >= licenses.DICE:
                 best[line, name] = max(d, best.get((line, name), 0))
+    spelt = [(w, i) for i, line in enumerate(lines, 1) for w in words(line)]
+    for n, a, b, at, size in licenses.anchors(licenses.TEMPLATES):
+        name, template = licenses.TEMPLATES[n]
+        theirs = pairs(words(template))
+        for i in range(len(spelt) - 1):
+            if (spelt[i][0], spelt[i + 1][0]) == (a, b):
+                window = spelt[max(0, i - at) : i - at + size]
+                mine = pairs([w for w, _ in window])
+                d = 2 * len(mine & theirs) / (len(mine) + len(theirs))
+                if d >= licenses.DICE:
+                    best[window[0][1], name] = max(d, best.get((window[0][1], name), 0))
     return len(lines), sorted((a, b, d) for (a, b), d in best.items())
 
 
@@ -38,5 +49,20 @@ def test_scan_matches_brute_force(spark):
         assert [(m.line, m.license, m.dice) for m in r.licenses] == want
 
 
+def test_wrapped_and_embedded_notices_are_found(spark):
+    mit = dict(licenses.TEMPLATES[::-1])["MIT"]
+    body = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 300).split()
+    wrapped = "\n * ".join(" ".join(body[i : i + 9]) for i in range(0, len(body), 9))
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and "redistribute" in t)
+    texts = [f"/*\n * Copyright 2020\n * {wrapped}\n */\nint main;", "This project and its docs are released under the MIT License.", f"text before. {gpl.replace('Foundation', 'foundation of all')} and after", "word " * 400 + "\nLicensed under\nCC BY-SA 4.0 or so"]
+    out = license_names(spark, texts)
+    assert out[0] == ["MIT"] and out[1] == ["MIT"] and out[2] == ["GPL-3.0"] and out[3] == [] and mit
+
+
+def license_names(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: sorted({m.license for m in r.licenses}) for r in licenses.license_scan(df).collect()}
+
+
 def test_empty_table(spark):
     assert licenses.license_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
