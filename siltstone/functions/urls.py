@@ -41,13 +41,13 @@ def crawl_identity(url: Column) -> Column:
 
 
 def catalog_url(url: Column) -> Column:
-    """Catalogue form: default ports dropped, path never empty, query pairs sorted, no fragment."""
+    """Catalogue form: default ports dropped, path never empty, query pairs decoded, encoded again and sorted, no fragment."""
     scheme = F.lower(part(url, 1))
     port = F.regexp_extract(F.regexp_replace(part(url, 2), "^.*@", ""), r":(\d+)$", 1)
     kept = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), F.lit("")).otherwise(F.concat(F.lit(":"), port))
     path = F.when(part(url, 3) == "", F.lit("/")).otherwise(part(url, 3))
     path = F.when(F.length(path) > 1, F.coalesce(F.nullif(F.regexp_replace(path, "/+$", ""), F.lit("")), F.lit("/"))).otherwise(path)
-    pairs = F.array_sort(F.filter(F.split(part(url, 4), "&"), lambda x: x != ""))
+    pairs = F.array_sort(F.transform(F.filter(F.split(part(url, 4), "&"), lambda x: x != ""), _rewritten))
     return F.when(_web(url), _with_query(F.concat(scheme, F.lit("://"), host(url), kept, path), F.array_join(pairs, "&")))
 
 

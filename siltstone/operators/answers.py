@@ -288,15 +288,16 @@ def semantic_profile(rows: DataFrame, template: str = "baseline-v1", most: int =
     """
     research, publications, bio = TEMPLATES[template]
     budgets = {"school": 64, "org": 128, "title": 64, "research": research, "topics": 768, "publications": publications, "bio": bio}
-    joined = lambda c: F.array_join(F.filter(F.transform(F.coalesce(c, _none()), lambda x: normal_lines(x)), lambda x: x != ""), "\n")
-    texts = {"school": F.col("school"), "org": F.col("org"), "title": F.col("title"), "research": joined("statements"), "topics": joined("topics"), "publications": joined("publications"), "bio": F.col("bio")}
+    whole = lambda c: F.split(nfkc(F.array_join(F.coalesce(c, _none()), "\x01")), "\x01")  # noqa: E731  # one text for the UDF, which can't stand inside array functions
+    joined = lambda c: F.array_join(F.filter(F.transform(whole(c), lambda x: normal_lines(x)), lambda x: x != ""), "\n")
+    texts = {"school": F.col("school"), "org": F.col("org"), "title": F.col("title"), "research": joined(F.col("statements")), "topics": joined(F.col("topics")), "publications": joined(F.col("publications")), "bio": F.col("bio")}
 
     def within(text: Column, budget: int) -> Column:
         return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?Us)^\s*((?:\S+\s*){{0,{budget}}})", 1))
 
     lines = [F.when((text := within(texts[c], budgets[c])) != "", F.concat(F.lit(f"{label}："), text)) for label, c, _ in PROFILE_LINES]
-    whole = normal_lines(within(F.concat_ws("\n", *lines), most))
-    out = rows.select("entity_id", whole.alias("profile"))
+    profile = normal_lines(within(F.concat_ws("\n", *lines), most))
+    out = rows.select("entity_id", profile.alias("profile"))
     digest = F.sha2(F.concat(F.lit(f"{template}\n"), F.col("profile")).cast("binary"), 256)
     return out.select("entity_id", "profile", digest.alias("profile_hash"), F.size(F.regexp_extract_all("profile", F.lit(r"(?U)\S+"), 0)).cast("long").alias("n_tokens"))
 

@@ -119,3 +119,17 @@ def string_list(json: Column) -> Column:
     """Strings of a JSON list, each once, in order; an empty list for anything else."""
     found = F.from_json(json, "array<string>", {"mode": "PERMISSIVE"})
     return F.coalesce(F.array_distinct(F.array_compact(found)), F.array().cast("array<string>"))
+
+
+def eligible(rows: DataFrame, build: str, excluded: str = "excluded") -> DataFrame:
+    """Active rows of a build whose role isn't excluded; an unknown role is."""
+    return rows.where((F.col("build_id") == build) & F.col("active") & F.coalesce(F.col("role_status") != excluded, F.lit(False)))
+
+
+def chosen_topics(candidates: DataFrame, choices: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, topic, score, rank): the candidate topic (key, id, score, rank) that was chosen for each concept (key, choice).
+
+    A choice that is no candidate, or none, leaves the concept without a topic.
+    """
+    picked = candidates.withColumnRenamed("id", "choice")
+    return choices.join(picked, [key, "choice"], "left").select(key, F.when(F.col("rank").isNotNull(), F.col("choice")).alias("topic"), "score", "rank")

@@ -67,3 +67,39 @@ def reconcile(sources: dict[str, DataFrame], key: str, value: str) -> DataFrame:
 
 def retry_delay(attempt: Column, base: float, cap: float) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(cap))
+
+
+def deactivation(sources: DataFrame, least: float) -> DataFrame:
+    """``sources`` (source, complete, rejected, n, previous) with eligible and reasons: whether what wasn't seen again may be switched off.
+
+    The crawl must be complete, nothing rejected, somebody found, and at least the share ``least`` of the last trusted count.
+    """
+    ratio = F.try_divide(F.col("n"), F.nullif(F.col("previous"), F.lit(0)))
+    reasons = F.array_compact(
+        F.array(
+            F.when(~F.coalesce("complete", F.lit(False)), "crawler_state_incomplete_or_unavailable"), F.when(F.coalesce("rejected", F.lit(0)) != 0, "row_rejections"),
+            F.when(F.coalesce("n", F.lit(0)) == 0, "zero_professors"), F.when(ratio < least, "source_count_regression"),
+        )
+    )
+    return sources.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0)
+
+
+#: What a curation must reach against its gold set.
+CURATION_GATES = {"merge_precision": 0.995, "excluded_precision": 0.99, "lecturer_retention": 0.95}
+
+
+def curation_gold(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(metric, value, passed) of a curation: pairs rightly merged, exclusions that are right, supervising lecturers that stay.
+
+    ``gold`` (observation_id, person_key, role_status, supervising lecturer), ``predicted`` (observation_id, entity_id, role).
+    Pairs are counted from group sizes, never made.
+    """
+    rows = gold.join(predicted, "observation_id")
+    pairs = lambda keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    out = F.col("role") == "excluded"
+    counts = rows.agg(F.count_if(out).alias("out"), F.count_if(out & (F.col("role_status") == "excluded")).alias("right"), F.count_if("lecturer").alias("lecturers"), F.count_if(F.col("lecturer") & ~out).alias("kept"))
+    one = counts.crossJoin(pairs(["entity_id"]).withColumnRenamed("pairs", "merged")).crossJoin(pairs(["entity_id", "person_key"]).withColumnRenamed("pairs", "correct"))  # a row each
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.nullif(F.col(b), F.lit(0))), F.lit(1.0))
+    values = {"merge_precision": share("correct", "merged"), "excluded_precision": share("right", "out"), "lecturer_retention": share("kept", "lecturers")}
+    listed = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.round(v.cast("double"), 6).alias("value"), (v >= CURATION_GATES[k]).alias("passed")) for k, v in values.items()])).alias("m"))
+    return listed.select("m.*")

@@ -39,8 +39,11 @@ def match_level(score: Column) -> Column:
     return out
 
 
-def rerank(rows: DataFrame, query: str = "query_id") -> DataFrame:
-    """Candidates with score, level and rank within their query.
+TIES = {"score": F.desc, "semantic": F.desc, "evidence_count": F.desc, "entity_id": F.asc}
+
+
+def rerank(rows: DataFrame, query: str = "query_id", ties: Sequence[str] = tuple(TIES)) -> DataFrame:
+    """Candidates with score, level and rank within their query, ranked by ``ties`` one after another.
 
     ``rows``: query_id, entity_id, semantic, query_terms, interests, anchor_topics, topic_ids (arrays),
     summary, statements and topics (arrays), master, phd, role_status, n_refs, n_urls,
@@ -67,7 +70,7 @@ def rerank(rows: DataFrame, query: str = "query_id") -> DataFrame:
     known = F.max("direction").over(Window.partitionBy(query)) > 0
     capped = F.when(known & (F.col("direction") <= 0), F.least("raw", F.lit(LEVELS["possible"] - 0.01))).otherwise(F.col("raw"))
     out = scored.withColumn("score", F.round(capped, 6)).withColumn("level", match_level(F.col("score")))
-    order = [F.desc("score"), F.desc("semantic"), F.desc("evidence_count"), F.col("entity_id")]
+    order = [TIES[t](t) for t in ties]
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).select(query, "entity_id", "score", "level", "direction", "evidence_count", "rank")
 
 

@@ -127,3 +127,9 @@ def first_reason(reasons: list[tuple[str, Column]]) -> Column:
     for name, condition in reversed(reasons):
         out = F.when(F.coalesce(condition, F.lit(True)), F.lit(name)).otherwise(out)
     return out
+
+
+def checkpoints(old: DataFrame, new: DataFrame, keys: list[str], last: str, rows: str = "rows_written") -> DataFrame:
+    """Checkpoints with a batch's put in: the greatest ``last`` key of each, and rows written added up."""
+    both = old.select(*keys, last, rows).unionByName(new.select(*keys, last, rows))
+    return both.groupBy(*keys).agg(F.max(last).alias(last), F.sum(rows).alias(rows))

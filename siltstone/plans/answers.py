@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import answers
+from siltstone.operators import answers, catalog, quality, relational, retrieval
 from siltstone.plans.registry import Registry, table
+from siltstone.storage import cut
 
 QUERIES = Registry()
 
@@ -286,3 +287,58 @@ def context_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda n: F.concat(F.lit("a"), (F.col("conv_id") % n).cast("string"))
     prior = answers.merged_context(F.array(of(3), F.lit("b")), F.array(of(2), F.lit("c"), F.lit("b")))
     return table(spark, sf_dir, "conversations").select("conv_id").distinct().select("conv_id", F.array_join(prior, ",").alias("prior"))
+
+
+@QUERIES.add(
+    """
+    WITH s AS (SELECT o_custkey AS source, count(*) AS n, count_if(o_orderstatus = 'P') AS rejected, count_if(o_orderpriority = '1-URGENT') > 0 AS complete FROM orders GROUP BY 1),
+    r AS (SELECT source, concat_ws(',', CASE WHEN NOT complete THEN 'crawler_state_incomplete_or_unavailable' END, CASE WHEN rejected <> 0 THEN 'row_rejections' END, CASE WHEN n / 12.0 < 0.9 THEN 'source_count_regression' END) AS reasons FROM s)
+    SELECT source, reasons, reasons = '' AS eligible FROM r"""
+)
+def deactivation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("rejected"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("complete"))
+    return quality.deactivation(own.withColumn("previous", F.lit(12)), 0.9).select("source", F.array_join("reasons", ",").alias("reasons"), "eligible")
+
+
+@QUERIES.add(
+    """
+    WITH g AS (SELECT o_orderkey, o_custkey AS e, CASE WHEN o_orderkey % 50 = 0 THEN -o_orderkey ELSE o_custkey END AS p, o_orderstatus = 'P' AS x, o_orderstatus = 'P' AND o_orderkey % 3 > 0 AS gx, o_orderpriority = '5-LOW' AS l FROM orders),
+    m AS (SELECT sum(n * (n - 1) / 2) AS n FROM (SELECT count(*) AS n FROM g GROUP BY e)), c AS (SELECT sum(n * (n - 1) / 2) AS n FROM (SELECT count(*) AS n FROM g GROUP BY e, p)),
+    v AS (SELECT 'merge_precision' AS metric, round(c.n / m.n, 6) AS "value", 0.995 AS least FROM m, c UNION ALL SELECT 'excluded_precision', round(count_if(gx) / count_if(x), 6), 0.99 FROM g UNION ALL SELECT 'lecturer_retention', round(count_if(l AND NOT x) / count_if(l), 6), 0.95 FROM g)
+    SELECT metric, "value", "value" >= least AS passed FROM v"""
+)
+def curation_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as observations of customers; every fiftieth was another person's, some exclusions are wrong."""
+    key, lost = F.col("o_orderkey"), F.col("o_orderstatus") == "P"
+    role = lambda c: F.when(c, "excluded").otherwise("included")
+    orders = table(spark, sf_dir, "orders")
+    gold = orders.select(key.alias("observation_id"), F.when(key % 50 == 0, -key).otherwise(F.col("o_custkey")).alias("person_key"), role(lost & (key % 3 > 0)).alias("role_status"), (F.col("o_orderpriority") == "5-LOW").alias("lecturer"))
+    return quality.curation_gold(gold, orders.select(key.alias("observation_id"), F.col("o_custkey").alias("entity_id"), role(lost).alias("role")))
+
+
+@QUERIES.add("SELECT user_id, max(event_id) AS last_id, CAST(count(*) AS BIGINT) AS rows_written FROM events GROUP BY user_id")
+def checkpoint_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints of two halves of the events, one put into the other."""
+    half = lambda n: table(spark, sf_dir, "events").where(F.col("event_id") % 2 == n).groupBy("user_id").agg(F.max("event_id").alias("last_id"), F.count(F.lit(1)).alias("rows_written"))
+    return relational.checkpoints(half(0), half(1), ["user_id"], "last_id")
+
+
+@QUERIES.add("SELECT event_id FROM events WHERE event_type <> 'error' AND user_id % 3 = 1 AND event_id % 5 > 0 AND event_id % 7 > 0")
+def eligible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.when(F.col("event_id") % 7 > 0, F.when(F.col("event_type") == "error", "excluded").otherwise("included"))
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 3).cast("string").alias("build_id"), (F.col("event_id") % 5 > 0).alias("active"), role.alias("role_status"))
+    return catalog.eligible(rows, "1").select("event_id")
+
+
+@QUERIES.add(
+    """
+    WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT q.id AS query_id, e.id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e q JOIN e ON e.id <> q.id WHERE q.id % 50 = 0),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c) WHERE rank <= 3), h AS (SELECT query_id, CASE WHEN query_id % 100 = 0 THEN max(id) ELSE -1 END AS choice FROM k GROUP BY query_id)
+    SELECT h.query_id, CASE WHEN k.rank IS NOT NULL THEN choice END AS topic, score, CAST(rank AS INTEGER) AS rank FROM h LEFT JOIN k ON k.query_id = h.query_id AND k.id = choice"""
+)
+def semantic_topic_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three candidate topics of each concept by vector; of half the concepts the one of greatest id was chosen, of the others one that is no candidate."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = cut(retrieval.dense_search(vectors, vectors.where("id % 50 = 0"), 3), "candidates")
+    choices = found.groupBy("query_id").agg(F.max("id").alias("id")).select("query_id", F.when(F.col("query_id") % 100 == 0, F.col("id")).otherwise(-1).alias("choice"))
+    return catalog.chosen_topics(found, choices)

@@ -92,3 +92,17 @@ def test_uuid5(spark):
     space = uuid.NAMESPACE_URL
     for name in ("a", "张三", "https://x/y", ""):
         assert one(spark, name, lambda c: hashing.uuid5(space.hex, c)) == str(uuid.uuid5(space, name))
+
+
+def test_vector_blobs(spark):
+    import hashlib
+    import struct
+
+    from siltstone.functions import vectors
+
+    df = spark.createDataFrame([([1.0, -2.5],), (None,)], "v array<float>")
+    rows = df.select(vectors.blob(F.col("v")).alias("b"), vectors.checksum(F.col("v")).alias("c"), vectors.from_blob(vectors.blob(F.col("v"))).alias("v")).collect()
+    raw = struct.pack("<2f", 1.0, -2.5)
+    assert (bytes(rows[0].b), rows[0].c, list(rows[0].v)) == (raw, hashlib.sha256(raw).hexdigest(), [1.0, -2.5]) and rows[1].v is None
+    bad = spark.createDataFrame([(b"abc",), (struct.pack("<f", float("nan")),)], "b binary").select(vectors.from_blob(F.col("b")).alias("v")).collect()
+    assert [r.v for r in bad] == [None, None]
