@@ -10,6 +10,7 @@ window is opened where one of a template's ``ANCHORS`` rarest bigrams stands, at
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -114,7 +115,9 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     least = min(len(p) for _, p in known)
     most = max(len(p) for _, p in known)
     low, ratio = least * dice / (2 - dice), (2 - dice) / dice
-    table = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, p)).alias("pairs")) for n, p in known])
+    # a table is one literal, read once when the plan is made: thousands of them would take the optimizer longer than the scan
+    constant = lambda rows, kind: F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")
+    table = constant([{"license": n, "pairs": p} for n, p in known], "license:string,pairs:array<string>")
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     clean = normalised(text)
@@ -143,31 +146,37 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
         return F.filter(scored, lambda m: m["dice"] >= dice)
 
     # windows: where an anchor stands, as many words as its template has, the anchor at its place
-    opening = F.array(
-        *[
-            F.struct(F.lit(f" {a} {b} ").alias("bigram"), F.lit(a).alias("first"), F.lit(b).alias("second"), F.lit(at).alias("place"), F.lit(n).alias("words"), F.lit(known[t][0]).alias("license"), F.array(*map(F.lit, known[t][1])).alias("pairs"))
-            for t, a, b, at, n in anchors(texts)
-        ]
-    )
-    spelt = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    last = F.size("words") - 2
-
-    def windows(o: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), last), lambda i: (F.get("words", i) == o["first"]) & (F.get("words", i + 1) == o["second"]))
+    found = [{"bigram": f"{a} {b}", "first": a, "second": b, "place": at, "words": n, "license": known[t][0], "pairs": known[t][1]} for t, a, b, at, n in anchors(texts)]
+    opening = constant(found, "bigram:string,first:string,second:string,place:int,words:int,license:string,pairs:array<string>")
+    rare = F.array(*[F.lit(f"{a} {b}") for a, b in sorted({(a, b) for _, a, b, _, _ in anchors(texts)})])
+    none = F.array().cast("array<struct<line:int,license:string,dice:double>>")
+    # a lambda over one element gives a value a name: it is worked out once a row, not once an anchor
+    named = lambda value, body: F.flatten(F.transform(F.array(value), body))
+
+    def windows(o: Column, doc: Column) -> Column:
+        words = doc["words"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: (F.get(words, i) == o["first"]) & (F.get(words, i + 1) == o["second"]))
 
         def window(i: Column) -> Column:
-            low, high = F.greatest(i - o["place"], F.lit(0)), F.least(i - o["place"] + o["words"], F.size("words"))
-            pairs = bigrams(F.slice("words", low + 1, high - low))
-            score = 2.0 * F.size(F.array_intersect(pairs, o["pairs"])) / (F.size(pairs) + F.size(o["pairs"]))
-            return F.struct(F.get("lines", low).alias("line"), o["license"].alias("license"), score.alias("dice"))
+            low, high = F.greatest(i - o["place"], F.lit(0)), F.least(i - o["place"] + o["words"], F.size(words))
+
+            def scored(pairs: Column) -> Column:
+                score = 2.0 * F.size(F.array_intersect(pairs, o["pairs"])) / (F.size(pairs) + F.size(o["pairs"]))
+                return F.array(F.struct(F.get(doc["lines"], low).alias("line"), o["license"].alias("license"), score.alias("dice")))
+
+            return named(bigrams(F.slice(words, low + 1, high - low)), scored)
+
+        return F.filter(F.flatten(F.transform(starts, window)), lambda m: m["dice"] >= dice)
 
-        return F.filter(F.transform(starts, window), lambda m: m["dice"] >= dice)
+    def opened(doc: Column) -> Column:
+        of = lambda met: F.flatten(F.transform(F.filter(opening, lambda o: F.array_contains(met, o["bigram"])), lambda o: windows(o, doc)))
+        return named(F.array_intersect(rare, bigrams(doc["words"])), lambda met: F.when(F.size(met) > 0, of(met)).otherwise(none))
 
-    rows = rows.withColumn("words", F.flatten(F.transform("worded", lambda x: x["words"]))).withColumn("lines", F.flatten(F.transform("worded", lambda x: F.transform(x["words"], lambda w: x["line"]))))
-    rows = rows.withColumn("spelt", spelt)
-    inside = F.flatten(F.transform(F.filter(opening, lambda o: F.contains(F.col("spelt"), o["bigram"])), windows))
-    matched = F.array_sort(F.concat(F.flatten(F.transform(bounded, against)), F.coalesce(inside, F.array().cast("array<struct<line:int,license:string,dice:double>>"))))
+    words = F.flatten(F.transform("worded", lambda x: x["words"]))
+    lines = F.flatten(F.transform("worded", lambda x: F.transform(x["words"], lambda w: x["line"])))
+    inside = named(F.struct(words.alias("words"), lines.alias("lines")), lambda doc: F.when(F.size(doc["words"]) > 1, opened(doc)).otherwise(none))
+    matched = F.array_sort(F.concat(F.flatten(F.transform(bounded, against)), F.coalesce(inside, none)))
     # sorted ascending: of one line and licence the last value is the best
     best = F.filter("matches", lambda m, i: (i + 1 >= F.size("matches")) | F.coalesce((F.get("matches", i + 1)["line"] != m["line"]) | (F.get("matches", i + 1)["license"] != m["license"]), F.lit(True)))
-    found = rows.select("doc_id", "n_lines", matched.alias("matches"))
-    return found.select("doc_id", "n_lines", best.alias("licenses"))
+    scanned = rows.select("doc_id", "n_lines", matched.alias("matches"))
+    return scanned.select("doc_id", "n_lines", best.alias("licenses"))
