@@ -30,7 +30,7 @@ from siltstone.llm.common import components, cut, drop, grid
 from siltstone.llm.vectors import dimension, dots, matrix, usable
 
 WIDTH = 5.0  # quantisation steps: this many times the distance at the threshold
-BUCKET = 48  # unrelated vectors that a bucket holds, as a mean
+BUCKET = 512  # unrelated vectors that a bucket holds, as a mean: a product of matrices costs less than more tables
 MISS = 1e-4  # chance to miss a pair just at the threshold; much less above it
 FINE_TABLES, FINE_PROJECTIONS = 6, 24  # tables of fine buckets, whose members are nearly equal
 SLACK = 1e-7  # radians by which a bound must be clear before it decides without members
@@ -64,15 +64,17 @@ def _hash(x: np.ndarray, tables: int, projections: int, step: float, seed: int)
 
 
 def _hashed(classes: DataFrame, tables: int, projections: int, step: float, seed: int) -> DataFrame:
-    """(id, buckets): a vector's bucket in each table."""
+    """(id, buckets, packed, x): a vector's bucket in each table, the same as bytes, and the vector as bytes of doubles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for at in range(0, len(part), 1024):
                 few = part.iloc[at : at + 1024]
-                yield pd.DataFrame({"id": few["id"], "buckets": list(_hash(matrix(few["v"]), tables, projections, step, seed))})
+                x = matrix(few["v"])
+                found = _hash(x, tables, projections, step, seed)
+                yield pd.DataFrame({"id": few["id"], "buckets": list(found), "packed": [b.tobytes() for b in found], "x": [v.tobytes() for v in x]})
 
-    return classes.select("id", "v").mapInPandas(run, "id long, buckets array<int>")
+    return classes.select("id", "v").mapInPandas(run, "id long, buckets array<int>, packed binary, x binary")
 
 
 def _keyed(hashed: DataFrame, *columns: str) -> DataFrame:
@@ -102,10 +104,14 @@ _FOUND = "a long, b long, kind int, n long"
 SINGLE, STAR, ALL, SOME = range(4)
 
 
-def _earlier(buckets: np.ndarray, table: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the rows a and b share a bucket in a table before ``table``."""
-    parts = [(buckets[a[i : i + 65536], :table] == buckets[b[i : i + 65536], :table]).any(axis=1) for i in range(0, len(a), 65536)]
-    return np.concatenate(parts) if parts else np.zeros(0, bool)
+def _rows(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
+def _in_parts(test, a: np.ndarray, b: np.ndarray, kind: type) -> np.ndarray:
+    """``test`` of pairs, so many at a time that their rows stay small."""
+    parts = [test(a[i : i + 32768], b[i : i + 32768]) for i in range(0, len(a), 32768)]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def _star(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,35 +137,37 @@ def _near_units(limit: float):
     surely, maybe = math.cos(limit - SLACK), math.cos(limit + SLACK)
 
     def block(own: pd.DataFrame, table: int, halves: bool) -> Iterator[pd.DataFrame]:
-        ids, radius, chunk, weight, x = own["unit"].to_numpy(), own["radius"].to_numpy(), own["chunk"].to_numpy(), own["weight"].to_numpy(), matrix(own["v"])
-        lone = own["buckets"].notna().to_numpy()
+        own = own.sort_values("unit")
+        ids, radius, chunk, weight, x = own["unit"].to_numpy(), own["radius"].to_numpy(), own["chunk"].to_numpy(), own["weight"].to_numpy(), _rows(own["x"], np.float64)
+        lone = own["packed"].notna().to_numpy()
         buckets = np.zeros((len(own), table), np.int32)
         if table and lone.any():
-            buckets[lone] = np.stack([k[:table] for k in own["buckets"][lone]])
+            buckets[lone] = _rows(own["packed"][lone], np.int32)[:, :table]
         links, ends = np.zeros(len(own), np.int64), []
-        for at in range(0, len(ids), 512):
-            here = slice(at, at + 512)
-            cosine = x[here] @ x.T
-            apart = ids[here, None] < ids[None]
-            if halves:
-                apart &= chunk[here, None] != chunk[None]
-            single = apart & lone[here, None] & lone[None]
-            a, b = np.nonzero(single & (cosine >= maybe))
-            sure = cosine[a, b] >= surely
+        # single precision finds who may be near, with room for its error; double precision decides
+        single, least = x.astype(np.float32), math.cos(min(math.pi, limit + 2 * radius.max() + SLACK)) - 1e-5
+        for at in range(0, len(ids), 256):
+            a, b = np.nonzero(single[at : at + 256] @ single.T >= least)
             a += at
-            fresh = ~_earlier(buckets, table, a, b)
-            a, b, sure = a[fresh], b[fresh], sure[fresh]
-            yield pd.DataFrame({"a": ids[a[~sure]], "b": ids[b[~sure]], "kind": SOME, "n": 0})
-            a, b = a[sure], b[sure]
-            links += np.bincount(a, weight[b], len(ids)).astype(np.int64) + np.bincount(b, weight[a], len(ids)).astype(np.int64)
-            ends.append((a, b))
-            if not lone.all():
-                a, b = np.nonzero(apart & ~single & (cosine > -1.1))
-                angle, a = _angle(cosine[a, b]), a + at
-                reach = radius[a] + radius[b]
+            fresh = (a < b) & (chunk[a] != chunk[b]) if halves else a < b
+            a, b = a[fresh], b[fresh]
+            cosine = _in_parts(lambda i, j: dots(x[i], x[j]), a, b, np.float64)
+            both = lone[a] & lone[b]
+            i, j, near = a[both], b[both], cosine[both]
+            fresh = near >= maybe
+            i, j, near = i[fresh], j[fresh], near[fresh]
+            fresh = ~_in_parts(lambda i, j: (buckets[i] == buckets[j]).any(axis=1), i, j, bool)
+            i, j, sure = i[fresh], j[fresh], near[fresh] >= surely
+            yield pd.DataFrame({"a": ids[i[~sure]], "b": ids[j[~sure]], "kind": SOME, "n": 0})
+            i, j = i[sure], j[sure]
+            links += np.bincount(i, weight[j], len(ids)).astype(np.int64) + np.bincount(j, weight[i], len(ids)).astype(np.int64)
+            ends.append((i, j))
+            if not both.all():
+                i, j, angle = a[~both], b[~both], _angle(cosine[~both])
+                reach = radius[i] + radius[j]
                 near = angle - reach <= limit + SLACK
                 every = angle + reach <= limit - SLACK
-                yield pd.DataFrame({"a": ids[a[near]], "b": ids[b[near]], "kind": np.where(every[near], ALL, SOME), "n": 0})
+                yield pd.DataFrame({"a": ids[i[near]], "b": ids[j[near]], "kind": np.where(every[near], ALL, SOME), "n": 0})
         rows, least = _star(*(np.concatenate(t) for t in zip(*ends, strict=True)), len(ids))
         yield pd.DataFrame({"a": ids[rows], "b": ids[least], "kind": STAR, "n": 0})
         met = np.flatnonzero(links)
@@ -230,14 +238,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     projections, tables = shape(count, cosine)
     hashed = cut(_hashed(classes, tables, projections, WIDTH * near, 32), "hashed")
     units = member.groupBy("unit").agg(F.max("angle").alias("radius"), F.sum("weight").alias("weight"), F.min("id").alias("least"), F.count(F.lit(1)).alias("classes"))
-    of_lone = hashed.withColumnRenamed("id", "lone")
-    units = units.withColumn("id", pivot_id).join(classes.select("id", "v"), "id").withColumn("lone", F.when(F.col("unit") % 2 == 0, F.col("id")))
-    units = cut(units.join(of_lone, "lone", "left").drop("id", "lone"), "units")
+    units = units.withColumn("id", pivot_id).join(hashed.select("id", "packed", "x"), "id").drop("id")
+    units = cut(units.withColumn("packed", F.when(F.col("unit") % 2 == 0, F.col("packed"))), "units")
 
     # units that share a bucket in one of the tables, through any of their members
     met = _keyed(hashed.join(member.select("id", "unit"), "id"), "unit").distinct()
-    cells = grid(met, "key", "unit", 512, 20_000).join(units.select("unit", "radius", "weight", "v", "buckets"), "unit")
-    found = cut(cells.select("key", "unit", "radius", "weight", "v", "buckets", "chunk", "lo", "hi", "cell").groupBy("cell").applyInPandas(_near_units(limit), _FOUND), "found")
+    cells = grid(met, "key", "unit", 2048, 20_000).join(units.select("unit", "radius", "weight", "x", "packed"), "unit")
+    found = cut(cells.select("key", "unit", "radius", "weight", "x", "packed", "chunk", "lo", "hi", "cell").groupBy("cell").applyInPandas(_near_units(limit), _FOUND), "found")
     drop(hashed)
     pairs = cut(found.where(F.col("kind").isin(ALL, SOME)).select("a", "b", (F.col("kind") == ALL).alias("all")).distinct(), "pairs")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "all"))

@@ -68,7 +68,7 @@ def test_a_shell_of_links_gives_rows_by_vectors_alone():
     draw, n, dim = np.random.default_rng(9), 400, 64
     x = draw.standard_normal((n, dim)) / math.sqrt(dim) * 0.4 + np.eye(dim)[0]
     x /= np.linalg.norm(x, axis=1)[:, None]
-    block = pd.DataFrame({"unit": np.arange(n) * 2, "radius": 0.0, "weight": 1, "v": list(x), "buckets": [np.zeros(3, np.int32)] * n, "chunk": 0, "lo": 0, "hi": 0, "key": 0})
+    block = pd.DataFrame({"unit": np.arange(n) * 2, "radius": 0.0, "weight": 1, "x": [v.tobytes() for v in x], "packed": [np.zeros(3, np.int32).tobytes()] * n, "chunk": 0, "lo": 0, "hi": 0, "key": 0})
     limit = math.acos(0.8)
     found = vector_dedup._near_units(limit)(block)
     near = x @ x.T >= 0.8
