@@ -155,5 +155,5 @@ def in_mixing_order(docs: DataFrame, weights: dict | None = None, block: int = 1
     """
     rows = _located(docs)
     place = ("mix_file", "mix_row")
-    places = cut(mixed(rows, weights, block, carried=place).select(*place, "position"), "places")
-    return rows.join(places, list(place)).repartitionByRange("position").sortWithinPartitions("position").select(docs.columns)
+    places = cut(mixed(rows, weights, block, carried=place).select(*place, F.col("position").alias("mix_position")), "places")
+    return rows.join(places, list(place)).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(docs.columns)

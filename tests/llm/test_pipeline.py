@@ -67,6 +67,21 @@ def test_result_is_in_mixing_order(spark):
     assert [r.position for r in out] == sorted({r.position for r in out})
 
 
+def test_odd_rows_and_clashing_columns(spark):
+    long = "lorem ipsum dolor " * 5000
+    rows = [(1, None, "en", "a"), (2, "", "en", None), (3, long, "en", "a"), (4, long, None, "a"), (None, "no id", "en", "a"), (None, None, None, None), (5, "again and again it says", "en", "b"), (5, "again and again it says", "en", "b"), (6, "fine words that stand alone here", "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(length(text) as long) as n_chars", "7 as position", "8 as slot", "9 as score", "0 as component_id")
+    docs = cut(docs, "odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = cut(stage(spark, docs, SF), name)
+        assert docs.columns == columns
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "2", "3", "5", "6", "None", "None"]
+    whole = tokenizer(public_path("word_bpe_49k.json")).encode(long, add_special_tokens=False).ids
+    assert {r.doc_id: r.n_tokens for r in out}[1] == 0 and {r.doc_id: list(r.ids) for r in out}[3] == whole
+
+
 def test_empty_table(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
