@@ -2,7 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame. It is
 written as Parquet and read again as the next stage's docs. All stages but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, and others that ``docs`` has, whatever their names.
+
+Texts are read whole, however long. A null text counts as an empty one: it isn't toxic, repeats nothing and
+has no tokens. Rows without doc_id are judged by their texts, are no one's duplicates and keep places
+of their own; of rows that repeat a doc_id one stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,31 +21,31 @@ from siltstone.llm.tokens import public_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold."""
+    """Documents that score below the toxicity threshold; equal texts, null and empty ones too, fare alike."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more. Null, empty and white texts all stay."""
     return minhash.deduplicated(docs, k=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents in mixing order, by the square root of each source's size."""
+    """The same documents in mixing order, by the square root of each source's size; a null source is one of its own."""
     return mixing.in_mixing_order(docs)
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``position``: rises in the order in which the stage before wrote its rows.
+    """doc_id, text and ``position`` of ``docs``: rises in the order in which the stage before wrote its rows.
 
     Spark deals files out to tasks by size, so the order is that of part numbers and
     of rows in a part. A table that is not read from files has the order of its partitions.
     """
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
     try:
-        return docs.select("*", (F.shiftleft(part, 40) + F.col("_metadata.row_index")).alias("position"))
+        return docs.select("doc_id", "text", (F.shiftleft(part, 40) + F.col("_metadata.row_index")).alias("position"))
     except AnalysisException:
-        return docs.withColumn("position", F.monotonically_increasing_id())
+        return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("position"))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
