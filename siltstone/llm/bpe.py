@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, sliced
+from siltstone.llm.common import cut, sliced, small_batches
 from siltstone.llm.tokens import Pieces, tokenizer
 
 LEAF = 16_384  # characters of a leaf at most; the library takes tens of milliseconds for one
@@ -159,6 +159,7 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF, long: int = LONG, carri
     not read, but for the integer columns ``carried``, which are returned behind doc_id.
     With ``decoded`` the column of :func:`decode` is made in the same pass.
     """
+    small_batches(docs.sparkSession)
     names = ["doc_id", *carried]
     rows = docs.select(*(F.col(x).cast("long").alias(x) for x in names), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tree = (F.length("text") > long) | ((F.length("text") > leaf) & F.col("text").rlike(rf"[^\x20\x09-\x0D]{{{leaf + 1},}}+"))

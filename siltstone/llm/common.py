@@ -7,13 +7,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.graph import connected_components as components
 from siltstone.storage import cut, fresh_path, shared_dir
 
-__all__ = ["components", "cut", "drop", "fresh_path", "grid", "shared_dir", "sliced"]
+__all__ = ["components", "cut", "drop", "fresh_path", "grid", "shared_dir", "sliced", "small_batches"]
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of ``rows`` at most from here on in this session.
+
+    A batch of ten thousand texts is tens of megabytes, in the JVM's direct memory and again in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, cut, drop, grid, sliced
+from siltstone.llm.common import components, cut, drop, grid, sliced, small_batches
 
 ROWS = 7  # hashes of a band; a band's seven bytes and its number fit one long
 BANDS = 48
@@ -295,6 +295,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     Candidates share one of 48 bands of 7 hashes: a pair at similarity 0.8 is
     missed with probability 1.2e-5, at 0.85 with 6e-9.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not _repeats(rows):
         return _near(rows, k, percent, miss)

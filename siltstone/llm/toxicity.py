@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from siltstone.llm.common import cut, drop, sliced
+from siltstone.llm.common import cut, drop, sliced, small_batches
 
 SAMPLE = 6_000  # positives, and unlabelled texts, that a fit draws at most (as the mean of a hash sample)
 THRESHOLD = 0.7
@@ -98,6 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     once is toxic if one rating says so; null ratings count as none. Without any
     positive there is no weight and every score is 0.001.
     """
+    small_batches(docs.sparkSession)
     rated = labels.where(training_fold() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total, toxic = rated.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
     prior = toxic / total if total else 0.0
