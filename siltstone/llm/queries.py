@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, bpe, chat, html, licenses, minhash, mixing, token_counts, toxicity, vector_dedup
+from siltstone.llm import ann, audit, bpe, chat, html, infill, licenses, minhash, mixing, token_counts, toxicity, vector_dedup, warc
 from siltstone.llm.tokens import public_path
 
 
@@ -69,6 +69,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    output, form = F.col("output"), F.col("form")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(output).alias("output_sha256"), sha(infill.restored(output, form)).alias("restored_sha256"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_token_counts,
         op10_toxicity,
+        op11_filter_audit,
+        op12_fill_in_middle,
+        op13_warc,
     )
 }
 
@@ -120,4 +138,34 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT id, min(c) AS component_id FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
         SELECT e.vec_id, coalesce(n.n, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
     "op8_license_scan": _license_sql(),
+    "op11_filter_audit": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+        l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+            CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN w.doc_id > least THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+        m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+        r(s) AS (SELECT '' UNION ALL SELECT s || c FROM r, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(c) WHERE NOT contains(s, c)),
+        o AS (SELECT s AS filter_order, step, substr(s, step, 1) AS own, substr(s, 1, step - 1) AS prior FROM r, range(1, 6) g(step) WHERE length(s) = 5),
+        e AS (SELECT *, translate(prior, fails, '') = prior AS here, contains(fails, own) AS bad FROM m, o),
+        x AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, CAST(coalesce(sum(n) FILTER (here AND NOT bad), 0) AS BIGINT) AS kept,
+            CAST(coalesce(sum(n) FILTER (here AND bad), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (bad AND NOT here), 0) AS BIGINT) AS redundant,
+            CAST(coalesce(sum(n) FILTER (fails = own), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (here AND bad), 0) AS BIGINT) AS good_lost,
+            CAST(coalesce(sum(toxic) FILTER (here AND bad), 0) AS BIGINT) AS toxic_lost FROM e GROUP BY part, filter_order, step, own)
+        SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM x""",
+    "op12_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        k AS (SELECT *, len(u) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS g FROM d),
+        c AS (SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b,
+            CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') THEN 'plain' WHEN g[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+        x AS (SELECT *, array_to_string(u[1:a], '') AS p, CASE WHEN b > a THEN array_to_string(u[a + 1:b], '') ELSE '' END AS m, CASE WHEN n > b THEN array_to_string(u[b + 1:], '') ELSE '' END AS s FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM x""",
+    "op13_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id > least THEN least END AS refers_to FROM q""",
 }
