@@ -2,16 +2,19 @@
 
 Every source's documents, in an order drawn by hash, are cut into blocks. While the
 same sources are live, block i of a source with the share p of their weights is
-released at floor((i - 1) / p) and due at ceil(i / p), and the earliest deadline among
+released at floor((i - 1) / p) and due at i / p, and the earliest deadline among
 the released blocks takes each slot. So at every slot of such a phase a source is less than
 one block away from its share of the phase, however long it is and however many sources there
 are: weights are never rounded to slots. When a source's last block is placed, the next phase
 begins, and the others go on with the shares that they have among themselves: no
-document is dropped or repeated.
+document is dropped or repeated. Over the whole run a source is less than one block a phase away from the
+sum of its shares, and there is a phase a source.
 
 The driver keeps a number a block, the source that takes the slot, and no more than
 one waiting block a source. Blocks grow with the rows, so that there are ``BLOCKS`` and
-one more a source at most. The documents are only ranked, by
+one more a source at most. At the begin of a phase deadlines are in the order of weights, which no phase changes,
+so only sources that had a slot in a phase cost anything there: the schedule takes
+the logarithm of the sources a slot, however many phases there are. The documents are only ranked, by
 counts per source and hash bucket before ranks within a bucket, so that a source
 with a third of all rows is spread like any other.
 """
@@ -20,7 +23,6 @@ from __future__ import annotations
 
 import heapq
 from array import array
-from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -37,33 +39,6 @@ BUCKET_ROWS = 2_000  # mean rows of a source's hash bucket
 BUCKETS = 1 << 16  # buckets of a source at most: their counts are summed up in one task
 
 
-def _phase(left: dict, weights: dict) -> Iterator:
-    """Sources in order of slots, until all blocks in ``left`` are placed or the reader stops.
-
-    Earliest deadline first among released blocks; ties to the smaller source.
-    """
-    total = sum(weights[s] for s in left)
-    waiting, ready, t = [(0, s, 1) for s in sorted(left)], [], 0
-    while waiting or ready:
-        while waiting and waiting[0][0] <= t:
-            _, source, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-i * total // weights[source]), source, i))
-        _, source, i = heapq.heappop(ready)
-        if i < left[source]:
-            heapq.heappush(waiting, (i * total // weights[source], source, i + 1))
-        yield source
-        t += 1
-
-
-def slots(counts: dict) -> list[tuple[int, object, int]]:
-    """(slot, source, block) of one round in which each source has ``counts`` blocks."""
-    done, out = dict.fromkeys(counts, 0), []
-    for t, source in enumerate(_phase(counts, counts)):
-        done[source] += 1
-        out.append((t, source, done[source]))
-    return out
-
-
 def scaled(weights: dict) -> dict:
     """Integers in the ratio of ``weights``."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -72,17 +47,40 @@ def scaled(weights: dict) -> dict:
 
 
 def schedule(blocks: dict, weights: dict) -> array:
-    """For each slot the place in sorted(blocks) of the source that takes it."""
+    """For each slot the place in sorted(blocks) of the source that takes it: ties to the smaller place."""
     names = sorted(blocks)
-    left, weight, out = dict(enumerate(blocks[s] for s in names)), scaled({i: weights[s] for i, s in enumerate(names)}), array("i")
-    while left:
-        phase = dict(left)
-        for source in _phase(phase, weight):
-            out.append(source)
-            left[source] -= 1
-            if not left[source]:
-                del left[source]
-                break
+    left, weight = [blocks[s] for s in names], scaled({i: weights[s] for i, s in enumerate(names)})
+    due = lambda i, s: (i << 128) // weight[s]  # noqa: E731  # in units of a phase's length by its weights: the same in all phases
+    order = sorted((due(1, s), s) for s in range(len(names)) if left[s])  # first blocks, as every phase begins
+    after = list(range(1, len(order) + 1))  # the next in ``order`` that is live, behind the place before the first
+    live_from, total, out = 0, sum(weight[s] for _, s in order), array("i")
+    place = {s: n for n, (_, s) in enumerate(order)}
+    before = list(range(-1, len(order) - 1))
+    while live_from < len(order):
+        waiting, ready, t, fresh, ended = [], [], 0, live_from, None
+        while ended is None:
+            while waiting and waiting[0][0] <= t:
+                _, s, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (due(i, s), s, i))
+            if fresh < len(order) and not (ready and ready[0][:2] < order[fresh]):
+                s, i, fresh = order[fresh][1], 1, after[fresh]
+            else:
+                _, s, i = heapq.heappop(ready)
+            out.append(s)
+            left[s] -= 1
+            t += 1
+            if left[s]:
+                heapq.heappush(waiting, (i * total // weight[s], s, i + 1))
+            else:
+                ended = s
+        n = place[ended]
+        total -= weight[ended]
+        if before[n] >= 0:
+            after[before[n]] = after[n]
+        else:
+            live_from = after[n]
+        if after[n] < len(order):
+            before[after[n]] = before[n]
     return out
 
 
@@ -141,7 +139,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, block: int = 16, smoothi
 def _located(docs: DataFrame) -> DataFrame:
     """``docs`` with mix_file and mix_row, where each row stands; what isn't read from files is written first."""
     try:
-        return docs.select("*", F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+        return docs.select("*", F.col("_metadata.file_path").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
     except AnalysisException:
         return _located(cut(docs, "docs"))
 

@@ -1,16 +1,45 @@
+import random
+import time
+from fractions import Fraction
+
 import pytest
 
 from siltstone.llm import mixing
 
 
-def test_every_slot_is_less_than_one_block_from_its_share():
-    for counts in ({"a": 1, "b": 2, "c": 97}, {"a": 33, "b": 33, "c": 34}, {c: i + 1 for i, c in enumerate("abcdefgh")}):
-        total, done = sum(counts.values()), dict.fromkeys(counts, 0)
-        for t, source, i in mixing.slots(counts):
-            done[source] += 1
-            assert i == done[source]
-            for s, c in counts.items():
-                assert abs(done[s] * total - c * (t + 1)) < total
+def plain_schedule(blocks, weights):
+    """Slots by the definition: in each phase all blocks' releases and deadlines are worked out, and every slot looks at all of them."""
+    weights, left, out = mixing.scaled(weights), dict(blocks), []
+    names = sorted(blocks)
+    while live := [s for s in names if left[s]]:
+        total, done, t = sum(weights[s] for s in live), dict.fromkeys(live, 0), 0
+        while True:
+            released = [s for s in live if done[s] * total // weights[s] <= t]
+            s = min(released, key=lambda x: (Fraction(done[x] + 1, weights[x]), x))
+            done[s], t = done[s] + 1, t + 1
+            assert all(abs(done[x] - Fraction(t * weights[x], total)) < 1 for x in live)
+            out.append(names.index(s))
+            left[s] -= 1
+            if not left[s]:
+                break
+    return out
+
+
+def test_schedule_is_the_plain_one():
+    draw = random.Random(2)
+    cases = [{"a": 1}, {"a": 3, "b": 3, "c": 3}, {"a": 1, "b": 2, "c": 97}, {c: 1 for c in "zyxwv"}]
+    cases += [{f"s{i}": draw.randint(1, 30) for i in range(draw.randint(2, 12))} for _ in range(25)]
+    for blocks in cases:
+        for weights in (blocks, {s: n**0.5 for s, n in blocks.items()}, dict.fromkeys(blocks, 1), {s: draw.choice([0.1, 1, 7]) for s in blocks}):
+            assert list(mixing.schedule(blocks, weights)) == plain_schedule(blocks, weights)
+
+
+def test_many_sources_take_seconds():
+    began = time.process_time()
+    for n in (1, 3):
+        blocks = {f"s{i:06}": n for i in range(100_000)}
+        assert len(mixing.schedule(blocks, {s: 1 + i % 13 for i, s in enumerate(blocks)})) == n * 100_000
+    assert time.process_time() - began < 20
 
 
 def deviation(blocks, weights):
@@ -70,6 +99,15 @@ def test_a_hot_source_and_rows_without_ids_are_spread(spark, monkeypatch):
     assert sorted(r.n for r in ordered.collect()) == list(range(3000)) and ordered.columns == df.columns
 
 
+def test_rows_of_a_partitioned_table_stay(spark, tmp_path):
+    """Folders of one write hold files of the same name."""
+    where = str(tmp_path / "docs")
+    spark.range(400).selectExpr("id AS doc_id", "'s' || id % 4 AS source", "'x' AS text").repartition(1).write.partitionBy("source").parquet(where)
+    df = spark.read.parquet(where)
+    out = mixing.in_mixing_order(df)
+    assert sorted(r.doc_id for r in out.collect()) == list(range(400)) and out.columns == df.columns
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mixed(df).collect() == [] and mixing.in_mixing_order(df).collect() == []
