@@ -31,9 +31,14 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else x.casefold())
 
 
+def fold_text(text: str) -> str:
+    """NFKC, then case folded."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).casefold()
+
+
 @F.pandas_udf(StringType())
 def _folded(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+    return text.map(lambda x: None if x is None else fold_text(x))
 
 
 def folded(text: Column) -> Column:

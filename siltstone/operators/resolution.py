@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import hashing, text, urls
-from siltstone.operators.graph import connected_components
+from siltstone.operators.graph import connected_components, resolve_merges
 from siltstone.operators.relational import best_by
 from siltstone.storage import cut
 
@@ -175,30 +175,91 @@ def classify_roles(rows: DataFrame, title: str, enrollment: str, context: str) -
     return rows.withColumn("_role", case).withColumn("role_status", F.col("_role.col1")).withColumn("reason", F.col("_role.col2")).drop("_role", "_title")
 
 
+LOCAL = 100_000  # cluster pairs that one task finishes when no more than that are left
+
+
+def _contracted(pairs: DataFrame, merges: DataFrame, group: str) -> DataFrame:
+    """``pairs`` (group, a, b, key) with the clusters of ``merges`` (group, a, b: b goes into a) as one.
+
+    Two clusters stay a pair if all parts of the one are paired with all parts of the other.
+    """
+    names = cut(merges.select(group, F.col("b").alias("was"), F.col("a").alias("now")).unionByName(merges.select(group, F.col("a").alias("was"), F.col("a").alias("now"))), "renamed")
+    left = names.select(group, F.col("was").alias("a"), F.col("now").alias("x"))
+    right = names.select(group, F.col("was").alias("b"), F.col("now").alias("y"))
+    named = pairs.join(left, [group, "a"], "left").join(right, [group, "b"], "left")
+    parts = F.when(F.col("x").isNull(), 1).otherwise(2) * F.when(F.col("y").isNull(), 1).otherwise(2)
+    named = named.select(group, F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "key", parts.alias("parts")).where("x <> y")
+    ends = named.select(group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "key", "parts")
+    return ends.groupBy(group, "a", "b").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts")).where("n = parts").drop("n", "parts")
+
+
+def _finished(group: str):
+    """Greedy merging of the cluster pairs that are left, best first."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["lost", "first", "second"])
+        near, into, out = defaultdict(set), {}, []
+        pairs = [((g, a), (g, b)) for g, a, b in zip(part[group], part["a"], part["b"], strict=True)]
+        for x, y in pairs:
+            near[x].add(y)
+            near[y].add(x)
+
+        def home(x):
+            while x in into:
+                x = into[x]
+            return x
+
+        for x, y in pairs:
+            x, y = sorted((home(x), home(y)), key=lambda c: c[1])
+            if x == y or y not in near[x]:
+                continue
+            both = near[x] & near[y]
+            for z in near[x] | near[y]:
+                near[z] -= {x, y}
+                if z in both:
+                    near[z].add(x)
+            near[x], into[y] = both, x
+            near.pop(y)
+            out.append((x[0], x[1], y[1]))
+        return pd.DataFrame(out, columns=[group, "a", "b"])
+
+    return run
+
+
 def complete_link(neighbours: DataFrame, least: float, group: str = "kind") -> DataFrame:
     """Clusters of ``neighbours`` (group, a, b, score, both directions) in which every pair is mutual and scores ``least`` or more.
 
-    Pairs are mutual by a join and split into connected components, which are what a
-    cluster can grow within; each component is merged greedily, best pairs first.
+    As if pairs were taken best first, ties by their ids, and two clusters merged at a pair between them whenever
+    all their members are mutual. Merging runs in rounds: clusters merge that are each other's best. That gives the same clusters: a merge never
+    makes a key smaller, as a merged cluster's key is the least of its parts', so a pair that comes first at both
+    its ends stays first there until it is taken, and no other merge can part it. Once no more than LOCAL pairs are left one task takes them in order.
+    A hub's pairs are aggregated before they are shuffled, and no component is gathered. Null ids and pairs of a thing with itself don't count;
+    of rows that repeat a direction the best counts.
     """
-    back = neighbours.select(group, F.col("a").alias("b"), F.col("b").alias("a"), F.col("score").alias("other"))
-    mutual = neighbours.where("a < b").join(back, [group, "a", "b"]).select(group, "a", "b", F.least("score", "other").alias("score")).where(F.col("score") >= least)
+    spark, kind = neighbours.sparkSession, dict(neighbours.dtypes)
+    rows = neighbours.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").groupBy(group, "a", "b").agg(F.max("score").alias("score"))
+    back = rows.select(group, F.col("a").alias("b"), F.col("b").alias("a"), F.col("score").alias("other"))
+    mutual = rows.where("a < b").join(back, [group, "a", "b"]).select(group, "a", "b", F.least("score", "other").alias("score")).where(F.col("score") >= least)
     mutual = cut(mutual, "mutual")
-    key = lambda c: F.xxhash64(group, c)
-    labels = connected_components(mutual.select(key("a").alias("src"), key("b").alias("dst")))
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        score = {(a, b): s for a, b, s in part[["a", "b", "score"]].itertuples(index=False)}
-        home = {x: frozenset([x]) for pair in score for x in pair}
-        for (a, b), _ in sorted(score.items(), key=lambda x: (-x[1], x[0])):
-            x, y = home[a], home[b]
-            if x != y and all((min(i, j), max(i, j)) in score for i in x for j in y):
-                for i in x | y:
-                    home[i] = x | y
-        found = [sorted(c) for c in set(home.values()) if len(c) > 1]
-        rows = [(part[group].iloc[0], c, min(score[i, j] for i in c for j in c if i < j)) for c in found]
-        return pd.DataFrame(rows, columns=[group, "members", "score"])
-
-    placed = mutual.join(labels.select(F.col("id"), "component_id"), key("a") == F.col("id"))
-    kind = dict(neighbours.dtypes)
-    return placed.groupBy("component_id").applyInPandas(merge, f"{group} {kind[group]}, members array<{kind['a']}>, score double")
+    pairs = mutual.select(group, "a", "b", F.struct((-F.col("score")).alias("lost"), F.col("a").alias("first"), F.col("b").alias("second")).alias("key"))
+    merges = spark.createDataFrame([], f"`{group}` {kind[group]}, a {kind['a']}, b {kind['a']}")
+    while (left := pairs.count()) > LOCAL:
+        own = F.struct("key", "a", "b")
+        ends = pairs.select(group, F.col("a").alias("end"), own.alias("pair")).unionByName(pairs.select(group, F.col("b").alias("end"), own.alias("pair")))
+        best = ends.groupBy(group, "end").agg(F.min("pair").alias("pair"))
+        taken = cut(best.groupBy(group, "pair").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(group, "pair.a", "pair.b"), "taken")
+        merges = merges.unionByName(taken)
+        pairs = cut(_contracted(pairs, taken, group), "pairs")
+    if left:
+        flat = pairs.select(group, "a", "b", "key.*").withColumn("all", F.lit(1))
+        merges = merges.unionByName(flat.groupBy("all").applyInPandas(_finished(group), merges.schema))
+    merges = cut(merges, "merges")
+    # within a group an id goes into another once, so chains of merges end in the cluster's least id
+    key = F.struct(group, "b")
+    homes = resolve_merges(merges.select(key.alias("id"), F.struct(F.col(group), F.col("a").alias("b")).alias("into")))
+    homes = homes.select(F.col(f"id.{group}").alias(group), F.col("id.b").alias("member"), F.col("final.b").alias("cluster"))
+    members = cut(homes.unionByName(homes.select(group, F.col("cluster").alias("member"), "cluster").distinct()), "members")
+    ends = [members.select(group, F.col("member").alias(c), F.col("cluster").alias(f"of_{c}")) for c in ("a", "b")]
+    within = mutual.join(ends[0], [group, "a"]).join(ends[1], [group, "b"]).where("of_a = of_b").groupBy(group, F.col("of_a").alias("cluster")).agg(F.min("score").alias("score"))
+    listed = members.groupBy(group, "cluster").agg(F.array_sort(F.collect_list("member")).alias("members"))  # all pairs are rows, so a cluster of n has n * (n - 1) / 2 of them
+    return listed.join(within, [group, "cluster"]).select(group, "members", "score")

@@ -8,60 +8,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import sparse_index
-from siltstone.functions.text import bm25_tokens, folded, sparse_tokens
 from siltstone.functions.vectors import dcg, finite
 from siltstone.operators.relational import top_per_key
+from siltstone.operators.search_index import counted, exploded, rarity, weight
 from siltstone.storage import cut
 
-K1, B = 1.5, 0.75
 
+def counts_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """Documents' counted tokens, cut: every figure of a ranking then starts from files instead of the texts."""
+    return cut(counted(docs, doc, text), "counted")
 
-def tokenised(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tokens), cut: every figure of a ranking then starts from files instead of the texts."""
-    return cut(docs.select(key, bm25_tokens(folded(F.col(text))).alias("tokens")), "tokens")
 
+def postings(counts: DataFrame, doc: str) -> DataFrame:
+    """(doc, token, tf, length): a row a document and token of :func:`counts_of` documents."""
+    return exploded(counts, doc).select(doc, "token", "tf", "length")
 
-def postings(tokens: DataFrame, doc: str) -> DataFrame:
-    """(doc, token, tf, length): a row a document and token of :func:`tokenised` documents."""
-    exploded = tokens.select(doc, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    return exploded.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
 
-
-def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", k: int = 10) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", k: int = 10, counts: DataFrame | None = None) -> DataFrame:
     """Best ``k`` documents of every query by BM25: (query, doc, score, rank); ties to the smaller doc.
 
-    Texts are tokenised once. Postings of tokens that no query has go before anything is joined; scores are summed
-    before the ranking's shuffle. Corpus figures are two numbers.
+    Texts are read once, unless ``counts`` of them are there already. Postings of tokens that no query has go before anything
+    is joined; a token's rarity is the queries' side's. Corpus figures are two numbers.
     """
-    tokens = tokenised(docs, doc, text)
-    asked = queries.select(query, F.explode(F.array_distinct(bm25_tokens(folded(F.col(text))))).alias("token"))
-    wanted = asked.select("token").distinct()
-    # tokens go before they are counted: most of a text's are in no query
-    used = tokens.select(doc, F.size("tokens").alias("length"), F.explode("tokens").alias("token")).join(wanted, "token", "left_semi")
-    used = cut(used.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length")), "postings")
+    counts = counts_of(docs, doc, text) if counts is None else counts
+    asked = exploded(counted(queries, query, text), query).select(query, "token").distinct()
+    used = cut(postings(counts, doc).join(asked.select("token").distinct(), "token", "left_semi"), "postings")
+    n_docs, total = counts.agg(F.count(F.lit(1)), F.sum("length")).first()
     df = used.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    figures = tokens.select(F.size("tokens").cast("double").alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("n") / F.count(F.lit(1))).alias("mean"))
-    idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
-    part = idf * (F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * (1.0 - B + B * F.col("length") / mean))
-    weighted = used.join(df, "token").crossJoin(F.broadcast(figures)).select("token", doc, part.alias("part"))
-    scores = asked.join(weighted, "token").groupBy(query, doc).agg(F.sum("part").alias("score")).where("score > 0").withColumn("score", F.round("score", 6))
+    asked = asked.join(df, "token").select(query, "token", rarity(n_docs, F.col("df")).alias("idf"))
+    part = F.col("idf") * weight(F.col("tf"), F.col("length"), (total or 0) / max(n_docs, 1))
+    scores = used.join(asked, "token").groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return top_per_key(scores, [query], [F.desc("score"), F.col(doc)], k)
 
 
-def sparse_vectors(docs: DataFrame, doc: str, text: str, version: str) -> DataFrame:
-    """(doc, index, value): saturated counts at hashed indices; tokens that collide stay rows of their own."""
-    tokens = docs.select(doc, F.explode(sparse_tokens(folded(F.col(text)))).alias("token"))
-    counts = tokens.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"))
-    return counts.select(doc, "token", sparse_index(version, F.col("token")).alias("index"), (F.col("tf") * 2.2 / (F.col("tf") + 1.2)).alias("value"))
+def sparse_vectors(docs: DataFrame, doc: str, text: str, version: str, counts: DataFrame | None = None) -> DataFrame:
+    """(doc, token, index, value): saturated counts at hashed indices; tokens that collide stay rows of their own."""
+    rows = exploded(counts_of(docs, doc, text) if counts is None else counts, doc, runs=True)
+    return rows.select(doc, "token", sparse_index(version, F.col("token")).alias("index"), (F.col("tf") * 2.2 / (F.col("tf") + 1.2)).alias("value"))
+
 
+def sparse_search(counts: DataFrame, asked: DataFrame, doc: str, query: str, version: str, k: int) -> DataFrame:
+    """Best ``k`` documents of every query by inner product of sparse vectors, of ``counts`` and of ``asked`` (query, index, value).
 
-def sparse_search(vectors: DataFrame, asked: DataFrame, doc: str, query: str, k: int) -> DataFrame:
-    """Best ``k`` documents of every query by inner product of sparse vectors."""
-    right = asked.select(query, "index", F.col("value").alias("weight"))
-    # rows that no query meets go before the join, and what is left is one that AQE may split where an index is hot
-    vectors = vectors.join(right.select("index").distinct(), "index", "left_semi")
-    scores = vectors.join(right, "index").groupBy(query, doc).agg(F.round(F.sum(F.col("value") * F.col("weight")), 6).alias("score"))
+    Tokens are hashed once each, not once a document, and those at no index of a query go before the join.
+    """
+    rows = exploded(counts, doc, runs=True)
+    words = rows.select("token").distinct().withColumn("index", sparse_index(version, F.col("token")))
+    met = cut(words.join(asked.select(query, "index", F.col("value").alias("weight")), "index"), "met")
+    used = rows.join(met.select("token").distinct(), "token", "left_semi")
+    value = F.col("tf") * 2.2 / (F.col("tf") + 1.2)
+    scores = used.join(met, "token").groupBy(query, doc).agg(F.round(F.sum(value * F.col("weight")), 6).alias("score"))
     return top_per_key(scores, [query], [F.desc("score"), F.col(doc)], k)
 
 

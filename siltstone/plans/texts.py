@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import hashing, text, urls
 from siltstone.operators import relational, retrieval
+from siltstone.operators.search_index import SearchIndex
 from siltstone.plans.registry import Registry, table
+from siltstone.storage import fresh_path
 
 QUERIES = Registry()
 
@@ -23,8 +25,8 @@ _BM25 = f"""
       FROM q JOIN tf USING (token) JOIN df USING (token) JOIN len ON len.doc_id = tf.doc_id CROSS JOIN s GROUP BY 1, 2)"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return retrieval.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", k=k)
+def _bm25(spark: SparkSession, sf_dir: str, k: int = 10, counts: DataFrame | None = None) -> DataFrame:
+    return retrieval.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", k=k, counts=counts)
 
 
 @QUERIES.add(f"WITH {_BM25} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 10")
@@ -32,6 +34,17 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir)
 
 
+@QUERIES.add(QUERIES.sql["bm25_topk"])
+def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking from a stored index of two segments, which are merged before the search."""
+    docs, index = table(spark, sf_dir, "documents"), SearchIndex(spark, fresh_path(spark, "index"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    index.add(docs.where(half))
+    index.add(docs.where(~half))
+    index.merge()
+    return index.search(table(spark, sf_dir, "benchmark"), "item_id")[0]
+
+
 @QUERIES.add(
     f"""WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
     SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END, 6) AS normalized
@@ -53,9 +66,10 @@ def sparse_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.sparse_vectors(table(spark, sf_dir, "documents"), "doc_id", "text", "v1").withColumn("value", F.round("value", 9))
 
 
-def _sparse(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+def _sparse(spark: SparkSession, sf_dir: str, k: int = 10, counts: DataFrame | None = None) -> DataFrame:
+    counts = retrieval.counts_of(table(spark, sf_dir, "documents"), "doc_id", "text") if counts is None else counts
     asked = retrieval.sparse_vectors(table(spark, sf_dir, "benchmark"), "item_id", "text", "v1")
-    return retrieval.sparse_search(retrieval.sparse_vectors(table(spark, sf_dir, "documents"), "doc_id", "text", "v1"), asked, "doc_id", "item_id", k)
+    return retrieval.sparse_search(counts, asked, "doc_id", "item_id", "v1", k)
 
 
 @QUERIES.add(f"WITH {_SPARSE} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sp) WHERE rank <= 10")
@@ -68,7 +82,8 @@ def sparse_dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*) AS n_lists FROM (SELECT * FROM a WHERE rank <= 20 UNION ALL SELECT * FROM b WHERE rank <= 20) GROUP BY 1, 2"""
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.reciprocal_rank_fusion([_bm25(spark, sf_dir, 20), _sparse(spark, sf_dir, 20)], "item_id", "doc_id")
+    counts = retrieval.counts_of(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return retrieval.reciprocal_rank_fusion([_bm25(spark, sf_dir, 20, counts), _sparse(spark, sf_dir, 20, counts)], "item_id", "doc_id")
 
 
 @QUERIES.add(
