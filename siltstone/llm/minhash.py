@@ -375,11 +375,13 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one of smallest doc_id.
 
     Columns stay as they are. Rows without doc_id stay, as nothing says which
-    document they repeat; of rows that repeat a doc_id one stays.
+    document they repeat; of rows that repeat a doc_id that whose text has the smallest digest stays, the same at every run.
     """
     found = near_duplicates(docs, k, percent)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti") if not _repeats(docs) else docs.where("doc_id is null").union(
-        docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    )
-    return left.select(docs.columns)
+    if not _repeats(docs):
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    row = F.struct(*docs.columns)
+    first = F.struct(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.to_json(row))
+    one = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by(row, first).alias("_row"))
+    return docs.where("doc_id is null").union(one.select(*(F.col("_row")[c].alias(c) for c in docs.columns)))

@@ -79,3 +79,10 @@ def test_posterior_cut_never_rules_out_the_threshold():
 @pytest.mark.parametrize("text, n", [("a b a b a", 2), ("x", 1), ("", 0), ("a\x0bb\x1cc", 1)])
 def test_shingles(text, n):
     assert len(minhash.shingle_set(text, 2)) == n
+
+
+def test_of_rows_that_repeat_an_id_the_same_one_stays(spark):
+    rows = [(1, f"text number {i} about things that have nothing in common with {i * 7}", i) for i in range(8)] + [(2, "alone here with words of its own kind", 1), (None, "x", 0), (None, "x", 0), (1, None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = [sorted(map(repr, minhash.deduplicated(df.repartition(n)).collect())) for n in (1, 3, 5)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 4
