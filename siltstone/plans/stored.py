@@ -1,15 +1,18 @@
-"""Queries of stored tables, files and queues, and their SQL."""
+"""Queries of stored tables, queues, nested outputs and samples, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators import nested
 from siltstone.plans.registry import Registry, table
 from siltstone.sources.tables import VersionedTable
 from siltstone.storage import fresh_path
+from siltstone.streaming import queue
 
 QUERIES = Registry()
+KINDS = {"purchase": "add", "signup": "add", "view": "claim", "click": "ok", "error": "error"}
 
 
 @QUERIES.add(
@@ -36,3 +39,45 @@ def versioned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored.replace(medium, ["3-MEDIUM"])
     stored.delete(["5-LOW"])
     return stored.read().groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_orderkey").alias("least"), F.max("o_custkey").alias("greatest"))
+
+
+@QUERIES.add()
+def timed_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of ten work queues that events drive: purchases and signups add a user's work of the day, views claim work, clicks and errors finish it."""
+    events = table(spark, sf_dir, "events")
+    kinds = F.element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.col("event_type"))
+    item = F.when(kinds != "claim", F.concat_ws("/", "user_id", F.to_date("ts")))
+    number = F.when(kinds == "add", F.col("user_id") % 5).otherwise(3)
+    commands = events.select((F.col("user_id") % 10).alias("queue"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), kinds.alias("kind"), item.alias("item"), number.alias("number"))
+    return queue.changes(commands, lease=7_200.0)
+
+
+_TREE = """o.o_orderkey, '{"lines":[' || string_agg('{"mode":"' || l_linestatus || '","note":{"flag":"' || l_returnflag || '","number":' || l_linenumber || '}}', ',' ORDER BY l_linenumber, l_linestatus, l_returnflag) || '],"priority":"' || o_orderpriority || '","tags":["' || o_orderstatus || '",null,[]]}'"""
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON text an order, with its lines in a list."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct(F.col("l_linestatus").alias("mode"), F.struct(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("number")).alias("note")).alias("line"))
+    lists = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))).alias("lines"))
+    of = table(spark, sf_dir, "orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey"))
+    whole = F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.col("lines.line").alias("lines")))
+    tags = F.concat(F.lit(',"tags":["'), "o_orderstatus", F.lit('",null,[]]}'))
+    return of.select("o_orderkey", F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1), tags).alias("tree"))
+
+
+@QUERIES.add(
+    """
+    WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linestatus, l_returnflag) - 1 AS n FROM lineitem)
+    SELECT l_orderkey AS o_orderkey, '.lines[' || n || '].mode' AS path, l_linestatus AS text FROM l UNION ALL SELECT l_orderkey, '.lines[' || n || '].note.flag', l_returnflag FROM l
+    UNION ALL SELECT o_orderkey, '.priority', o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT o_orderkey, '.tags[0]', o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"""
+)
+def nested_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String leaves of the orders' trees, with their paths."""
+    found = nested.strings(_trees(spark, sf_dir), "o_orderkey", "tree")
+    return found.select("o_orderkey", nested.shown(F.col("path")).alias("path"), "text")
+
+
+@QUERIES.add(f"SELECT o_orderkey, replace(replace(tree, '-URG', ''), 'F', '') AS tree FROM (SELECT {_TREE} AS tree FROM orders o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o.o_orderkey, o_orderpriority, o_orderstatus)")
+def nested_without(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' trees with fragments taken out of their texts, in the same shape."""
+    return nested.without(_trees(spark, sf_dir), "o_orderkey", "tree", ["-URG", "F"])

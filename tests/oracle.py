@@ -39,7 +39,8 @@ def differences(spark, sf_dir: str, name: str, query, sql: str) -> str:
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(columns)}"
     if mine != theirs:
-        a, b = [r for r in mine if r not in set(theirs)][:3], [r for r in theirs if r not in set(mine)][:3]
+        here, there = set(mine), set(theirs)
+        a, b = [r for r in mine if r not in there][:3], [r for r in theirs if r not in here][:3]
         return f"{len(mine)} against {len(theirs)} rows: {a} / {b}"
     return ""
 

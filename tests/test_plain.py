@@ -9,6 +9,8 @@ from html.parser import HTMLParser
 
 import duckdb
 
+from siltstone.plans.stored import KINDS
+
 
 def read(sf, sql):
     return duckdb.sql(re.sub(r"\b(FROM|JOIN) (\w+)", rf"\1 '{sf}/\2.parquet'", sql)).fetchall()
@@ -149,7 +151,18 @@ def link_candidates(rows, sf):
     assert sum(r.n for r in rows) >= pages and {r.outcome for r in rows} <= {"kept", "enriched", "duplicate", "offsite", "invalid"}
 
 
+def timed_queue(rows, sf):
+    from tests.test_queue import replayed
+
+    commands = []
+    for key, at, user, kind, day in read(sf, "SELECT event_id, epoch_us(ts) / 1e6, user_id, event_type, CAST(ts AS DATE) FROM events"):
+        kind = KINDS[kind]
+        commands.append((user % 10, at, key, kind, None if kind == "claim" else f"{user}/{day}", float(user % 5) if kind == "add" else 3.0))
+    want = collections.Counter((q, item, state, n, reason) for q, _, item, state, n, _, reason in replayed(commands, lease=7200.0))
+    assert collections.Counter((r.queue, r.item, r.state, r.attempts, r.reason) for r in rows) == want and len(want) > 100
+
+
 PLAIN = {
     f.__name__: f
-    for f in (org_unit_ids, greedy_trim, plan_allocation, saved_people, markdown_sections, html_text, normalized_multivalues, role_classification, entity_resolution_replay, complete_link_clusters, link_candidates)
+    for f in (org_unit_ids, greedy_trim, plan_allocation, saved_people, markdown_sections, html_text, normalized_multivalues, role_classification, entity_resolution_replay, complete_link_clusters, link_candidates, timed_queue)
 }
