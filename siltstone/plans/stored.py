@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import nested
+from siltstone.operators import nested, safety, sampling
 from siltstone.plans.registry import Registry, table
 from siltstone.sources.tables import VersionedTable
 from siltstone.storage import fresh_path
@@ -81,3 +81,55 @@ def nested_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_without(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders' trees with fragments taken out of their texts, in the same shape."""
     return nested.without(_trees(spark, sf_dir), "o_orderkey", "tree", ["-URG", "F"])
+
+
+#: What is planted in the first two turns of conversations, by conv_id modulo their number.
+PLANTED = ["", "导师不行", "professor 很废物", "推翻政府", "裸照", "打死", "蠢货", "代做", "录取概率 Offer 概率", "往届 去年", "a.b@c.org", "call 13912345678", "2024 竞赛分析报告目录", "教育部白名单", "MENTOR 攻击", "老师", "人渣"]
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    phrase = F.element_at(F.array(*map(F.lit, PLANTED)), (F.pmod("conv_id", F.lit(len(PLANTED))) + 1).cast("int"))
+    return turns.withColumn("text", F.when(F.col("turn") < 2, F.concat("text", F.lit(" "), phrase)).otherwise(F.col("text")))
+
+
+def _met(c: safety.Category) -> str:
+    some = lambda terms: "(" + (" OR ".join(f"contains(t, '{x.lower()}')" for x in terms) or "false") + ")"
+    return some(c.terms) + (f" OR ({some(c.subjects)} AND {some(c.attacks)})" if c.subjects else "")
+
+
+@QUERIES.add(
+    f"""
+    WITH p AS (SELECT conv_id, lower(coalesce(text, '') || CASE WHEN turn < 2 THEN ' ' || {PLANTED}[conv_id % {len(PLANTED)} + 1] ELSE '' END) AS t FROM conversations),
+    m AS (SELECT conv_id, min(CASE {' '.join(f"WHEN {_met(c)} THEN {i}" for i, c in enumerate(safety.RULES.categories.values()))} END) AS place FROM p GROUP BY conv_id)
+    SELECT conv_id, {list(safety.RULES.categories)}[place + 1] AS category FROM m"""
+)
+def safety_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first policy category that a conversation meets, phrases planted in its first turns."""
+    folded = sorted({t.lower() for c in safety.RULES.categories.values() for t in (*c.terms, *c.subjects, *c.attacks)})
+    found = _planted(spark, sf_dir).withColumn("found", safety.terms_in(F.col("text"), folded, lower=True))
+    names = F.array(*map(F.lit, safety.RULES.categories))
+    place = found.groupBy("conv_id").agg(F.min(safety.category(F.col("found"), F.lit(False))).alias("place"))
+    return place.select("conv_id", F.when(F.col("place").isNotNull(), F.get(names, F.col("place"))).alias("category"))
+
+
+@QUERIES.add()
+def safety_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a result: user turns are its claims, assistant turns its output."""
+    turns = _planted(spark, sf_dir)
+    user = F.col("role") == "user"
+    listed = lambda which, value: F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("turn", value.alias("v"))))), lambda x: x["v"])
+    claim = F.struct(F.when(F.col("turn") % 4 == 0, "fact").otherwise("advice").alias("kind"), F.col("text").alias("text"))
+    results = turns.groupBy("conv_id").agg(listed(user, claim).alias("claims"), listed(~user, F.col("text")).alias("texts"))
+    domain = F.when(F.col("conv_id") % 2 == 0, "competition").otherwise("generic")
+    return safety.inspect(results.select("conv_id", domain.alias("domain"), F.lit(None).cast("string").alias("subject_kind"), (F.col("conv_id") % 3 == 0).alias("include_contacts"), "claims", "texts"), "conv_id")
+
+
+@QUERIES.add()
+def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the customers: all of one nation, three of every other and ten of each stratum, the rest by digest."""
+    customers = table(spark, sf_dir, "customer")
+    flags = {"debt": F.col("c_acctbal") < 0, "rich": F.col("c_acctbal") > 9000, "building": F.col("c_mktsegment") == "BUILDING", "third": F.col("c_custkey") % 3 == 0}
+    strata = F.filter(F.array(*(F.when(when, F.lit(name)) for name, when in flags.items())), lambda x: x.isNotNull())
+    rows = customers.select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"), strata.alias("strata"), F.sha2(F.concat(F.lit("gold/"), F.col("c_custkey").cast("string")).cast("binary"), 256).alias("draw"))
+    return sampling.quota_sample(rows, "c_custkey", "nation", "strata", "draw", customers.count() // 2, 1, 10, ("7",)).select("c_custkey", "nation", "why")

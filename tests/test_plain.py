@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 
 import duckdb
 
-from siltstone.plans.stored import KINDS
+from siltstone.plans.stored import KINDS, PLANTED
 
 
 def read(sf, sql):
@@ -162,7 +162,30 @@ def timed_queue(rows, sf):
     assert collections.Counter((r.queue, r.item, r.state, r.attempts, r.reason) for r in rows) == want and len(want) > 100
 
 
+def safety_inspection(rows, sf):
+    from tests.test_safety import plain
+
+    results = collections.defaultdict(lambda: ([], []))
+    for conv, turn, role, text in read(sf, "SELECT conv_id, turn, role, coalesce(text, '') FROM conversations ORDER BY conv_id, turn"):
+        text += f" {PLANTED[conv % len(PLANTED)]}" if turn < 2 else ""
+        if role == "user":
+            results[conv][0].append(("fact" if turn % 4 == 0 else "advice", text))
+        else:
+            results[conv][1].append(text)
+    want = {c: plain((c, "competition" if c % 2 == 0 else "generic", None, c % 3 == 0, *r)) for c, r in results.items()}
+    assert {r.conv_id: (r.status, r.category, [tuple(w) for w in r.warnings], [tuple(x) for x in r.claims], r.texts) for r in rows} == want
+
+
+def quota_sample(rows, sf):
+    from tests.test_sampling import greedy
+
+    customers = read(sf, "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+    flags = lambda k, b, m: [n for n, on in (("debt", b < 0), ("rich", b > 9000), ("building", m == "BUILDING"), ("third", k % 3 == 0)) if on]
+    all_rows = [(k, str(n), flags(k, b, m), hashlib.sha256(f"gold/{k}".encode()).hexdigest()) for k, n, b, m in customers]
+    assert {r.c_custkey: r.why for r in rows} == greedy(all_rows, len(all_rows) // 2, 1, 10, ("7",))
+
+
 PLAIN = {
     f.__name__: f
-    for f in (org_unit_ids, greedy_trim, plan_allocation, saved_people, markdown_sections, html_text, normalized_multivalues, role_classification, entity_resolution_replay, complete_link_clusters, link_candidates, timed_queue)
+    for f in (org_unit_ids, greedy_trim, plan_allocation, saved_people, markdown_sections, html_text, normalized_multivalues, role_classification, entity_resolution_replay, complete_link_clusters, link_candidates, timed_queue, safety_inspection, quota_sample)
 }
