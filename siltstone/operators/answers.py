@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.budget import tokens, version, within_tokens
 from siltstone.functions.text import folded, nfkc, normal_lines
 
 #: Intents, keys of a match analysis, time models, limits of labels and titles, and what labels mustn't be.
@@ -280,11 +281,11 @@ def protection_reasons(builds: DataFrame, protections: DataFrame, findings: Data
     return own.unionByName(other.select("snapshot_id", "kind", "reference_id")).unionByName(held).unionByName(found).distinct()
 
 
-def semantic_profile(rows: DataFrame, template: str = "baseline-v1", most: int = 4096) -> DataFrame:
+def semantic_profile(rows: DataFrame, template: str = "baseline-v1", most: int = 4096, tokenizer: str | None = None) -> DataFrame:
     """entity_id, profile, profile_hash, n_tokens of ``rows``: labelled lines, each field and then the whole within a token budget.
 
-    ``rows``: entity_id, school, org, title, bio, and arrays statements, topics, publications. A token is a run without
-    white space; a model's tokenizer would need its files.
+    ``rows``: entity_id, school, org, title, bio, and arrays statements, topics, publications. Tokens are those of the file ``tokenizer`` of the tokenizers
+    library, whose digest is then part of the hash; without one a token is a run without white space, which cuts no Chinese text.
     """
     research, publications, bio = TEMPLATES[template]
     budgets = {"school": 64, "org": 128, "title": 64, "research": research, "topics": 768, "publications": publications, "bio": bio}
@@ -293,13 +294,17 @@ def semantic_profile(rows: DataFrame, template: str = "baseline-v1", most: int =
     texts = {"school": F.col("school"), "org": F.col("org"), "title": F.col("title"), "research": joined(F.col("statements")), "topics": joined(F.col("topics")), "publications": joined(F.col("publications")), "bio": F.col("bio")}
 
     def within(text: Column, budget: int) -> Column:
+        if tokenizer:
+            return F.trim(within_tokens(normal_lines(F.coalesce(text, F.lit(""))), budget, tokenizer))
         return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?Us)^\s*((?:\S+\s*){{0,{budget}}})", 1))
 
     lines = [F.when((text := within(texts[c], budgets[c])) != "", F.concat(F.lit(f"{label}："), text)) for label, c, _ in PROFILE_LINES]
     profile = normal_lines(within(F.concat_ws("\n", *lines), most))
     out = rows.select("entity_id", profile.alias("profile"))
-    digest = F.sha2(F.concat(F.lit(f"{template}\n"), F.col("profile")).cast("binary"), 256)
-    return out.select("entity_id", "profile", digest.alias("profile_hash"), F.size(F.regexp_extract_all("profile", F.lit(r"(?U)\S+"), 0)).cast("long").alias("n_tokens"))
+    by = f"{template}\n{version(tokenizer)}\n" if tokenizer else f"{template}\n"
+    digest = F.sha2(F.concat(F.lit(by), F.col("profile")).cast("binary"), 256)
+    n = tokens(F.col("profile"), tokenizer) if tokenizer else F.size(F.regexp_extract_all("profile", F.lit(r"(?U)\S+"), 0)).cast("long")
+    return out.select("entity_id", "profile", digest.alias("profile_hash"), n.alias("n_tokens"))
 
 
 def detail(entities: DataFrame, statements: DataFrame, publications: DataFrame, links: DataFrame, key: str = "entity_id") -> DataFrame:

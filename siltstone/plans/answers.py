@@ -57,7 +57,7 @@ def match_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.add(
     """
-    WITH h AS (SELECT 'c' || doc_id AS chunk_hash, 1.0::DOUBLE / (doc_id + 1) AS score FROM documents WHERE doc_id < 20), t AS (SELECT greatest(sum(greatest(score, 0.0)), 1.0) AS total FROM h),
+    WITH h AS (SELECT 'c' || doc_id AS chunk_hash, 1.0::DOUBLE / (doc_id + 1) AS score FROM documents), t AS (SELECT greatest(sum(greatest(score, 0.0)), 1.0) AS total FROM h),
     r AS (SELECT p_partkey AS card_id, 'c' || unnest([p_partkey % 37, p_partkey % 41 + 5]) AS chunk_hash FROM part), s AS (SELECT card_id, least(sum(score) / any_value(total), 1.0) AS source_score FROM r JOIN h USING (chunk_hash), t GROUP BY card_id),
     c AS (SELECT p_partkey AS card_id, p_name AS name, greatest(coalesce(source_score, 0.0), (contains(lower(p_name || ' ' || p_type), 'large')::INT + contains(lower(p_name || ' ' || p_type), 'steel')::INT) / 2.0::DOUBLE) AS score FROM part LEFT JOIN s ON card_id = p_partkey)
     SELECT card_id, name, score FROM c WHERE score > 0 ORDER BY score DESC, name, card_id LIMIT 25"""
@@ -66,7 +66,7 @@ def competition_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as competition cards: references to ranked chunks, and two terms."""
     cards = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("card_id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("blob"))
     refs = cards.select("card_id", F.explode(F.array(F.col("card_id") % 37, F.col("card_id") % 41 + 5)).alias("n")).select("card_id", F.concat(F.lit("c"), F.col("n").cast("string")).alias("chunk_hash"))
-    hits = table(spark, sf_dir, "documents").where("doc_id < 20").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_hash"), (F.lit(1.0) / (F.col("doc_id") + 1)).alias("score"))
+    hits = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_hash"), (F.lit(1.0) / (F.col("doc_id") + 1)).alias("score"))
     return answers.recalled(cards, answers.source_match(refs, hits), ["Large", "steel"], 25)
 
 
@@ -199,12 +199,15 @@ def plan_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(issues, "|").alias("issues"))
 
 
-@QUERIES.add("SELECT p_partkey FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_partkey < 3) AND NOT (p_partkey % 3 = 1)")
+#: What a request wishes for.
+WISHES = [" Brand#11 ", "Brand#23", " Brand#34", "Brand#45"]
+
+
+@QUERIES.add(f"SELECT p_partkey FROM part WHERE p_brand IN ({', '.join(repr(w.strip()) for w in WISHES)}) AND NOT (p_partkey % 3 = 1)")
 def competition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    wanted = [f" {r[0]} " for r in parts.where("p_partkey < 3").select("p_brand").distinct().collect()]  # three parts' brands
     policy = F.when(F.col("p_partkey") % 3 == 0, "solo").when(F.col("p_partkey") % 3 == 1, "team").otherwise("any")
-    return answers.filtered_competitions(parts.select("p_partkey", F.col("p_brand").alias("category"), policy.alias("team_policy")), wanted, "solo").select("p_partkey")
+    return answers.filtered_competitions(parts.select("p_partkey", F.col("p_brand").alias("category"), policy.alias("team_policy")), WISHES, "solo").select("p_partkey")
 
 
 @QUERIES.add(
@@ -247,17 +250,29 @@ def snapshot_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.add(
     """
-    WITH p AS (SELECT n_nationkey, '学校：' || n_name || chr(10) || '学院：a b' || coalesce(chr(10) || '研究方向原文：' || s, '') AS profile FROM nation LEFT JOIN (SELECT c_nationkey, string_agg(c_name, chr(10) ORDER BY c_custkey) AS s FROM customer WHERE c_custkey < 40 GROUP BY 1) ON c_nationkey = n_nationkey)
+    WITH p AS (SELECT n_nationkey, '学校：' || n_name || chr(10) || '学院：a b' || coalesce(chr(10) || '研究方向原文：' || s, '') AS profile FROM nation LEFT JOIN (SELECT c_nationkey, array_to_string(list(c_name ORDER BY c_custkey)[1:2048], chr(10)) AS s FROM customer GROUP BY 1) ON c_nationkey = n_nationkey)
     SELECT n_nationkey AS entity_id, profile, sha256('baseline-v1' || chr(10) || profile) AS profile_hash, CAST(len(string_split_regex(profile, '\\s+')) AS BIGINT) AS n_tokens FROM p"""
 )
 def semantic_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as persons, their first customers as statements."""
-    own = table(spark, sf_dir, "customer").where("c_custkey < 40").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]).alias("statements"))
+    """Nations as persons, their customers as statements."""
+    own = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"]).alias("statements"))
     none = F.array().cast("array<string>")
     rows = table(spark, sf_dir, "nation").join(own, "n_nationkey", "left").select(F.col("n_nationkey").alias("entity_id"), F.col("n_name").alias("school"), F.lit(" a b ").alias("org"), F.lit(None).cast("string").alias("title"), F.lit("").alias("bio"), "statements", none.alias("topics"), none.alias("publications"))
     return answers.semantic_profile(rows)
 
 
+@QUERIES.add()
+def tokenized_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of customers within a real tokenizer's tokens: orders as statements, and a Chinese line that the budget of its field cuts."""
+    import public_tokenizers
+
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: F.concat(F.lit("研究方向 "), x["o_orderpriority"])).alias("statements"))
+    none = F.array().cast("array<string>")
+    title = F.concat("c_mktsegment", F.repeat(F.lit("教授、博士生导师；"), F.lit(20)))
+    people = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left")
+    return answers.semantic_profile(people.select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("school"), F.lit("学院").alias("org"), title.alias("title"), F.lit(None).cast("string").alias("bio"), "statements", none.alias("topics"), none.alias("publications")), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @QUERIES.add(
     """
     SELECT c_custkey AS entity_id, coalesce((SELECT string_agg(o_orderpriority, ',' ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey), '') AS statements, coalesce((SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT o_orderstatus AS s FROM orders WHERE o_custkey = c_custkey)), '') AS sources FROM customer"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
+from siltstone.operators.quantiles import sketches
 from siltstone.operators.relational import upsert
 
 #: States of a work item, which ones end it, and how an outcome moves it on.
@@ -30,6 +31,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def latencies(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """A sketch of ``value`` for each event type and window, to be stored, merged and asked: see :mod:`siltstone.operators.quantiles`."""
+    return sketches(events.withWatermark("ts", late), [F.window("ts", size), F.col("event_type")], "value")
+
+
 def once(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Retried requests count once: repeats of a key within the watermark go."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)

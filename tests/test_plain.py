@@ -185,7 +185,29 @@ def quota_sample(rows, sf):
     assert {r.c_custkey: r.why for r in rows} == greedy(all_rows, len(all_rows) // 2, 1, 10, ("7",))
 
 
+def tokenized_profiles(rows, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, sha = Tokenizer.from_file(path), hashlib.sha256(open(path, "rb").read()).hexdigest()
+
+    def bounded(text, budget):
+        found = own.encode(text, add_special_tokens=False)
+        return (text if len(found.ids) <= budget else text[: found.offsets[budget][0]]).strip()
+
+    said = collections.defaultdict(list)
+    for cust, what in read(sf, "SELECT o_custkey, o_orderpriority FROM orders ORDER BY o_orderkey"):
+        said[cust].append(f"研究方向 {what}")
+    want = {}
+    for key, name, segment in read(sf, "SELECT c_custkey, c_name, c_mktsegment FROM customer"):
+        fields = [("学校", bounded(name, 64)), ("学院", "学院"), ("职称", bounded(segment + "教授、博士生导师；" * 20, 64)), ("研究方向原文", bounded("\n".join(said[key]), 2048))]
+        profile = "\n".join(f"{a}：{b}" for a, b in fields if b)
+        want[key] = (profile, hashlib.sha256(f"baseline-v1\n{sha}\n{profile}".encode()).hexdigest(), len(own.encode(profile, add_special_tokens=False).ids))
+    assert {r.entity_id: (r.profile, r.profile_hash, r.n_tokens) for r in rows} == want and all("导师；" * 20 not in p for p, _, _ in want.values())
+
+
 PLAIN = {
     f.__name__: f
-    for f in (org_unit_ids, greedy_trim, plan_allocation, saved_people, markdown_sections, html_text, normalized_multivalues, role_classification, entity_resolution_replay, complete_link_clusters, link_candidates, timed_queue, safety_inspection, quota_sample)
+    for f in (org_unit_ids, greedy_trim, plan_allocation, saved_people, markdown_sections, html_text, normalized_multivalues, role_classification, entity_resolution_replay, complete_link_clusters, link_candidates, timed_queue, safety_inspection, quota_sample, tokenized_profiles)
 }
