@@ -6,8 +6,9 @@ are an article (menus, headers, footers, sidebars, notices, adverts, forms, scri
 reader comments) are told by element, role or a class or id that says nothing else. The ratios
 of the other lines are smoothed by a Gaussian; lines above the deviation of the ratios
 are content. Content chooses the region: articles that hold some, else the smallest
-container with nearly all of it, without those of its parts that hold none. A chosen
-region is returned whole, short lines included.
+container with nearly all of it, without those of its parts that hold none and are all links. A chosen
+region is returned whole, short lines included. Names tell boxes only: headings are judged by none, and
+paragraphs and what stands in a line by classes alone, as generators give ids made of their words to these.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 SKIPPED = set("nav footer aside script style noscript template svg canvas iframe object button select option textarea dialog menu search head title audio video".split())
 SKIPPED_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 COMMENT_NAMES = set("comment comments commentlist commentary disqus respond replies reply commenter".split())
+#: Words that mean comments as a class; as an id they may name a part of the article.
+COMMENT_CLASSES = COMMENT_NAMES | set("discussion discussions responses reactions feedback talkback".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+BOXES = set("div section aside nav article main header footer ul ol dl li table tbody tr td figure form fieldset details center blockquote iframe".split())
 SKIPPED_NAMES = COMMENT_NAMES | set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side nav navbar navigation menu breadcrumb breadcrumbs "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations "
@@ -59,6 +64,7 @@ class Line(NamedTuple):
     region: int  # nearest container
     whole: int  # outermost article or main, 0 if none
     form: int  # outermost form, 0 if none
+    linked: bool  # nothing but links
 
 
 def names_only(value: str, names: set[str]) -> bool:
@@ -83,7 +89,9 @@ def kind(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
         low = value.lower()
         if name == "hidden" or (name == "aria-hidden" and low == "true") or (name == "style" and "display:none" in low.replace(" ", "")):
             return SKIP
-        if (name == "itemtype" and low.endswith("schema.org/comment")) or (name in ("class", "id") and names_only(value, names)):
+        if name == "itemtype" and low.endswith("schema.org/comment"):
+            return SKIP
+        if (name == "class" and tag not in HEADINGS and names_only(value, names | COMMENT_CLASSES)) or (name == "id" and tag in BOXES and names_only(value, names)):
             return SKIP
         if name == "role" and low in SKIPPED_ROLES and tag not in WHOLE:
             return SKIP
@@ -102,6 +110,7 @@ class _Lines(HTMLParser):
         self.forms = self.tags = 0
         self.solid: set[int] = set()  # forms with paragraphs or headings
         self.parts: list[str] = []
+        self.loose = False  # the line has text outside of links
         self.here: tuple[int, bool, int, int] = (0, False, 0, 0)
 
     def flush(self) -> None:
@@ -109,9 +118,9 @@ class _Lines(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
                 region, _, whole, form = self.here
-                self.lines.append(Line(text, max(1, self.tags), region, whole, form))
+                self.lines.append(Line(text, max(1, self.tags), region, whole, form, not self.loose))
             self.parts = []
-        self.tags = 0
+        self.tags, self.loose = 0, False
 
     def _pop(self, size: int) -> None:
         while len(self.stack) > size:
@@ -165,6 +174,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.here[1]:
             self.parts.append(data)
+            self.loose = self.loose or (not self.open["a"] and not data.isspace())
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -186,7 +196,7 @@ def _without_forms(lines: list[Line], solid: set[int]) -> list[Line]:
 
 
 def _region(lines: list[Line], content: np.ndarray, parents: list[int]) -> list[Line]:
-    """Lines of the smallest container that holds nearly all content, without those of its parts that hold none."""
+    """Lines of the smallest container that holds nearly all content, without those of its parts that hold none and are all links."""
     held = np.zeros(len(parents))
     for line, c in zip(lines, content, strict=True):
         if c:
@@ -201,7 +211,8 @@ def _region(lines: list[Line], content: np.ndarray, parents: list[int]) -> list[
     part[root] = -1
     for i in range(root + 1, len(parents)):
         part[i] = i if parents[i] == root else max(0, part[parents[i]])
-    return [line for line in lines if part[line.region] == -1 or (part[line.region] and held[part[line.region]])]
+    loose = {part[line.region] for line in lines if not line.linked}
+    return [line for line in lines if (own := part[line.region]) == -1 or (own and (held[own] or own in loose))]
 
 
 def main_text(html: str | None) -> str:

@@ -31,6 +31,13 @@ LONG = "Words of an article that go on for a while, with commas and a full stop.
         (f"<form><label>Name</label><input></form><p>{LONG}</p>", LONG),
         # no names at all: ratios choose
         (f"<div><a>one</a> <a>two</a> <a>three</a> <a>four</a></div><div><h1>T</h1><p>{LONG}<p>{LONG}<p>c</div><div><a>x</a><a>y</a><a>z</a><a>w</a></div>", f"T\n\n{LONG}\n\n{LONG}\n\nc"),
+        # ids that a generator makes of a heading's words say nothing of a box; classes of headings neither
+        (f"<article><h2 id=navigation>Navigation</h2><p>{LONG}</p><h2 id=related class=related>Related</h2><p id=notice>Note</p><p>b <span id=ad>c</span></p></article>", f"Navigation\n\n{LONG}\n\nRelated\n\nNote\n\nb c"),
+        (f"<article><section id=discussion><h2>Discussion</h2><p>{LONG}</p></section><p class=advert>no</p><div id=related>no</div></article>", f"Discussion\n\n{LONG}"),
+        (f"<main><p>{LONG}</p><div class='reader-responses'><p>no</p></div><div class=discussion>no</div><ul class='user-reactions'><li>no</ul></main>", LONG),
+        # without an article: short parts of the container stay, those that are all links go
+        (f"<div id=page><p>{LONG}<p>{LONG}<p>{LONG}<p>{LONG}<div><ul><li>one<li>two</ul></div><div>x</div><div><a href=a>p</a> <a href=b>q</a></div><p>{LONG}</div>", "\n\n".join([LONG] * 4 + ["one", "two", "x", LONG])),
+        (f"<table><tr><td><a>home</a><td><h2 id=menu>Menu</h2><p>{LONG}<p>{LONG}<ul><li><b>k</b></ul></table>", f"Menu\n\n{LONG}\n\n{LONG}\n\nk"),
     ],
 )
 def test_main_text(page, text):
