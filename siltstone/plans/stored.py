@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import nested, safety, sampling
+from siltstone.functions import noise, text
+from siltstone.functions.hashing import hash_parts
+from siltstone.operators import gold, nested, records, safety, sampling
 from siltstone.plans.registry import Registry, table
 from siltstone.sources.tables import VersionedTable
 from siltstone.storage import fresh_path
@@ -133,3 +135,70 @@ def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     strata = F.filter(F.array(*(F.when(when, F.lit(name)) for name, when in flags.items())), lambda x: x.isNotNull())
     rows = customers.select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"), strata.alias("strata"), F.sha2(F.concat(F.lit("gold/"), F.col("c_custkey").cast("string")).cast("binary"), 256).alias("draw"))
     return sampling.quota_sample(rows, "c_custkey", "nation", "strata", "draw", customers.count() // 2, 1, 10, ("7",)).select("c_custkey", "nation", "why")
+
+
+@QUERIES.add()
+def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without footers, headers, drawings and styles."""
+    pages = table(spark, sf_dir, "pages").withColumn("s", noise.without_noise(F.col("html")))
+    return pages.select("page_id", F.col("s.removed").cast("long").alias("removed"), F.length("s.html").cast("long").alias("n_chars"), F.sha2(F.col("s.html").cast("binary"), 256).alias("html_sha256"))
+
+
+@QUERIES.add(
+    """
+    SELECT c_custkey, c_name AS name, c_mktsegment || ' ' || c_nationkey AS title, CASE WHEN c_custkey % 4 = 0 THEN '7' END AS phone, NULL AS bio, 'None x' AS enrollment_pref, c_mktsegment || '；' || c_nationkey AS research_areas,
+      CASE WHEN c_custkey % 5 > 0 THEN 'p1；p2' END AS publications, CASE WHEN c_custkey % 3 = 0 THEN 'c' || c_custkey || '@x.org' END AS email, CASE WHEN c_custkey % 2 = 0 THEN 'HTTP://x.org/' || c_custkey END AS homepage, NULL AS external_link
+    FROM customer WHERE c_custkey % 10 <> 1"""
+)
+def sanitized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as records of a model, some fields lists, numbers, blanks or no addresses."""
+    key, every = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    quoted = lambda x: nested.quoted(x)
+    fields = {
+        "name": quoted(F.when(key % 10 != 1, F.concat(F.lit(" "), "c_name", F.lit("\n "))).otherwise("  ")),
+        "title": F.concat(F.lit("["), quoted(F.col("c_mktsegment")), F.lit(","), "c_nationkey", F.lit("]")),
+        "phone": F.when(key % 4 == 0, "7").otherwise("null"),
+        "enrollment_pref": F.lit('[null," x "]'),
+        "research_areas": quoted(F.concat("c_mktsegment", F.lit("; "), "c_mktsegment", F.lit(" ，"), "c_nationkey", F.lit("、"))),
+        "publications": F.when(key % 5 > 0, '["p1","p2 ",""," p1"]').otherwise('[" "]'),
+        "email": quoted(F.when(key % 3 == 0, F.concat(F.lit("c"), key, F.lit("@x.org"))).otherwise("no mail@x")),
+        "homepage": quoted(F.when(key % 2 == 0, F.concat(F.lit("HTTP://x.org/"), key)).otherwise("ftp://x")),
+    }
+    raw = F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{name}":'), value) for name, value in fields.items())), F.lit("}"))
+    return records.sanitized(every.select("c_custkey", raw.alias("raw")), "c_custkey", "raw")
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]), "； ")
+    research = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.concat(F.lit("研究方向：(1) "), said).alias("research"))
+    people = table(spark, sf_dir, "customer").join(research, "c_custkey", "left")
+    key, named = F.col("c_custkey"), lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    return people.select(F.lit("b").alias("build_id"), named("e", key).alias("entity_id"), named("o", key).alias("observation_id"), named("n", F.col("c_nationkey")).alias("university_id"), "research", F.array("c_mktsegment").alias("units"), F.when(key % 2 == 0, named("d", key)).alias("document_id"))
+
+
+_FACTS = """
+    p AS (SELECT 'e' || c_custkey AS e, 'o' || c_custkey AS o, 'n' || c_nationkey AS u, c_mktsegment AS m, c_custkey AS k FROM customer), s AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS t FROM orders),
+    i AS (SELECT e, sha256(e || chr(0) || o || chr(0) || t) AS id FROM p JOIN s USING (k)),
+    f AS (SELECT 'node:Professor' AS partition, e AS row_key FROM p UNION SELECT 'node:University', u FROM p UNION SELECT 'node:OrgUnit', m FROM p UNION SELECT 'rel:AFFILIATED_WITH', 'b:' || e || '|b:' || m FROM p UNION SELECT 'rel:PART_OF', 'b:' || m || '|b:' || u FROM p
+      UNION SELECT 'node:ResearchStatement', id FROM i UNION SELECT 'rel:HAS_RESEARCH_STATEMENT', 'b:' || e || '|b:' || id FROM i UNION SELECT 'node:SourceDocument', 'd' || k FROM p WHERE k % 2 = 0 UNION SELECT 'rel:OBSERVED_IN', 'b:' || e || '|b:d' || k FROM p WHERE k % 2 = 0)"""
+
+
+@QUERIES.add(f"WITH {_FACTS} SELECT * FROM f")
+def expected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that customers with their orders' priorities for statements must lead to."""
+    return gold.expected_facts(_people(spark, sf_dir))
+
+
+@QUERIES.add(
+    f"WITH {_FACTS}, a AS (SELECT * FROM f WHERE NOT (partition = 'rel:OBSERVED_IN' AND row_key LIKE '%0') UNION SELECT 'node:Topic', r_name FROM region) SELECT coalesce(f.partition, a.partition) AS partition, coalesce(f.row_key, a.row_key) AS row_key, CASE WHEN a.row_key IS NULL THEN 'missing' ELSE 'unexpected' END AS difference FROM f FULL JOIN a ON a.partition = f.partition AND a.row_key = f.row_key WHERE f.row_key IS NULL OR a.row_key IS NULL"
+)
+def fact_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same facts against an export by the other splitter, in which some are lost and some are strangers."""
+    people = _people(spark, sf_dir)
+    own = people.select("entity_id", "observation_id", F.explode(text.statements(F.col("research"))).alias("s"))
+    ids = own.select("entity_id", hash_parts(F.col("entity_id"), F.col("observation_id"), F.col("s.text")).alias("id"))
+    said = ids.select(F.lit("node:ResearchStatement").alias("partition"), F.col("id").alias("row_key")).unionByName(ids.select(F.lit("rel:HAS_RESEARCH_STATEMENT").alias("partition"), F.concat(F.lit("b:"), "entity_id", F.lit("|b:"), "id").alias("row_key")))
+    facts = gold.expected_facts(people)
+    others = facts.where("partition NOT IN ('node:ResearchStatement', 'rel:HAS_RESEARCH_STATEMENT') AND NOT (partition = 'rel:OBSERVED_IN' AND row_key LIKE '%0')")
+    strange = table(spark, sf_dir, "region").select(F.lit("node:Topic").alias("partition"), F.col("r_name").alias("row_key"))
+    return gold.fact_differences(facts, others.unionByName(said).unionByName(strange))

@@ -207,7 +207,47 @@ def tokenized_profiles(rows, sf):
     assert {r.entity_id: (r.profile, r.profile_hash, r.n_tokens) for r in rows} == want and all("导师；" * 20 not in p for p, _, _ in want.values())
 
 
+class _Tree(HTMLParser):
+    """A page as the tree of test_noise, its source texts as they are."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.root = ("", {}, [])
+        self.open = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        x = (tag, dict(attrs), [], self.get_starttag_text())
+        self.open[-1][2].append(x)
+        if tag not in ("meta", "link", "img", "br", "hr", "input"):
+            self.open.append(x)
+
+    def handle_endtag(self, tag):
+        if any(x[0] == tag for x in self.open[1:]):
+            while self.open.pop()[0] != tag:
+                pass
+
+
+def stripped_pages(rows, sf):
+    from tests.test_noise import plain
+
+    def elements(x):
+        return 0 if isinstance(x, str) else sum(1 + elements(c) for c in x[2] if not isinstance(c, str))
+
+    changed = 0
+    got = {r.page_id: r for r in rows}
+    pages = read(sf, "SELECT page_id, html FROM pages")
+    for page, html in pages:
+        tree = _Tree()
+        tree.feed(html or "")
+        root = next((x for x in tree.root[2] if x[0] == "html"), tree.root)
+        left = plain(root[:3])
+        assert (elements(left) < elements(root)) == (got[page].removed > 0)
+        assert (got[page].n_chars < len(html or "")) == (got[page].removed > 0)
+        changed += got[page].removed > 0
+    assert len(got) == len(pages) and changed > 5
+
+
 PLAIN = {
     f.__name__: f
-    for f in (org_unit_ids, greedy_trim, plan_allocation, saved_people, markdown_sections, html_text, normalized_multivalues, role_classification, entity_resolution_replay, complete_link_clusters, link_candidates, timed_queue, safety_inspection, quota_sample, tokenized_profiles)
+    for f in (org_unit_ids, greedy_trim, plan_allocation, saved_people, markdown_sections, html_text, normalized_multivalues, role_classification, entity_resolution_replay, complete_link_clusters, link_candidates, timed_queue, safety_inspection, quota_sample, tokenized_profiles, stripped_pages)
 }
