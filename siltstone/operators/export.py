@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.vectors import finite
 from siltstone.operators.graph import cycle_edges
+from siltstone.operators.relational import manifest
 
 
 def canonical_json(columns: Sequence[str]) -> Column:
@@ -22,14 +23,22 @@ def _exported(df: DataFrame, partition: str, key: Column, columns: Sequence[str]
     return rows.withColumn("payload_sha256", F.sha2(F.col("payload").cast("binary"), 256))
 
 
+def _one_each(df: DataFrame, keys: list[str], properties: Sequence[str]) -> DataFrame:
+    """A row a key: of rows that repeat one, that of the least payload, the same at every run."""
+    rest = [c for c in dict.fromkeys(properties) if c not in keys]
+    if not rest:
+        return df.select(*keys).distinct()
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), canonical_json(rest)).alias("_row")).select(*keys, "_row.*")
+
+
 def node_rows(df: DataFrame, label: str, key: str, properties: Sequence[str]) -> DataFrame:
     """partition, row_key, payload, payload_sha256: the nodes of one label, a row each key."""
-    return _exported(df.where(F.col(key).isNotNull()).dropDuplicates([key]), f"node:{label}", F.concat(F.lit(f"{label}:"), F.col(key).cast("string")), [key, *properties])
+    return _exported(_one_each(df.where(F.col(key).isNotNull()), [key], properties), f"node:{label}", F.concat(F.lit(f"{label}:"), F.col(key).cast("string")), [key, *properties])
 
 
 def edge_rows(df: DataFrame, kind: str, source: str, target: str, properties: Sequence[str] = ()) -> DataFrame:
     """The same for the edges of one kind: a row for each pair of ends that are both there."""
-    there = df.where(F.col(source).isNotNull() & F.col(target).isNotNull()).dropDuplicates([source, target])
+    there = _one_each(df.where(F.col(source).isNotNull() & F.col(target).isNotNull()), [source, target], properties)
     key = F.concat(F.col(source).cast("string"), F.lit(f"-{kind}-"), F.col(target).cast("string"))
     return _exported(there, f"edge:{kind}", key, [source, target, *properties])
 
@@ -87,3 +96,39 @@ def release_gates(
         check("org_units", count_of(active.join(mine, "entity_id", "left").where(~same))),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def threshold(name: str, metrics: DataFrame) -> DataFrame:
+    """A gate over ``metrics`` (metric, value, least): how many lie below their least value, or have none."""
+    return check(name, count_of(metrics.where(~F.coalesce(F.col("value") >= F.col("least"), F.lit(False)))))
+
+
+def integrity_gates(
+    rows: DataFrame, stored: DataFrame, profiles: DataFrame, cached: DataFrame, gold: dict[str, DataFrame], eligible: DataFrame, points: DataFrame, sensitive: Sequence[str], pointers: DataFrame, readiness: DataFrame, damaged: DataFrame
+) -> DataFrame:
+    """The gates on what was written, as one table like that of :func:`release_gates`.
+
+    ``rows`` (partition, row_key, payload) against the ``stored`` manifest; ``profiles`` and ``cached`` (entity_id, profile_hash); ``gold``: for
+    each name metrics (metric, value, least); ``eligible`` (entity_id) against ``points`` (point_id, payload as JSON), which must not name a field in ``sensitive``;
+    ``pointers`` (name, version): all name one version; ``readiness`` metrics; ``damaged``: a row for each part of an index that isn't as it was written.
+    """
+    again = manifest(rows, "partition", F.col("row_key"), F.col("payload"))
+    differ = read_back(stored, again).where("difference IS NOT NULL")
+    hashes = profiles.alias("a").join(cached.alias("b"), "entity_id", "left").where(~F.col("a.profile_hash").eqNullSafe(F.col("b.profile_hash")))
+    ids, there = eligible.select(F.col("entity_id").alias("id")).distinct(), points.select(F.col("point_id").alias("id")).distinct()
+    strangers = ids.join(there, "id", "full_outer").join(ids.withColumn("_a", F.lit(1)), "id", "left").join(there.withColumn("_b", F.lit(1)), "id", "left").where("_a IS NULL OR _b IS NULL")
+    told = F.lit(False)
+    for field in sensitive:
+        told = told | F.array_contains(F.json_object_keys("payload"), field)
+    parts = [
+        check("catalog_graph_manifest", count_of(differ)),
+        check("catalog_graph_profile_hash", count_of(hashes)),
+        *(threshold(name, metrics) for name, metrics in gold.items()),
+        check("vector_count", eligible.agg(F.count_distinct("entity_id").alias("a")).crossJoin(points.agg(F.count(F.lit(1)).alias("b"))).select((F.col("b") - F.col("a")).alias("n"))),
+        check("vector_ids", count_of(strangers)),
+        check("vector_payload", count_of(points.where(F.coalesce(told, F.lit(True)) | F.json_object_keys("payload").isNull()))),
+        check("promotion_pointers", pointers.agg(F.count_distinct("version").alias("n")), "1"),
+        threshold("readiness", readiness),
+        check("index_integrity", count_of(damaged)),
+    ]
+    return reduce(DataFrame.unionByName, parts)

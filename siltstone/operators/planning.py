@@ -47,3 +47,50 @@ def rank_competitions(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
         score = score + F.lit(w) * F.coalesce(F.col(c), F.lit(0.0))
     scored = rows.withColumn("score", F.bround(score / total, 6))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("in_catalog"), "name", "id")))
+
+
+#: Why a card that changes a plan is refused.
+NO_SOURCE, NO_TASK, NO_PHASE, BAD_DATE, BAD_TASK, MUST_STAY, BAD_SCHEDULE, NO_ADVICE = (
+    "missing_required_fields", "target_task_not_found", "target_phase_not_found", "date_out_of_range", "invalid_add_task_fields", "required_task_delete_forbidden", "phase_schedule_invalid", "invalid_advice_fields",
+)
+
+
+def change_cards(cards: DataFrame, plans: DataFrame, phases: DataFrame, tasks: DataFrame, today: Column) -> DataFrame:
+    """(card_id, status, code): whether each card may change its plan, and the first reason why not; nothing is changed.
+
+    ``cards``: card_id, plan_id, type (move_task, add_task, delete_task, reschedule_phase, append_advice), status, code, n_sources, target_task,
+    target_phase (a key), new_date, new_task (whether a valid one is there), due_date, schedule (array of phase, start, end), advice. ``plans``:
+    plan_id, time_model, target_date, valid. ``phases``: plan_id, phase_id, phase_key, start, end. ``tasks``, optional ones included: plan_id, task_id, phase_id,
+    mandatory. A card that is refused already stays so. Cards of an unknown plan find nothing. Of phases of equal key or tasks of equal id the last id counts.
+    """
+    own = tasks.groupBy("plan_id", F.col("task_id").alias("target_task")).agg(F.max_by(F.struct("phase_id", "mandatory"), F.struct("phase_id", "mandatory")).alias("_task"))
+    by_key = phases.groupBy("plan_id", F.col("phase_key").alias("target_phase")).agg(F.max_by(F.struct("start", "end"), "phase_id").alias("_keyed"))
+    by_id = phases.groupBy("plan_id", F.col("phase_id").alias("_home")).agg(F.max(F.struct("start", "end")).alias("_own"))
+    known = phases.groupBy("plan_id").agg(F.collect_set("phase_key").alias("_keys"))  # a plan's phases
+    rows = cards.join(own, ["plan_id", "target_task"], "left").withColumn("_home", F.col("_task.phase_id"))
+    rows = rows.join(by_key, ["plan_id", "target_phase"], "left").join(by_id, ["plan_id", "_home"], "left").join(known, "plan_id", "left").join(plans, "plan_id", "left")
+    phase = F.when(F.coalesce("target_phase", F.lit("")) != "", F.col("_keyed")).otherwise(F.col("_own"))
+    within = lambda day, p: (day >= today) & (day >= p["start"]) & (day <= p["end"])
+    move = F.when(F.col("_task").isNull(), NO_TASK).when(F.col("new_date").isNull(), BAD_DATE).when(phase.isNull(), NO_PHASE).when(~within(F.col("new_date"), phase), BAD_DATE)
+    add = F.when(F.col("_keyed").isNull(), NO_PHASE).when(~F.coalesce("new_task", F.lit(False)), BAD_TASK).when(~F.coalesce(within(F.col("due_date"), F.col("_keyed")), F.lit(False)), BAD_DATE)
+    delete = F.when(F.col("_task").isNull(), NO_TASK).when(F.col("_task.mandatory"), MUST_STAY)
+
+    def wrong(item: Column) -> Column:
+        early = (F.col("time_model") == "submission_deadline") & (item["phase"] == "defense_prep") & (item["start"] <= F.col("target_date"))
+        off = (F.col("time_model") == "competition_window") & (item["phase"] == "event_sprint") & (item["start"] != F.col("target_date"))
+        missing = ~F.array_contains(F.coalesce("_keys", F.array().cast("array<string>")), item["phase"])
+        bad = (item["start"] < today) | (item["start"] > item["end"]) | F.coalesce(early, F.lit(False)) | F.coalesce(off, F.lit(False))
+        return F.when(missing, NO_PHASE).when(bad, BAD_SCHEDULE)
+
+    first = F.get(F.filter(F.transform("schedule", wrong), lambda x: x.isNotNull()), F.lit(0))
+    some = F.coalesce(F.size("schedule"), F.lit(0)) > 0
+    reschedule = F.when(~some, BAD_SCHEDULE).otherwise(F.coalesce(first, F.when(~F.coalesce("valid", F.lit(False)), BAD_SCHEDULE)))
+    advice = F.when(F.coalesce(F.trim("advice"), F.lit("")) == "", NO_ADVICE)
+    kind = F.col("type")
+    reason = (
+        F.when((kind != "append_advice") & (F.coalesce("n_sources", F.lit(0)) == 0), NO_SOURCE)
+        .when(kind == "move_task", move).when(kind == "add_task", add).when(kind == "delete_task", delete).when(kind == "reschedule_phase", reschedule).when(kind == "append_advice", advice).otherwise(NO_SOURCE)
+    )
+    before = F.col("status") == "rejected"
+    code = F.when(F.coalesce(before, F.lit(False)), F.col("code")).otherwise(reason)
+    return rows.select("card_id", F.when(F.coalesce(before, F.lit(False)) | reason.isNotNull(), "rejected").otherwise("passed").alias("status"), code.alias("code"))

@@ -54,8 +54,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: Sequence[str]
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key ``old`` lacks, one a key, behind those of ``old``."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(keys), keys, "left_anti").select(old.columns))
+    """Rows of ``new`` whose key ``old`` lacks, one a key (the least, the same at every run), behind those of ``old``."""
+    rest = [c for c in old.columns if c not in keys]
+    row = F.struct(*rest)
+    one = new.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("_row")).select(*keys, "_row.*") if rest else new.select(*keys).distinct()
+    return old.unionByName(one.join(old.select(keys), keys, "left_anti").select(old.columns))
 
 
 def within_budget(df: DataFrame, keys: list[str], order: Order, size: Column, budget: int, most: int) -> DataFrame:

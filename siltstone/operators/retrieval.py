@@ -145,3 +145,9 @@ def retrieval_metrics(candidates: DataFrame, judgments: DataFrame, query: str, d
     return got.join(pool, query, "left").join(ideal, query, "left").select(
         query, safe(F.col("gain"), F.col("ideal")).alias("ndcg_at_10"), safe(F.col("found").cast("double"), F.col("relevant_in_pool")).alias("recall_at_20"), (F.col("found_in_ten") == 0).alias("none_in_ten")
     )
+
+
+def macro(metrics: DataFrame) -> DataFrame:
+    """(queries, ndcg_at_10, recall_at_20, none_in_ten): means of :func:`retrieval_metrics` over queries, and the share without a relevant one in ten."""
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c)
+    return metrics.agg(F.count(F.lit(1)).alias("queries"), mean("ndcg_at_10"), mean("recall_at_20"), F.round(F.avg(F.col("none_in_ten").cast("int")), 6).alias("none_in_ten"))

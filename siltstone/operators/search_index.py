@@ -171,6 +171,16 @@ class SearchIndex:
         n, total = sum(r["n_docs"] for r in listed), sum(r["total"] for r in listed)
         return n, (total / n if n else 0.0), sum(r["n_postings"] for r in listed)
 
+    def damage(self) -> DataFrame:
+        """(segment, part): parts whose counts aren't those that were noted when the segment was written. Reads columns of counts only."""
+        rows = []
+        for r in self._listed():  # a row a segment
+            where = f"{self.path}/parts/{r['segment']}"
+            docs = self.spark.read.parquet(f"{where}/docs").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+            blocks = self.spark.read.parquet(f"{where}/blocks").agg(F.coalesce(F.sum("n"), F.lit(0))).first()
+            rows += [(r["segment"], "docs")] * (tuple(docs) != (r["n_docs"], r["total"])) + [(r["segment"], "blocks")] * (blocks[0] != r["n_postings"])
+        return self.spark.createDataFrame(rows, "segment string, part string")
+
     def _heads(self, asked: DataFrame) -> DataFrame:
         """segment, token, level, shard, piece, n, bound of the blocks of the tokens asked for; bound lacks the token's rarity."""
         n_docs, mean, _ = self.figures()
