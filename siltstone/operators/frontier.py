@@ -55,4 +55,4 @@ def unavailable(text: Column, most: int = 4000) -> Column:
     """Why a short page is no page: not found, removed, empty; else null."""
     short = F.length(text) <= most
     low = F.lower(text)
-    return F.when(F.trim(text) == "", "empty_page").when(short & low.rlike(r"\b404\b|not found|页面不存在"), "not_found").when(short & low.rlike("has been removed|已删除|no longer available"), "removed")
+    return F.when(~text.rlike(r"(?U)\S"), "empty_page").when(short & low.rlike(r"\b404\b|not found|页面不存在"), "not_found").when(short & low.rlike("has been removed|已删除|no longer available"), "removed")
