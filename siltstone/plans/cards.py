@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import urls
-from siltstone.operators import export, planning, recommend, relational, retrieval
+from siltstone.operators import catalogue, export, planning, recommend, relational, retrieval
 from siltstone.plans import texts
 from siltstone.plans.registry import Registry, table
 
@@ -142,3 +142,57 @@ def integrity_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
         customers.where(key % 3 > 0).select(key.alias("entity_id")), customers.where(key % 9 > 0).select(key.alias("point_id"), payload.alias("payload")), ["email", "phone"],
         spark.createDataFrame([("graph", "b1"), ("vectors", "b2")], "name string, version string"), fixed(("coverage", 1.0, 0.9)), rows.limit(0),
     )
+
+
+def _build(spark: SparkSession, sf_dir: str) -> catalogue.Build:
+    """The star schema as a catalogue: customers as professors, orders as observations, lines as mentions, priorities as statements."""
+    nations, customers, orders, lines = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders", "lineitem"))
+    text, none = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string")), F.lit(None).cast("string")
+    nation, key, order = F.col("c_nationkey"), F.col("c_custkey"), F.col("o_orderkey")
+    unit = F.concat(F.lit("g"), nation, F.lit("-"), F.col("c_mktsegment"))
+    grade = F.when(F.col("o_orderstatus") == "F", "direct").when(F.col("o_orderstatus") == "O", "legacy_merged").otherwise("other")
+    seen = orders.select(text("o", order).alias("id"), text("e", F.col("o_custkey")).alias("entity_id"), F.when(order % 7 > 0, text("d", order % 500)).alias("document_id"), grade.alias("grade"), (F.col("o_orderpriority") != "5-LOW").alias("active"))
+    first = orders.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("o_orderkey"))
+    statement = F.concat(F.lit("s"), "o_custkey", F.lit("-"), "o_orderpriority")
+    mentioned = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == order)
+    topic = text("t", F.col("p_size"))
+    return catalogue.Build("b", {
+        "universities": nations.select(text("u", F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), none.alias("city")),
+        "org_units": customers.select(unit.alias("id"), text("u", nation).alias("university_id"), F.col("c_mktsegment").alias("name"), F.lit("school").alias("kind"), none.alias("url")).distinct(),
+        "professors": customers.select(text("e", key).alias("id"), F.col("c_name").alias("name"), none.alias("title"), none.alias("title_family"), F.lit("included").alias("role_status"), F.array().cast("array<string>").alias("reasons"), none.alias("master"), none.alias("phd"), (F.col("c_acctbal") >= 0).alias("active")),
+        "profiles": customers.where("c_acctbal > 1000").select(text("e", key).alias("id"), F.sha2(F.col("c_name").cast("binary"), 256).alias("profile_hash")),
+        "observations": seen,
+        "affiliations": orders.join(customers, F.col("o_custkey") == key).select(text("e", key).alias("entity_id"), unit.alias("org_unit_id"), grade.alias("grade")),
+        "statements": first.select(statement.alias("id"), text("e", F.col("o_custkey")).alias("entity_id"), text("o", order).alias("observation_id"), F.col("o_orderpriority").alias("raw_text"), F.lit("en").alias("language"), F.sha2(F.col("o_orderpriority").cast("binary"), 256).alias("hash")),
+        "mentions": mentioned.select(F.concat(F.lit("m"), "o_custkey", F.lit("-"), "l_partkey").alias("id"), text("e", F.col("o_custkey")).alias("entity_id"), text("o", order).alias("observation_id"), F.lit("raw").alias("raw_text"), none.alias("doi"), F.year("l_shipdate").alias("year"), F.col("l_discount").cast("double").alias("confidence"), (F.col("l_returnflag") == "R").alias("needs_review")),
+        "documents": spark.range(500).select(text("d", F.col("id")).alias("id"), text("u", F.col("id") % 25).alias("university_id"), none.alias("url"), none.alias("content_hash"), none.alias("title"), none.alias("fetched_at")),
+        "topics": table(spark, sf_dir, "part").select(topic.alias("id"), topic.alias("canonical_name"), topic.alias("normalized_name"), F.lit("task").alias("kind"), F.when(F.col("p_size") % 10 > 0, "active").otherwise("retired").alias("status")).distinct(),
+        "topic_links": first.select(statement.alias("statement_id"), text("t", F.col("o_custkey") % 50 + 1).alias("topic_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "PRIMARY_TOPIC").when(F.col("o_orderpriority") == "2-HIGH", "USES_METHOD").otherwise("STUDIES").alias("relation"), F.when(F.col("o_orderkey") % 3 > 0, "approved").otherwise("pending").alias("review_status"), F.lit(0.9).alias("confidence"), F.lit("alias").alias("method"), F.lit("p").alias("provenance")),
+        "topic_relations": spark.range(1, 50).select(text("t", F.col("id") + 1).alias("child"), text("t", F.col("id")).alias("parent"), F.lit(1.0).alias("confidence"), F.lit("taxonomy").alias("method"), F.lit("r").alias("provenance")),
+    })
+
+
+@QUERIES.add(
+    """
+    WITH o AS (SELECT *, 'b:e' || o_custkey AS e, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.8 ELSE 0.5 END AS sure, 'd' || (o_orderkey % 500) AS d FROM orders), a AS (SELECT c_custkey FROM customer WHERE c_acctbal >= 0),
+    seen AS (SELECT * FROM o WHERE o_orderpriority <> '5-LOW' AND o_custkey IN (SELECT c_custkey FROM a)), doc AS (SELECT * FROM seen WHERE o_orderkey % 7 > 0),
+    f AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2), s AS (SELECT f.*, 's' || f.o_custkey || '-' || f.o_orderpriority AS s, sure FROM f JOIN o USING (o_orderkey)),
+    g AS (SELECT DISTINCT 'g' || c_nationkey || '-' || c_mktsegment AS g, c_nationkey AS n FROM customer), t AS (SELECT DISTINCT p_size FROM part WHERE p_size % 10 > 0), m AS (SELECT o_custkey, l_partkey, l_orderkey, sure, e, 'm' || o_custkey || '-' || l_partkey AS m FROM lineitem JOIN o ON o_orderkey = l_orderkey),
+    k AS (SELECT s, 't' || (o_custkey % 50 + 1) AS t, CASE o_orderpriority WHEN '1-URGENT' THEN 'PRIMARY_TOPIC' WHEN '2-HIGH' THEN 'USES_METHOD' ELSE 'STUDIES' END AS r FROM s WHERE o_orderkey % 3 > 0 AND (o_custkey % 50 + 1) IN (SELECT p_size FROM t)),
+    x(partition, row_key, n, sure) AS (SELECT 'node:Build', 'b', NULL, NULL UNION ALL SELECT 'node:University', 'u' || n_nationkey, NULL, NULL FROM nation UNION ALL SELECT 'node:OrgUnit', g, NULL, NULL FROM g UNION ALL SELECT 'node:Professor', 'e' || c_custkey, NULL, NULL FROM a
+      UNION ALL SELECT 'node:ResearchStatement', s, NULL, NULL FROM s UNION ALL SELECT 'node:Topic', 't' || p_size, NULL, NULL FROM t UNION ALL SELECT DISTINCT 'node:PublicationMention', m, NULL, NULL FROM m UNION ALL SELECT DISTINCT 'node:SourceDocument', d, NULL, NULL FROM doc
+      UNION ALL SELECT 'rel:PART_OF', 'b:' || g || '|b:u' || n, 1, 1.0 FROM g UNION ALL SELECT 'rel:AFFILIATED_WITH', e || '|b:g' || c_nationkey || '-' || c_mktsegment, count(*), min(sure) FROM o JOIN customer ON c_custkey = o_custkey GROUP BY ALL
+      UNION ALL SELECT 'rel:HAS_RESEARCH_STATEMENT', 'b:e' || o_custkey || '|b:' || s, 1, sure FROM s UNION ALL SELECT 'rel:' || r, 'b:' || s || '|b:' || t, 1, 0.9 FROM k
+      UNION ALL SELECT 'rel:SUBTOPIC_OF', 'b:t' || (i + 1) || '|b:t' || i, 1, 1.0 FROM range(1, 50) r(i) WHERE i IN (SELECT p_size FROM t) AND i + 1 IN (SELECT p_size FROM t)
+      UNION ALL SELECT 'rel:HAS_PUBLICATION_MENTION', e || '|b:' || m, count(DISTINCT l_orderkey), min(sure) FROM m GROUP BY ALL UNION ALL SELECT 'rel:OBSERVED_IN', e || '|b:' || d, count(*), min(sure) FROM doc GROUP BY ALL
+      UNION ALL SELECT 'rel:FROM_UNIVERSITY', 'b:' || d || '|b:u' || (o_orderkey % 500) % 25, count(DISTINCT o_orderkey), 1.0 FROM doc GROUP BY ALL)
+    SELECT partition, count(*) AS row_count, min(row_key) AS min_key, max(row_key) AS max_key, CAST(sum(n) AS BIGINT) AS evidence, round(CAST(sum(sure) AS DOUBLE), 4) AS confidence FROM x GROUP BY partition"""
+)
+def catalogue_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partitions of a build: rows, least and greatest key, and sums over the relations' payloads."""
+    rows = _build(spark, sf_dir).rows()
+    field = lambda name, kind: F.get_json_object("payload", f"$.{name}").cast(kind)
+    told = F.col("partition").startswith("rel:")
+    return rows.groupBy("partition").agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("row_key").alias("min_key"), F.max("row_key").alias("max_key"), F.sum(F.when(told, field("evidence_count", "long"))).alias("evidence"), F.round(F.sum(F.when(told, field("confidence", "double"))), 4).alias("confidence")
+    )
