@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.storage import cut
+from siltstone.storage import cut, forget
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", most: int = 64) -> DataFrame:
@@ -16,6 +16,8 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", most
         step = reach.select(F.col(child), F.col(parent).alias("_via")).join(reach.select(F.col(child).alias("_via"), parent), "_via").select(child, parent)
         after = cut(reach.union(step).distinct(), "closure")
         grown = after.count()
+        if rounds:
+            forget(reach)  # the first is the caller's
         if grown == size:
             return after
         reach, size, rounds = after, grown, rounds + 1
@@ -87,6 +89,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         root = labels.select(F.col("id").alias("now"), F.col("component_id").alias("root"))
         after = cut(step.join(root, "now").select("id", "was", F.least("now", "root").alias("component_id")), "labels")
         settled = after.where("component_id <> was").isEmpty()
+        forget(labels)
         labels = after.select("id", "component_id")
         if settled:
+            forget(both)
             return labels

@@ -43,6 +43,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a table made by :func:`cut` that nothing reads any more; any other table's stay."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    own = f"{shared_dir(spark).rstrip('/')}/siltstone/"
+    if files and own.split("://")[-1].split(":", 1)[-1] in files[0]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out to all cores if it is read from fewer files than there are cores; else as it is.
 

@@ -102,3 +102,23 @@ def test_empty(spark, tmp_path):
     t.replace(frame(spark, []))
     assert rows(t.read()) == [] and t.merge(frame(spark, []), ["part", "id"])[1] == {"inserted": 0, "updated": 0, "unchanged": 0}
     assert t.vacuum() == 0
+
+
+def test_rounds_of_a_closure_leave_one_table(spark, tmp_path):
+    from siltstone.operators import graph
+    from siltstone.storage import cut, forget, shared_dir
+
+    where = Path(shared_dir(spark).removeprefix("file:")) / "siltstone"
+    chain = spark.range(100).selectExpr("id AS child", "id + 1 AS parent")
+    chain.write.parquet(str(tmp_path / "own"))
+    before = set(where.iterdir()) if where.exists() else set()
+    assert graph.closure(spark.read.parquet(str(tmp_path / "own"))).count() == 5050
+    assert len(set(where.iterdir()) - before) == 1 and spark.read.parquet(str(tmp_path / "own")).count() == 100
+    before = set(where.iterdir())
+    labels = graph.connected_components(chain.toDF("src", "dst"))
+    assert {r.component_id for r in labels.collect()} == {0} and len(set(where.iterdir()) - before) == 1
+    forget(spark.read.parquet(str(tmp_path / "own")))
+    assert spark.read.parquet(str(tmp_path / "own")).count() == 100
+    one = cut(chain, "one")
+    forget(one)
+    assert not any(p.name.startswith("one-") for p in where.iterdir())
