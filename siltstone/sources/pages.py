@@ -61,8 +61,11 @@ def _snapshot(url: str | None, html: str | None) -> dict:
     parser.feed(html or "")
     parser.close()
     lines = (" ".join(line.split()) for line in "".join(parser.text).split("\n"))
-    links = [{"href": h, "anchor": a, "heading": n, "class": c} for h, a, n, c in dict((x[0], x) for x in reversed(parser.links)).values()]
-    return {"title": " ".join("".join(parser.title).split()), "text": "\n".join(x for x in lines if x), "links": links[::-1]}
+    first: dict[str, tuple] = {}
+    for link in parser.links:
+        first.setdefault(link[0], link)
+    links = [{"href": h, "anchor": a, "heading": n, "class": c} for h, a, n, c in first.values()]
+    return {"title": " ".join("".join(parser.title).split()), "text": "\n".join(x for x in lines if x), "links": links}
 
 
 def snapshots(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
