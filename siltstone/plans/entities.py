@@ -44,7 +44,14 @@ def identity_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.identity_claims(_observations(spark, sf_dir))
 
 
-@QUERIES.add()
+@QUERIES.add(
+    """
+    WITH c AS (SELECT c_custkey, c_mktsegment AS m, c_acctbal > 5000 AS said FROM customer)
+    SELECT c_custkey, CASE m WHEN 'BUILDING' THEN 'professor' WHEN 'AUTOMOBILE' THEN 'associate' WHEN 'MACHINERY' THEN 'lecturer' WHEN 'HOUSEHOLD' THEN 'technical' ELSE 'unknown' END AS title_family,
+      CASE WHEN m = 'FURNITURE' THEN 'excluded' WHEN said OR m IN ('BUILDING', 'AUTOMOBILE') THEN 'included' ELSE 'review' END AS role_status,
+      CASE WHEN m = 'FURNITURE' THEN 'explicit_non_teacher_context' WHEN said THEN 'supervisor_evidence' WHEN m IN ('BUILDING', 'AUTOMOBILE') THEN 'teaching_research_title' WHEN m = 'MACHINERY' THEN 'lecturer_without_supervisor_evidence' ELSE 'technical_title_without_exclusion_context' END AS reason,
+      'unknown' AS master, CASE WHEN said THEN 'confirmed' ELSE 'unknown' END AS phd FROM c"""
+)
 def role_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of customers, titled by their market segment."""
     titles = F.create_map(*[F.lit(x) for pair in {"BUILDING": "教授", "AUTOMOBILE": "副教授", "MACHINERY": "讲师", "HOUSEHOLD": "高级工程师", "FURNITURE": "辅导员"}.items() for x in pair])
@@ -154,7 +161,11 @@ def plan_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("plan_id", "ordinal", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), planning.due_date(F.col("start"), F.col("end"), sundays).cast("string").alias("due"))
 
 
-@QUERIES.add()
+@QUERIES.add(
+    """
+    WITH h AS (SELECT n_nationkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(lower(n_name))) AS h FROM nation)
+    SELECT n_nationkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || printf('%x', (CAST('0x' || substr(h, 17, 1) AS INTEGER) & 3) | 8) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS logical_id FROM h"""
+)
 def org_unit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name-based ids of nations as organisational units."""
     return table(spark, sf_dir, "nation").select("n_nationkey", uuid5("6ba7b8119dad11d180b400c04fd430c8", F.lower("n_name")).alias("logical_id"))
@@ -182,11 +193,11 @@ def complete_link_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.complete_link(scored, 0.7)
 
 
-@QUERIES.add()
+@QUERIES.add("SELECT doc_id, array_to_string(list_filter([lang, source], lambda x: x IS NOT NULL AND x <> '' AND lower(x) <> 'unknown'), '；') AS items FROM documents")
 def normalized_multivalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of a field that joins a document's attributes by the separators of lists."""
     joined = F.concat_ws("；", "lang", F.upper("lang"), "source", F.lit("unknown"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.nfkc(joined).alias("joined")).select("doc_id", text.multivalue(F.col("joined")).alias("items"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.nfkc(joined).alias("joined")).select("doc_id", F.array_join(text.multivalue(F.col("joined")), "；").alias("items"))
 
 
 @QUERIES.add("SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1 UNION ALL SELECT o_custkey, -1 FROM orders GROUP BY 1 HAVING count_if(o_orderkey % 2 = 0) = 0")
