@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import graph, quality, relational
+from siltstone.operators import graph, ordering, quality, relational
 from siltstone.plans.registry import Registry, table
 
 QUERIES = Registry()
@@ -366,9 +366,6 @@ def idempotent_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.add("""SELECT c_custkey, CAST(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 64) AS BIGINT) AS chunk FROM customer""")
 def fixed_size_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of 64 ids in order: ranks come from counts per key range, not from one sorted task."""
-    ids = table(spark, sf_dir, "customer").select("c_custkey").withColumn("range", F.floor(F.col("c_custkey") / 1000))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = ids.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", before.alias("start"))
-    rank = F.row_number().over(Window.partitionBy("range").orderBy("c_custkey")) - 1
-    return ids.withColumn("rn", rank).join(starts, "range").select("c_custkey", F.floor((F.col("start") + F.col("rn")) / 64).alias("chunk"))
+    """Chunks of 64 ids in order: ranks come from counts of key ranges, in levels, not from one sorted task."""
+    ids = table(spark, sf_dir, "customer").select("c_custkey")
+    return ordering.global_rank(ids, "c_custkey").select("c_custkey", F.floor(F.col("rank") / 64).alias("chunk"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import hashing, text, urls
-from siltstone.operators import quantiles, relational, retrieval
+from siltstone.operators import ordering, quantiles, relational, retrieval
 from siltstone.operators.search_index import SearchIndex
 from siltstone.plans.registry import Registry, table
 from siltstone.storage import cut, fresh_path
@@ -204,8 +204,8 @@ def json_props_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.add()
 def map_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query parameters that differ between each page and the one before it on its host."""
-    before = F.lag("url").over(Window.partitionBy(urls.registrable_domain(urls.host(F.col("url"))), urls.host(F.col("url"))).orderBy("page_id"))
-    pairs = table(spark, sf_dir, "pages").select("page_id", "url", before.alias("before")).where("before is not null")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url")).alias("host"))
+    pairs = ordering.before(pages, ["host"], "page_id", "url").where("before is not null")
     return pairs.select("page_id", F.array_sort(F.map_keys(urls.changed_facets(F.col("before"), F.col("url")))).alias("changed"))
 
 
