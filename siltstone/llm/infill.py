@@ -9,6 +9,7 @@ sliced, put together and restored by Spark's own functions.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 LINES = r"[^\n]*\n|[^\n]+"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
+SLICE = 1_000_000  # code points that the library sees at once
 _CUTS = pa.struct([("n", pa.int64()), ("first", pa.int64()), ("second", pa.int64())])
 
 
@@ -29,9 +31,24 @@ def splitter(pattern: str):
     return Split(Regex(pattern), behavior="isolated")
 
 
+def unit_ends(text: str, pattern: str = LINES) -> array:
+    """Code points before the end of each unit, and 0 before the first.
+
+    The library needs about fifty bytes a code point of a text, so lines are looked for in slices of SLICE; a unit that a slice cuts goes on in the next.
+    Another pattern sees the text as a whole.
+    """
+    ends, size = array("q", [0]), SLICE if pattern == LINES else max(1, len(text))
+    for at in range(0, len(text), size):
+        found = splitter(pattern).pre_tokenize_str(text[at : at + size])
+        if at and text[at - 1] != "\n":
+            ends.pop()
+        ends.extend(at + end for _, (_, end) in found)
+    return ends
+
+
 def cut_points(text: str, one: int, other: int, pattern: str = LINES) -> tuple[int, int, int]:
     """Units of ``text``, and the code points before the end of prefix and middle."""
-    ends = [0, *(end for _, (_, end) in splitter(pattern).pre_tokenize_str(text))] if text else [0]
+    ends = unit_ends(text, pattern)
     first, second = sorted((one % len(ends), other % len(ends)))
     return len(ends) - 1, ends[first], ends[second]
 

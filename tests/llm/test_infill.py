@@ -56,3 +56,14 @@ def test_marks_that_could_not_be_read_back_are_refused(spark):
     out = infill.fill_in_middle(spark.createDataFrame([(i, "a\nb<P>\nc") for i in range(30)], "doc_id long, text string"), marks=other)
     got = out.select("form", infill.restored(out.output, out.form, other).alias("t")).collect()
     assert {r.t for r in got} == {"a\nb<P>\nc"} and {r.form for r in got} == {"psm", "spm"}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7])
+def test_slices_cut_no_unit(monkeypatch, size):
+    monkeypatch.setattr(infill, "SLICE", size)
+    for text in [*filter(None, TEXTS), "\n" * 5 + "ab" + "\n" * 2 + "é😀c"]:
+        ends = [0]
+        for unit in re.findall(r"[^\n]*\n|[^\n]+", text):
+            ends.append(ends[-1] + len(unit))
+        assert infill.unit_ends(text).tolist() == ends
+    assert infill.unit_ends("").tolist() == [0]
