@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,19 +12,18 @@ from pyspark.sql import functions as F
 def allocate(phases: DataFrame, key: str = "plan_id") -> DataFrame:
     """(plan, ordinal, start, end): days between a plan's start_date and end_date shared out to its phases by weight.
 
-    A phase ends where the rounded running share of the weights says, at least one day after
-    the one before, as long as days are left.
+    Each phase has its rounded share, halves to the even, at least one day, and no more than leaves a day for each phase behind it; the last
+    takes what is left. A plan with fewer days than phases has no row.
     """
     w = Window.partitionBy(key).orderBy("ordinal")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("weight").over(Window.partitionBy(key))
-    days = F.datediff("end_date", "start_date") + 1
-    rows = phases.withColumn("_days", days).withColumn("_n", F.row_number().over(w)).withColumn("_raw", F.bround(F.sum("weight").over(upto) / total * days).cast("int"))
-    # at least one day each: the greatest of raw end minus place so far, plus the own place
-    rows = rows.withColumn("_end", F.least(F.max(F.col("_raw") - F.col("_n")).over(upto) + F.col("_n"), F.col("_days")))
-    rows = rows.withColumn("_end", F.greatest(F.col("_end"), F.least(F.col("_n"), F.col("_days"))))
-    rows = rows.withColumn("_from", F.coalesce(F.lag("_end").over(w), F.lit(0)))
-    return rows.where("_end > _from").select(key, "ordinal", F.date_add("start_date", F.col("_from")).alias("start"), F.date_add("start_date", F.col("_end") - 1).alias("end"))
+    whole = Window.partitionBy(key)
+    days, n, k = F.datediff("end_date", "start_date") + 1, F.row_number().over(w), F.count(F.lit(1)).over(whole)
+    rows = phases.withColumn("_days", days).withColumn("_n", n).withColumn("_k", k).withColumn("_own", F.greatest(F.lit(1), F.bround(F.col("_days") * F.col("weight") / F.sum("weight").over(whole)).cast("int")))
+    # shares are a day at least, so the bound of the phase itself is the only one that can count
+    upto = F.sum("_own").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_end", F.when(F.col("_n") == F.col("_k"), F.col("_days")).otherwise(F.least(upto, F.col("_days") - F.col("_k") + F.col("_n"))).cast("int"))
+    rows = rows.withColumn("_from", F.coalesce(F.lag("_end").over(w), F.lit(0))).where("_days >= _k")
+    return rows.select(key, "ordinal", F.date_add("start_date", F.col("_from")).alias("start"), F.date_add("start_date", F.col("_end") - 1).alias("end"))
 
 
 def due_date(start: Column, end: Column, blocked: Column) -> Column:
@@ -29,14 +31,51 @@ def due_date(start: Column, end: Column, blocked: Column) -> Column:
     return F.array_max(F.array_except(F.sequence(start, end), F.coalesce(blocked, F.array().cast("array<date>"))))
 
 
-def preparation_level(text: Column, advanced: list[str], intermediate: list[str], has_awards: Column, has_projects: Column) -> Column:
-    """beginner, intermediate or advanced: 2 for an advanced term, 1 for an intermediate one, 2 each for awards and projects; cut at 6 and 2."""
+#: Terms of answers that tell experience, and what a task's level asks for.
+ADVANCED = ("获奖", "复现", "论文", "项目", "多次", "熟练", "advanced")
+INTERMEDIATE = ("参加过", "基础", "课程", "一次", "intermediate")
+EXPERIENCE = {"beginner": 0, "intermediate": 1, "experienced": 2}
+
+
+def preparation_level(text: Column, has_awards: Column, has_projects: Column, advanced=ADVANCED, intermediate=INTERMEDIATE) -> Column:
+    """beginner, intermediate or experienced: 2 for an advanced term, 1 for an intermediate one, 2 each for awards and projects; cut at 6 and 2."""
     score = F.lit(0)
+    low = F.lower(F.coalesce(text, F.lit("")))
     for weight, terms in ((2, advanced), (1, intermediate)):
         for t in terms:
-            score = score + F.when(F.contains(F.lower(text), F.lit(t.lower())), weight).otherwise(0)
-    score = score + F.when(has_awards, 2).otherwise(0) + F.when(has_projects, 2).otherwise(0)
-    return F.when(score >= 6, "advanced").when(score >= 2, "intermediate").otherwise("beginner")
+            score = score + F.when(F.contains(low, F.lit(t.lower())), weight).otherwise(0)
+    for said in (has_awards, has_projects):
+        score = score + F.when(F.coalesce(said, F.lit(False)), 2).otherwise(0)
+    return F.when(score >= 6, "experienced").when(score >= 2, "intermediate").otherwise("beginner")
+
+
+def schedule_tasks(tasks: DataFrame, key: str = "plan_id") -> DataFrame:
+    """(plan, ordinal, outcome, due): which of a plan's ``tasks`` get a place, in order.
+
+    ``tasks``: the plan, ordinal, required, hours, level (of the person), least (level that the task asks for), start, end, blocked (array of dates), budget (hours for optional tasks). Tasks
+    above the person's level go; unknown levels are the lowest. A due date is the latest free day of the range. Without one, or without the hours, an optional task is
+    dropped, and a required one is impossible. An optional task that doesn't fit leaves its hours to later ones, so plans stream through tasks in order, each with one number of state.
+    """
+    rank = F.create_map(*(F.lit(x) for pair in EXPERIENCE.items() for x in pair))
+    place = lambda c: F.coalesce(F.try_element_at(rank, F.col(c)), F.lit(0))
+    rows = tasks.where(place("level") >= place("least")).select(key, "ordinal", F.coalesce("required", F.lit(False)).alias("required"), F.coalesce(F.col("hours").cast("double"), F.lit(0.0)).alias("hours"), F.greatest(F.lit(0.0), F.coalesce(F.col("budget").cast("double"), F.lit(0.0))).alias("budget"), due_date(F.col("start"), F.col("end"), F.col("blocked")).alias("due"))
+    rows = rows.withColumn("outcome", F.when(F.col("required"), F.when(F.col("due").isNull(), "impossible").otherwise("required")).when(F.col("due").isNull(), "dropped"))
+
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plan, used = None, 0.0
+        for part in parts:
+            out = []
+            for own, hours, budget, outcome in part[[key, "hours", "budget", "outcome"]].itertuples(index=False):
+                if own != plan:
+                    plan, used = own, 0.0
+                if outcome is None:
+                    outcome = "dropped" if used + hours > budget else "optional"
+                    used += hours if outcome == "optional" else 0.0
+                out.append(outcome)
+            yield part.assign(outcome=out)
+
+    placed = rows.repartition(key).sortWithinPartitions(key, "ordinal").mapInPandas(fit, rows.schema)
+    return placed.select(key, "ordinal", "outcome", F.when(F.col("outcome").isin("required", "optional"), F.col("due")).alias("due"))
 
 
 def rank_competitions(rows: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -150,7 +150,13 @@ def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", quality.retry_delay(F.col("user_id") % 6 + 1, 30.0, 600.0).alias("delay"))
 
 
-@QUERIES.add()
+@QUERIES.add(
+    """
+    WITH l AS (SELECT l_orderkey AS plan_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS ordinal, l_quantity AS weight, CAST(o_orderdate AS DATE) AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    w AS (SELECT *, count(*) OVER p AS k, greatest(1, CAST(round_even(60 * weight / sum(weight) OVER p, 0) AS INTEGER)) AS own FROM l WINDOW p AS (PARTITION BY plan_id)),
+    e AS (SELECT *, CAST(CASE WHEN ordinal = k THEN 60 ELSE least(sum(own) OVER (PARTITION BY plan_id ORDER BY ordinal), 60 - k + ordinal) END AS INTEGER) AS e FROM w), b AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY plan_id ORDER BY ordinal), 0) AS b FROM e)
+    SELECT plan_id, ordinal, CAST(d + b AS VARCHAR) AS "start", CAST(d + (e - 1) AS VARCHAR) AS "end", CASE WHEN dayofweek(d + (e - 1)) > 0 THEN CAST(d + (e - 1) AS VARCHAR) WHEN e - 2 >= b THEN CAST(d + (e - 2) AS VARCHAR) END AS due FROM b"""
+)
 def plan_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as phases of a plan of sixty days, weighted by quantity, with the last free day of each."""
     lines = table(spark, sf_dir, "lineitem").withColumn("ordinal", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")))

@@ -125,7 +125,7 @@ def test_plans(spark):
     days = F.when(F.col("plan_id") == 1, 10).otherwise(2)
     df = df.withColumn("start_date", F.lit("2024-01-01").cast("date")).withColumn("end_date", F.date_add("start_date", days - 1))
     out = [(r.plan_id, r.ordinal, r.start.day, r.end.day) for r in sorted(planning.allocate(df).collect())]
-    assert out == [(1, 0, 1, 1), (1, 1, 2, 2), (1, 2, 3, 10), (2, 0, 1, 1), (2, 1, 2, 2)]
+    assert out == [(1, 0, 1, 1), (1, 1, 2, 2), (1, 2, 3, 10)]  # the second plan has fewer days than phases
 
 
 def test_markdown(spark):

@@ -42,15 +42,14 @@ def plan_allocation(rows, sf):
         plans[order].append((weight, start))
     want = set()
     for order, phases in plans.items():
-        total, run, before, days = sum(w for w, _ in phases), 0, 0, 60
+        total, at, left = sum(w for w, _ in phases), 0, 60
         for i, (w, start) in enumerate(phases, 1):
-            run += w
-            end = min(days, max(before + 1, round(run / total * days)))
-            if end > before:
-                first, last = start + timedelta(before), start + timedelta(end - 1)
-                free = [last - timedelta(n) for n in range((last - first).days + 1) if (last - timedelta(n)).isoweekday() != 7]
-                want.add((order, i, str(first), str(last), str(free[0]) if free else None))
-            before = max(before, end)
+            behind = len(phases) - i
+            days = left if not behind else min(max(1, round(60 * w / total)), left - behind)
+            first, last = start + timedelta(at), start + timedelta(at + days - 1)
+            free = [last - timedelta(n) for n in range(days) if (last - timedelta(n)).isoweekday() != 7]
+            want.add((order, i, str(first), str(last), str(free[0]) if free else None))
+            at, left = at + days, left - days
     assert {(r.plan_id, r.ordinal, r.start, r.end, r.due) for r in rows} == want
 
 
