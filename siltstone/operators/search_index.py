@@ -5,7 +5,8 @@ in blocks. A block is the postings of one token that weigh about as much, with t
 weight among them in its head, so a search knows from heads alone how much a block can add
 to a score. A search opens blocks of a query until what the closed ones could add together
 stays below the score of its k-th document: no document without a posting in an opened block can then
-be among the first k. Those that can are scored exactly from their own counted tokens.
+be among the first k. Those that can are scored exactly from their own counted tokens, or, where
+that would read more, from the rest of the query's postings.
 
 Weights depend on the mean length, which later segments change. A weight
 grows by no more than the mean did, so heads stay bounds when multiplied by that; ``merge``
@@ -33,7 +34,7 @@ LEVELS = 40  # steps of weight between 0 and K1 + 1 in which postings of a token
 BLOCK = 4_096  # postings of a frequent token in a block at most, about; most levels hold fewer
 FREQUENT = 50_000  # tokens with a share of over 1 / FREQUENT of all postings: there can't be more, so they are broadcast
 SHARD = 10_000_000  # documents among which a token's postings of a level may share a block
-PROBE = 32  # postings that the first round opens for each of the k documents wanted
+PROBE = 8  # postings that the first round opens for each of the k documents wanted
 _SLACK = 2e-6  # scores are rounded to six digits before they are ranked
 _RUNS = re.compile(f"[A-Za-z0-9_]+|[{CJK}]+")
 _HAN = re.compile(f"[{CJK}]")
@@ -240,11 +241,19 @@ class SearchIndex:
         sums = found.groupBy(query, F.col("doc").alias(key)).agg(F.sum(F.col("idf") * weight(F.col("tf"), F.col("length"), mean) - F.coalesce("closed", F.lit(0.0))).alias("sum"))
         able = sums.join(rest, query, "left").join(least, query, "left").where(F.col("sum") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("least", F.lit(0.0)))
         able = cut(able.select(query, key), "able")
-        best = top_per_key(exact(able).where("score > 0"), [query], [F.desc("score"), F.col(key)], k)
-
-        entries = able.join(self._read("docs").select(key, F.size("tokens").alias("n")), key).groupBy(query).agg(F.sum("n").alias("scored"))
+        # a query of which too many documents are left reads its other postings instead of their tokens, whichever are fewer
+        mean_tokens = self.figures()[2] / n_docs
         per = opened.groupBy(query).agg(F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("opened"), F.sum("n").alias("postings"))
-        report = per.join(entries, query, "left").select(query, "opened", F.coalesce("scored", F.lit(0)).cast("long").alias("scored"), "postings")
+        per = per.join(able.groupBy(query).agg(F.count(F.lit(1)).alias("able")), query, "left").withColumn("able", F.coalesce("able", F.lit(0)))
+        per = cut(per.withColumn("whole", F.col("able") * mean_tokens > F.col("postings") - F.col("opened")), "per")
+        few, many = (per.where(when).select(query) for when in ("NOT whole", "whole"))
+        part = F.col("idf") * weight(F.col("tf"), F.col("length"), mean)
+        all_of = self._opened(steps.join(many, query, "left_semi"), query).join(asked.select(query, "token", "idf"), [query, "token"])
+        scored = all_of.groupBy(query, F.col("doc").alias(key)).agg(F.round(F.sum(part), 6).alias("score")).unionByName(exact(able.join(few, query, "left_semi")))
+        best = top_per_key(scored.where("score > 0"), [query], [F.desc("score"), F.col(key)], k)
+
+        entries = able.join(few, query, "left_semi").join(self._read("docs").select(key, F.size("tokens").alias("n")), key).groupBy(query).agg(F.sum("n").alias("scored"))
+        report = per.join(entries, query, "left").select(query, F.when(F.col("whole"), F.col("postings")).otherwise(F.col("opened")).alias("opened"), F.coalesce("scored", F.lit(0)).cast("long").alias("scored"), "postings")
         return best, report
 
     def _exact(self, asked: DataFrame, query: str, mean: float):
