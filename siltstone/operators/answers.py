@@ -296,7 +296,8 @@ def semantic_profile(rows: DataFrame, template: str = "baseline-v1", most: int =
     def within(text: Column, budget: int) -> Column:
         if tokenizer:
             return F.trim(within_tokens(normal_lines(F.coalesce(text, F.lit(""))), budget, tokenizer))
-        return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?Us)^\s*((?:\S+\s*){{0,{budget}}})", 1))
+        # possessive groups are matched in a loop; greedy ones take a stack frame a token, which some thousand tokens exhaust
+        return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?Us)^\s*+((?:\S++\s*+){{0,{budget}}}+)", 1))
 
     lines = [F.when((text := within(texts[c], budgets[c])) != "", F.concat(F.lit(f"{label}："), text)) for label, c, _ in PROFILE_LINES]
     profile = normal_lines(within(F.concat_ws("\n", *lines), most))
