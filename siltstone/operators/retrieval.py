@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.hashing import sparse_index
 from siltstone.functions.vectors import dcg, finite
 from siltstone.operators.relational import top_per_key
-from siltstone.operators.search_index import counted, exploded, rarity, weight
+from siltstone.operators.search_index import best_by_blocks, counted, exploded, rarity, saturated
 from siltstone.storage import cut
 
 
@@ -19,26 +19,17 @@ def counts_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return cut(counted(docs, doc, text), "counted")
 
 
-def postings(counts: DataFrame, doc: str) -> DataFrame:
-    """(doc, token, tf, length): a row a document and token of :func:`counts_of` documents."""
-    return exploded(counts, doc).select(doc, "token", "tf", "length")
-
-
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, text: str = "text", k: int = 10, counts: DataFrame | None = None) -> DataFrame:
     """Best ``k`` documents of every query by BM25: (query, doc, score, rank); ties to the smaller doc.
 
-    Texts are read once, unless ``counts`` of them are there already. Postings of tokens that no query has go before anything
-    is joined; a token's rarity is the queries' side's. Corpus figures are two numbers.
+    Texts are read once, unless ``counts`` of them are there already. Corpus figures are two numbers.
     """
     counts = counts_of(docs, doc, text) if counts is None else counts
-    asked = exploded(counted(queries, query, text), query).select(query, "token").distinct()
-    used = cut(postings(counts, doc).join(asked.select("token").distinct(), "token", "left_semi"), "postings")
+    asked = cut(exploded(counted(queries, query, text), query).select(query, "token").distinct(), "asked")
     n_docs, total = counts.agg(F.count(F.lit(1)), F.sum("length")).first()
-    df = used.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    asked = asked.join(df, "token").select(query, "token", rarity(n_docs, F.col("df")).alias("idf"))
-    part = F.col("idf") * weight(F.col("tf"), F.col("length"), (total or 0) / max(n_docs, 1))
-    scores = used.join(asked, "token").groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return top_per_key(scores, [query], [F.desc("score"), F.col(doc)], k)
+    df = counts.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(asked.select("token"), "token", "left_semi")
+    asked = cut(asked.join(df, "token").select(query, "token", rarity(n_docs, F.col("df")).alias("worth")), "asked")
+    return best_by_blocks(counts.select(doc, "length", "tokens", "tfs"), asked, doc, query, k, saturated((total or 0) / max(n_docs, 1)))
 
 
 def sparse_vectors(docs: DataFrame, doc: str, text: str, version: str, counts: DataFrame | None = None) -> DataFrame:
@@ -50,15 +41,12 @@ def sparse_vectors(docs: DataFrame, doc: str, text: str, version: str, counts: D
 def sparse_search(counts: DataFrame, asked: DataFrame, doc: str, query: str, version: str, k: int) -> DataFrame:
     """Best ``k`` documents of every query by inner product of sparse vectors, of ``counts`` and of ``asked`` (query, index, value).
 
-    Tokens are hashed once each, not once a document, and those at no index of a query go before the join.
+    Tokens are hashed once each, not once a document. Values are above 0.
     """
-    rows = exploded(counts, doc, runs=True)
-    words = rows.select("token").distinct().withColumn("index", sparse_index(version, F.col("token")))
-    met = cut(words.join(asked.select(query, "index", F.col("value").alias("weight")), "index"), "met")
-    used = rows.join(met.select("token").distinct(), "token", "left_semi")
-    value = F.col("tf") * 2.2 / (F.col("tf") + 1.2)
-    scores = used.join(met, "token").groupBy(query, doc).agg(F.round(F.sum(value * F.col("weight")), 6).alias("score"))
-    return top_per_key(scores, [query], [F.desc("score"), F.col(doc)], k)
+    words = exploded(counts, doc, runs=True).select("token").distinct().withColumn("index", sparse_index(version, F.col("token")))
+    met = words.join(asked.select(query, "index", F.col("value").alias("worth")), "index").groupBy(query, "token").agg(F.sum("worth").alias("worth"))
+    rows = counts.select(doc, "length", F.coalesce("runs", "tokens").alias("tokens"), F.coalesce("run_tfs", "tfs").alias("tfs"))
+    return best_by_blocks(rows, cut(met, "met"), doc, query, k, lambda tf, _: tf * 2.2 / (tf + 1.2))
 
 
 BLOCK = 8_192  # vectors that a block of dense search holds, as a mean

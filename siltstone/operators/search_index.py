@@ -18,11 +18,15 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from siltstone.functions.text import CJK, fold_text
 from siltstone.operators.relational import top_per_key
@@ -35,6 +39,9 @@ BLOCK = 4_096  # postings of a frequent token in a block at most, about; most le
 FREQUENT = 50_000  # tokens with a share of over 1 / FREQUENT of all postings: there can't be more, so they are broadcast
 SHARD = 10_000_000  # documents among which a token's postings of a level may share a block
 PROBE = 8  # postings that the first round opens for each of the k documents wanted
+POSTINGS = 2**18  # counted tokens that a block of a whole scan holds, as a mean
+PART = 1_024  # queries that meet a block at once, as a mean
+CELLS = 2**20  # scores, and pairs of a posting and a query, that a block holds at once
 _SLACK = 2e-6  # scores are rounded to six digits before they are ranked
 _RUNS = re.compile(f"[A-Za-z0-9_]+|[{CJK}]+")
 _HAN = re.compile(f"[{CJK}]")
@@ -95,10 +102,71 @@ def weight(tf: Column, length: Column, mean: float) -> Column:
     return (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * length / F.lit(mean if mean > 0 else 1.0)))
 
 
+def saturated(mean: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """:func:`weight` of arrays of counts and lengths."""
+    return lambda tf, length: (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * length / (mean if mean > 0 else 1.0)))
+
+
 def rarity(n_docs: int, df: Column) -> Column:
     return F.log1p((F.lit(n_docs) - df + 0.5) / (df + 0.5))
 
 
+def _best_of_block(k: int, doc: str, query: str, worth: Callable[[np.ndarray, np.ndarray], np.ndarray], schema: pa.Schema):
+    """The best ``k`` documents of a block for each query of a part, from the documents' counted tokens."""
+
+    def run(stored: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(stored) or not len(asked):
+            return schema.empty_table()
+        words = asked["token"].unique()
+        of = pc.index_in(asked["token"], words).to_numpy()
+        coded = asked[query].combine_chunks().dictionary_encode("encode")
+        order = np.argsort(of, kind="stable")
+        asks, share, n_asks = coded.indices.to_numpy()[order], asked["worth"].to_numpy()[order], len(coded.dictionary)
+        start = np.searchsorted(of[order], np.arange(len(words) + 1))
+        stored = stored.take(pc.array_sort_indices(stored[doc], null_placement="at_start"))
+        keys = stored[doc].combine_chunks().dictionary_encode("encode")  # in order, so a row's number breaks ties
+        sizes = pc.list_value_length(stored["tokens"]).to_numpy()
+        found = pc.fill_null(pc.index_in(pc.list_flatten(stored["tokens"]), words), -1).to_numpy()
+        met = found >= 0
+        own = np.repeat(np.arange(len(stored)), sizes)[met]
+        row, found, tf = keys.indices.to_numpy()[own], found[met], pc.list_flatten(stored["tfs"]).to_numpy()[met]
+        value, n = worth(tf.astype(np.float64), stored["length"].to_numpy()[own]), start[found + 1] - start[found]
+        pairs = np.concatenate([[0], np.cumsum(np.bincount(row, n, len(keys.dictionary)))])
+        best, rows, low = np.zeros((0, n_asks)), np.zeros((0, n_asks), np.int64), 0
+        while low < len(keys.dictionary):  # few rows at a time: their scores are a dense table
+            high = max(low + 1, min(low + max(1, CELLS // n_asks), int(np.searchsorted(pairs, pairs[low] + CELLS, "right")) - 1))
+            at = slice(*np.searchsorted(row, [low, high]))
+            m = n[at]
+            place = np.repeat(start[found[at]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            score = np.bincount(np.repeat(row[at] - low, m) * n_asks + asks[place], np.repeat(value[at], m) * share[place], (high - low) * n_asks)
+            best = np.vstack([best, np.floor(score.reshape(-1, n_asks) * 1e6 + 0.5) / 1e6])
+            rows = np.vstack([rows, np.broadcast_to(np.arange(low, high)[:, None], (high - low, n_asks))])
+            first = np.argsort(-best, axis=0, kind="stable")[:k]
+            best, rows, low = np.take_along_axis(best, first, 0), np.take_along_axis(rows, first, 0), high
+        a, b = np.nonzero(best > 0)
+        return pa.Table.from_arrays([coded.dictionary.take(pa.array(b)), keys.dictionary.take(pa.array(rows[a, b])), pa.array(best[a, b])], schema=schema)
+
+    return run
+
+
+def best_by_blocks(counts: DataFrame, asked: DataFrame, doc: str, query: str, k: int, worth: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Best ``k`` of ``counts`` (doc, length, tokens, tfs) for every query of ``asked`` (query, token, worth, read from files): (query, doc, score, rank).
+
+    A posting adds ``worth`` of its count and its document's length, times that of the token asked for; scores of 0 are none.
+    Blocks of documents meet parts of the queries, and only a block's best leave it, so no row a query and document is made. Counts are moved
+    once a part, queries once a block.
+    """
+    size, n_asks = counts.agg(F.sum(F.size("tokens"))).first()[0] or 0, asked.select(query).distinct().count()
+    blocks, parts = -(-size // POSTINGS) or 1, -(-n_asks // PART) or 1
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = counts.select(hashed(doc, blocks).alias("block"), every(parts).alias("part"), doc, "length", "tokens", "tfs")
+    right = asked.select(every(blocks).alias("block"), hashed(query, parts).alias("part"), query, "token", "worth")
+    kind = StructType([asked.schema[query], counts.schema[doc], StructField("score", DoubleType())])
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_best_of_block(k, doc, query, worth, to_arrow_schema(kind)), kind)
+    return top_per_key(found, [query], [F.desc("score"), F.col(doc)], k)
+
+
 class SearchIndex:
     """The index in the folder ``path`` over documents told apart by the column ``key`` (an integer or a string)."""
 

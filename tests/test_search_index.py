@@ -67,3 +67,28 @@ def test_tokens_are_those_of_the_column_form(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", bm25_tokens(folded(F.col("t"))).alias("a"), sparse_tokens(folded(F.col("t"))).alias("b"))
     for r in df.collect():
         assert search_index.tokens_of(r.t) == r.a and search_index.tokens_of(r.t, pairs=False) == r.b
+
+
+def test_scan_by_blocks_makes_no_row_a_query_and_document(spark, monkeypatch):
+    """Tiny blocks, parts and tables of scores; ties to the smaller document; a key of two rows counts as one document."""
+    import math
+    from collections import Counter
+
+    docs = spark.createDataFrame([*corpus(300), (5, "w3 w3 w250"), *((1000 + i, "w3 w250 tie") for i in range(30))], "doc_id long, text string")
+    queries = spark.createDataFrame(QUERIES, "q long, text string")
+    n, own = docs.count(), [(r.doc_id, Counter(search_index.tokens_of(r.text or ""))) for r in docs.collect()]
+    mean, df = sum(c.total() for _, c in own) / n, Counter(t for _, c in own for t in c)
+    want = []
+    for q, text in QUERIES:
+        score = Counter()
+        for d, c in own:
+            for t in set(search_index.tokens_of(text or "")) & c.keys():
+                score[d] += math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * c.total() / mean))
+        want += [(q, d, round(s, 6), i) for i, (d, s) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:10], 1)]
+    for size in (2**20, 8):
+        for name in ("POSTINGS", "CELLS", "PART"):
+            monkeypatch.setattr(search_index, name, size)
+        found = retrieval.bm25(docs, queries, "doc_id", "q")
+        assert rows(found) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Aggregate [q" not in plan
