@@ -5,8 +5,8 @@ in blocks. A block is the postings of one token that weigh about as much, with t
 weight among them in its head, so a search knows from heads alone how much a block can add
 to a score. A search opens blocks of a query until what the closed ones could add together
 stays below the score of its k-th document: no document without a posting in an opened block can then
-be among the first k. Those that can are scored exactly from their own counted tokens, or, where
-that would read more, from the rest of the query's postings.
+be among the first k. Those that can are scored exactly from their own counted tokens. Queries whose bounds rule
+too few documents out scan all counted tokens together, in blocks.
 
 Weights depend on the mean length, which later segments change. A weight
 grows by no more than the mean did, so heads stay bounds when multiplied by that; ``merge``
@@ -42,6 +42,7 @@ PROBE = 8  # postings that the first round opens for each of the k documents wan
 POSTINGS = 2**18  # counted tokens that a block of a whole scan holds, as a mean
 PART = 1_024  # queries that meet a block at once, as a mean
 CELLS = 2**20  # scores, and pairs of a posting and a query, that a block holds at once
+SCAN = 4  # a search that would open more postings than a quarter of the documents scans them instead
 _SLACK = 2e-6  # scores are rounded to six digits before they are ranked
 _RUNS = re.compile(f"[A-Za-z0-9_]+|[{CJK}]+")
 _HAN = re.compile(f"[{CJK}]")
@@ -211,11 +212,13 @@ class SearchIndex:
         frequent = counts.where(F.col("df") > max(BLOCK, n_postings // FREQUENT)).select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("pieces"))
         part = weight(F.col("tf"), F.col("length"), mean)
         level = F.ceil(part * (LEVELS / (K1 + 1.0))).cast("int")
-        placed = postings.withColumn("part", part).withColumn("level", level).join(F.broadcast(frequent), "token", "left")
+        placed = postings.withColumn("level", level).join(F.broadcast(frequent), "token", "left")
         piece = F.pmod(F.xxhash64(self.key, F.lit(3)), F.coalesce("pieces", F.lit(1))).cast("int")
         shard = F.pmod(F.xxhash64(self.key, F.lit(5)), F.lit(-(-n_docs // SHARD))).cast("int")
         rows_of = F.collect_list(F.struct(F.col(self.key).alias("doc"), "tf", "length"))
-        blocks = placed.groupBy("token", "level", shard.alias("shard"), piece.alias("piece")).agg(F.max("part").alias("top"), F.count(F.lit(1)).alias("n"), rows_of.alias("postings"))
+        blocks = placed.groupBy("token", "level", shard.alias("shard"), piece.alias("piece")).agg(rows_of.alias("postings"))
+        top = F.array_max(F.transform("postings", lambda p: weight(p["tf"], p["length"], mean)))  # of the whole block: postings are moved without their weights
+        blocks = blocks.select("token", "level", "shard", "piece", top.alias("top"), F.size("postings").cast("long").alias("n"), "postings")
         blocks.sortWithinPartitions("token", F.desc("level")).write.parquet(f"{self.path}/parts/{name}/blocks")
         entry = self.spark.createDataFrame([(name, n_docs, total, n_postings)], "segment string, n_docs long, total long, n_postings long")
         if replace:
@@ -252,16 +255,28 @@ class SearchIndex:
 
     def _heads(self, asked: DataFrame) -> DataFrame:
         """segment, token, level, shard, piece, n, bound of the blocks of the tokens asked for; bound lacks the token's rarity."""
-        n_docs, mean, _ = self.figures()
-        wanted, out = asked.select("token").distinct(), None
+        _, mean, _ = self.figures()
+        own, wanted = F.col("total") / F.col("n_docs"), asked.select("token").distinct()
+        grown = F.when(own > 0, F.greatest(F.lit(1.0), F.lit(mean) / own)).otherwise(1.0)
+        heads = self._blocks().drop("postings").join(F.broadcast(self.segments.read().select("segment", grown.alias("grown"))), "segment")  # a row a segment
+        return heads.withColumn("bound", F.col("top") * F.col("grown")).drop("top", "grown").join(wanted, "token", "left_semi")
+
+    def _blocks(self) -> DataFrame:
+        out = None
         for r in self._listed():
-            own = r["total"] / r["n_docs"]
-            grown = max(1.0, mean / own) if own > 0 else 1.0
-            heads = self.spark.read.parquet(f"{self.path}/parts/{r['segment']}/blocks").drop("postings").select(F.lit(r["segment"]).alias("segment"), "*").withColumn("bound", F.col("top") * grown)
-            heads = heads.drop("top").join(wanted, "token", "left_semi")
-            out = heads if out is None else out.unionByName(heads)
+            part = self.spark.read.parquet(f"{self.path}/parts/{r['segment']}/blocks").select(F.lit(r["segment"]).alias("segment"), "*")
+            out = part if out is None else out.unionByName(part)
         return out
 
+    def _probed(self, steps: DataFrame, heads: DataFrame, query: str, most: int) -> DataFrame:
+        """(query, doc) of about ``most`` postings of each level in ``steps`` (query, token, level): a level may hold a share of all documents."""
+        levels = steps.select("token", "level").distinct()
+        order = Window.partitionBy("token", "level").orderBy("segment", "shard", "piece").rowsBetween(Window.unboundedPreceding, -1)
+        few = heads.join(levels, ["token", "level"], "left_semi").withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < most)
+        some = self._blocks().join(cut(few.select("segment", "token", "level", "shard", "piece"), "probed"), ["segment", "token", "level", "shard", "piece"], "left_semi")
+        docs = some.select("token", "level", F.explode(F.transform(F.slice("postings", 1, most), lambda p: p["doc"])).alias(self.key))
+        return docs.join(steps.select(query, "token", "level"), ["token", "level"]).select(query, self.key).distinct()
+
     def _opened(self, steps: DataFrame, asked_key: str) -> DataFrame:
         """(query, doc, token, tf, length) of the postings in the levels that ``steps`` (query, token, level) opens."""
         blocks = self._read("blocks").select("token", "level", "postings")
@@ -296,12 +311,16 @@ class SearchIndex:
         steps = cut(steps.withColumn("left", F.sum("gain").over(Window.partitionBy(query)) - F.coalesce(F.sum("gain").over(before), F.lit(0.0))), "steps")
 
         exact = self._exact(asked, query, mean)
-        first = self._opened(steps.where(F.col("spent") < PROBE * k), query).select(query, F.col("doc").alias(key)).distinct()
+        first = cut(self._probed(steps.where(F.col("spent") < PROBE * k), heads, query, PROBE * k), "first")
         kth = top_per_key(exact(first), [query], [F.desc("score"), F.col(key)], k).groupBy(query).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
         least = cut(kth.select(query, F.when(F.col("n") >= k, F.col("least") - _SLACK).otherwise(0.0).alias("least")), "least")
 
         opened = steps.join(least, query, "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
         opened = cut(opened.withColumn("open", (F.col("left") >= F.col("least")) | (F.col("least") <= 0)), "opened")
+        # a query that would open a posting of many documents scans all of them, with the others like it
+        per = opened.groupBy(query).agg(F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("opened"), F.sum("n").alias("postings"))
+        per = cut(per.withColumn("wide", F.col("opened") > n_docs // SCAN), "per")
+        opened = opened.join(per.where("NOT wide"), query, "left_semi")
         # what closed levels could add: per token the greatest closed one, and of all tokens of the query
         closed = opened.where("NOT open").groupBy(query, "token").agg(F.max("bound").alias("closed"))
         rest = closed.groupBy(query).agg(F.sum("closed").alias("rest"))
@@ -309,16 +328,15 @@ class SearchIndex:
         sums = found.groupBy(query, F.col("doc").alias(key)).agg(F.sum(F.col("idf") * weight(F.col("tf"), F.col("length"), mean) - F.coalesce("closed", F.lit(0.0))).alias("sum"))
         able = sums.join(rest, query, "left").join(least, query, "left").where(F.col("sum") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("least", F.lit(0.0)))
         able = cut(able.select(query, key), "able")
-        # a query of which too many documents are left reads its other postings instead of their tokens, whichever are fewer
+        # so does a query of which too many documents are left to read their tokens
         mean_tokens = self.figures()[2] / n_docs
-        per = opened.groupBy(query).agg(F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("opened"), F.sum("n").alias("postings"))
         per = per.join(able.groupBy(query).agg(F.count(F.lit(1)).alias("able")), query, "left").withColumn("able", F.coalesce("able", F.lit(0)))
-        per = cut(per.withColumn("whole", F.col("able") * mean_tokens > F.col("postings") - F.col("opened")), "per")
+        per = cut(per.withColumn("whole", F.col("wide") | (F.col("able") * mean_tokens > F.col("postings") - F.col("opened"))), "per")
         few, many = (per.where(when).select(query) for when in ("NOT whole", "whole"))
-        part = F.col("idf") * weight(F.col("tf"), F.col("length"), mean)
-        all_of = self._opened(steps.join(many, query, "left_semi"), query).join(asked.select(query, "token", "idf"), [query, "token"])
-        scored = all_of.groupBy(query, F.col("doc").alias(key)).agg(F.round(F.sum(part), 6).alias("score")).unionByName(exact(able.join(few, query, "left_semi")))
-        best = top_per_key(scored.where("score > 0"), [query], [F.desc("score"), F.col(key)], k)
+        best = top_per_key(exact(able.join(few, query, "left_semi")).where("score > 0"), [query], [F.desc("score"), F.col(key)], k)
+        whole = cut(asked.join(many, query, "left_semi").select(query, "token", F.col("idf").alias("worth")), "whole")
+        if not whole.isEmpty():
+            best = best.unionByName(best_by_blocks(self._read("docs"), whole, key, query, k, saturated(mean)))
 
         entries = able.join(few, query, "left_semi").join(self._read("docs").select(key, F.size("tokens").alias("n")), key).groupBy(query).agg(F.sum("n").alias("scored"))
         report = per.join(entries, query, "left").select(query, F.when(F.col("whole"), F.col("postings")).otherwise(F.col("opened")).alias("opened"), F.coalesce("scored", F.lit(0)).cast("long").alias("scored"), "postings")

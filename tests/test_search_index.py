@@ -92,3 +92,19 @@ def test_scan_by_blocks_makes_no_row_a_query_and_document(spark, monkeypatch):
         assert rows(found) == sorted(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Aggregate [q" not in plan
+
+
+def test_wide_queries_scan_and_open_nothing(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(corpus(200), "doc_id long, text string")
+    queries = spark.createDataFrame(QUERIES, "q long, text string")
+    index = SearchIndex(spark, str(tmp_path / "i"))
+    index.add(docs)
+    asked = []
+    whole = SearchIndex._opened
+    monkeypatch.setattr(SearchIndex, "_opened", lambda self, steps, key: whole(self, asked.append(steps) or steps, key))
+    best, report = index.search(queries, "q")
+    assert rows(best) == rows(retrieval.bm25(docs, queries, "doc_id", "q"))
+    told = {r.q: r for r in report.collect()}
+    assert told[7].opened == told[7].postings
+    opened = {r.q: r.n for df in asked for r in df.groupBy("q").sum("n").toDF("q", "n").collect()}
+    assert 7 not in opened and all(n <= 203 // search_index.SCAN for n in opened.values())
