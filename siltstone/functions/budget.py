@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -51,21 +50,29 @@ def cut(text: str, budget: int, path: str) -> str:
 def within_tokens(text: Column, budget: int, path: str) -> Column:
     """``text`` cut to ``budget`` tokens of the tokenizer at ``path``, which executors must have there too. Null stays null."""
 
-    @F.arrow_udf("string")
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
-            yield pa.array([None if (t := x.as_py()) is None else cut(t, budget, path) for x in part], pa.string())
+    @F.arrow_udf("string")  # of a batch, not an iterator: Spark gives each iterator a worker, and each worker has a tokenizer
+    def run(part: pa.Array) -> pa.Array:
+        return pa.array([None if (t := x.as_py()) is None else cut(t, budget, path) for x in part], pa.string())
 
     return run(text)
 
 
+def each_within_tokens(texts: list[Column], budgets: list[int], path: str) -> Column:
+    """An array of ``texts``, each cut to its budget as by :func:`within_tokens`, in one evaluation."""
+
+    @F.arrow_udf("array<string>")
+    def run(part: pa.Array) -> pa.Array:
+        return pa.array([[None if t is None else cut(t, n, path) for t, n in zip(x.as_py(), budgets, strict=True)] for x in part], pa.list_(pa.string()))
+
+    return run(F.array(*texts))
+
+
 def tokens(text: Column, path: str) -> Column:
     """How many tokens a text has; null has none."""
 
     @F.arrow_udf("long")
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(part: pa.Array) -> pa.Array:
         own = _tokenizer(path)
-        for part in parts:
-            yield pa.array([len(own.encode(x.as_py() or "", add_special_tokens=False).ids) for x in part], pa.int64())
+        return pa.array([len(own.encode(x.as_py() or "", add_special_tokens=False).ids) for x in part], pa.int64())
 
     return run(text)

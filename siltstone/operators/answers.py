@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.budget import tokens, version, within_tokens
+from siltstone.functions.budget import each_within_tokens, tokens, version, within_tokens
 from siltstone.functions.text import folded, nfkc, normal_lines
 
 #: Intents, keys of a match analysis, time models, limits of labels and titles, and what labels mustn't be.
@@ -299,7 +299,13 @@ def semantic_profile(rows: DataFrame, template: str = "baseline-v1", most: int =
         # possessive groups are matched in a loop; greedy ones take a stack frame a token, which some thousand tokens exhaust
         return F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?Us)^\s*+((?:\S++\s*+){{0,{budget}}}+)", 1))
 
-    lines = [F.when((text := within(texts[c], budgets[c])) != "", F.concat(F.lit(f"{label}："), text)) for label, c, _ in PROFILE_LINES]
+    if tokenizer:
+        cut = each_within_tokens([normal_lines(F.coalesce(t, F.lit(""))) for t in texts.values()], [budgets[c] for c in texts], tokenizer)
+        rows = rows.select("entity_id", cut.alias("cut"))
+        fields = {c: F.trim(F.col("cut")[i]) for i, c in enumerate(texts)}
+    else:
+        fields = {c: within(t, budgets[c]) for c, t in texts.items()}
+    lines = [F.when(fields[c] != "", F.concat(F.lit(f"{label}："), fields[c])) for label, c, _ in PROFILE_LINES]
     profile = normal_lines(within(F.concat_ws("\n", *lines), most))
     out = rows.select("entity_id", profile.alias("profile"))
     by = f"{template}\n{version(tokenizer)}\n" if tokenizer else f"{template}\n"
