@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -21,9 +22,15 @@ EDGE_SIGNS = " -—–:：;；、,.，。·•"
 CJK = "\\u3400-\\u4dbf\\u4e00-\\u9fff"
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+@F.arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return pa.array((None if (t := x.as_py()) is None else unicodedata.normalize("NFKC", t) for x in text), pa.string())
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC. ASCII is its own: only other texts go to Python."""
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_, text).otherwise(_nfkc(F.when(~ascii_, text)))
 
 
 @F.pandas_udf(StringType())

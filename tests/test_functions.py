@@ -106,3 +106,9 @@ def test_vector_blobs(spark):
     assert (bytes(rows[0].b), rows[0].c, list(rows[0].v)) == (raw, hashlib.sha256(raw).hexdigest(), [1.0, -2.5]) and rows[1].v is None
     bad = spark.createDataFrame([(b"abc",), (struct.pack("<f", float("nan")),)], "b binary").select(vectors.from_blob(F.col("b")).alias("v")).collect()
     assert [r.v for r in bad] == [None, None]
+
+
+def test_nfkc_sends_no_ascii_to_python(spark):
+    df = spark.createDataFrame([("plain",), ("ﬁ Ⅷ",), ("",), (None,)], "t string").select(text.nfkc(F.col("t")).alias("n"))
+    assert [r.n for r in df.collect()] == ["plain", "fi VIII", "", None]
+    assert "octet_length" in df._jdf.queryExecution().optimizedPlan().toString()
