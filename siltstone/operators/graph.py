@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siltstone.storage import cut, forget
 
+TASK_ROWS = 250_000  # rows that a task groups, as a mean
+
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", most: int = 64) -> DataFrame:
     """All (child, parent) pairs that a walk of edges joins. Doubling: a walk of length n takes about log2 n rounds."""
@@ -51,8 +53,16 @@ def tree_rollup(leaves: DataFrame, groups: DataFrame, group: str, top: str) -> D
 
 
 def two_hops(first: DataFrame, second: DataFrame, start: str, middle: str, end: str) -> DataFrame:
-    """Paths start - middle - end: how many, and through how many middles."""
-    return first.join(second, middle).groupBy(start, end).agg(F.count(F.lit(1)).alias("paths"), F.countDistinct(middle).alias("middles"))
+    """Paths start - middle - end: how many, and through how many middles.
+
+    Edges are counted on both sides before they meet, so each middle is a row and no set of middles is kept. Partitions
+    are as many as the edges ask for: a task holds the groups of about ``TASK_ROWS`` of them.
+    """
+    n = max(int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-second.count() // TASK_ROWS))
+    left = first.repartition(n, middle).groupBy(start, middle).agg(F.count(F.lit(1)).alias("_left"))
+    right = second.repartition(n, middle).groupBy(middle, end).agg(F.count(F.lit(1)).alias("_right"))
+    both = left.join(right, middle).select(start, end, (F.col("_left") * F.col("_right")).alias("_paths"))
+    return both.repartition(n, start, end).groupBy(start, end).agg(F.sum("_paths").alias("paths"), F.count(F.lit(1)).alias("middles"))
 
 
 def unmatched_endpoints(edges: DataFrame, nodes: DataFrame, ends: list[str], key: str) -> DataFrame:
