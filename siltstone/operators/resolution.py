@@ -6,7 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import hashing, text, urls
@@ -263,3 +263,55 @@ def complete_link(neighbours: DataFrame, least: float, group: str = "kind") -> D
     within = mutual.join(ends[0], [group, "a"]).join(ends[1], [group, "b"]).where("of_a = of_b").groupBy(group, F.col("of_a").alias("cluster")).agg(F.min("score").alias("score"))
     listed = members.groupBy(group, "cluster").agg(F.array_sort(F.collect_list("member")).alias("members"))  # all pairs are rows, so a cluster of n has n * (n - 1) / 2 of them
     return listed.join(within, [group, "cluster"]).select(group, "members", "score")
+
+
+def _finished_line(group: str, width: int):
+    """Greedy joining over the gaps that are left, least first; gaps are (group, lo, hi, next_lo, next_hi, key)."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["lost", "first", "second"])
+        last, first, out = {}, {}, []  # ends of joined intervals: the greatest place by the least, and back
+        for g, lo, hi, next_lo, next_hi in part[[group, "lo", "hi", "next_lo", "next_hi"]].itertuples(index=False):
+            left, right = first.get((g, hi), lo), last.get((g, next_lo), next_hi)
+            if right - left <= width:
+                last[g, left], first[g, right] = right, left
+                out.append((g, next_lo))
+        return pd.DataFrame(out, columns=[group, "lo"])
+
+    return run
+
+
+def complete_link_line(points: DataFrame, width: int, group: str = "kind") -> DataFrame:
+    """:func:`complete_link` of ``points`` (group, id, place) that are mutual if at most ``width`` apart, nearest first: (group, members, least, greatest).
+
+    No pair is made. A point between two others is nearer to both than they are to each other, so when the two meet, what lies
+    between has met one of them or was refused, and then the two are refused too: clusters are intervals, and a gap between
+    neighbouring places is decided once, by its length and the least ids on its sides. Gaps are closed in rounds,
+    those that come first on both sides together; once no more than LOCAL may be closed one task takes them in order.
+    Points of one place are one interval at the start. Places are whole numbers; null groups, ids and places take no part.
+    """
+    kind = dict(points.dtypes)
+    points = cut(points.where(F.col(group).isNotNull() & F.col("id").isNotNull() & F.col("place").isNotNull()).select(group, "id", F.col("place").cast("long").alias("place")), "points")
+    in_line = Window.partitionBy(group).orderBy("lo")
+    after = lambda c: F.lead(c).over(in_line)
+    gap = F.struct((after("lo") - F.col("hi")).alias("lost"), F.least("hi_id", after("lo_id")).alias("first"), F.greatest("hi_id", after("lo_id")).alias("second"), F.col("lo").alias("at"))
+    line = points.groupBy(group, F.col("place").alias("lo")).agg(F.min("id").alias("lo_id")).select(group, "lo", F.col("lo").alias("hi"), "lo_id", F.col("lo_id").alias("hi_id"))
+    while True:
+        line = cut(line.withColumn("key", F.when(after("hi") - F.col("lo") <= width, gap)).select("*", after("lo").alias("next_lo"), after("hi").alias("next_hi")), "line")
+        open_ = line.where("key IS NOT NULL")
+        if (left := open_.count()) <= LOCAL:
+            break
+        before, behind = F.lag("key").over(in_line), after("key")
+        taken = F.col("key").isNotNull() & (before.isNull() | (F.col("key") < before)) & (behind.isNull() | (F.col("key") < behind))
+        at = line.withColumn("taken", taken).withColumn("at", F.when(F.lag("taken").over(in_line), F.lag("lo").over(in_line)).otherwise(F.col("lo")))
+        line = at.groupBy(group, "at").agg(F.max("hi").alias("hi"), F.min_by("lo_id", "lo").alias("lo_id"), F.max_by("hi_id", "lo").alias("hi_id")).withColumnRenamed("at", "lo")
+    starts = line.select(group, "lo")
+    if left:
+        flat = open_.select(group, "lo", "hi", "next_lo", "next_hi", "key.*").withColumn("all", F.lit(1))
+        closed = flat.groupBy("all").applyInPandas(_finished_line(group, width), f"`{group}` {kind[group]}, lo long")
+        starts = starts.join(cut(closed, "closed"), [group, "lo"], "left_anti")
+    marked = points.select(group, "place", "id").unionByName(starts.select(group, F.col("lo").alias("place"), F.lit(None).cast(kind["id"]).alias("id")))
+    start = F.last(F.when(F.col("id").isNull(), F.col("place")), True).over(Window.partitionBy(group).orderBy("place", F.col("id").asc_nulls_first()))
+    found = marked.withColumn("start", start).where("id IS NOT NULL").groupBy(group, "start")
+    listed = found.agg(F.array_sort(F.collect_set("id")).alias("members"), F.min("place").alias("least"), F.max("place").alias("greatest"))
+    return listed.where(F.size("members") > 1).select(group, "members", "least", "greatest")

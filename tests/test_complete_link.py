@@ -67,3 +67,22 @@ def test_one_component_of_many_nodes(spark, monkeypatch):
     weak = ids.where("step = 1 OR (a % 4 + step) < 4").selectExpr("kind", "a", "b", f"{draw} + CASE WHEN a % 4 < b % 4 THEN 0.5 ELSE 0 END AS score")
     found = resolution.complete_link(weak.unionByName(weak.selectExpr("kind", "b AS a", "a AS b", "score")), 0.5).selectExpr("size(members) AS n", "members[0] % 4 AS at").groupBy("n", "at").count().collect()
     assert [(r.n, r.at, r["count"]) for r in found] == [(4, 0, n // 4)]
+
+
+@pytest.mark.parametrize("local", [0, 30, 10**6])
+def test_points_on_a_line_as_their_pairs(spark, monkeypatch, local):
+    """The same clusters as from all pairs, copies and equal gaps among them."""
+    monkeypatch.setattr(resolution, "LOCAL", local)
+    draw = random.Random(local)
+    points = [(f"k{g}", i, draw.randrange(far)) for g, far in enumerate((5, 30, 60, 400)) for i in range(25)]
+    rows = [(k, a, b, 1 - abs(p - q) / 1000) for k, a, p in points for h, b, q in points if k == h and a != b and abs(p - q) <= 20]
+    df = spark.createDataFrame([*points, ("k1", None, 3), ("k1", 99, None)], "kind string, id long, place long")
+    found = [(r.kind, r.members, 1 - (r.greatest - r.least) / 1000) for r in resolution.complete_link_line(df, 20).collect()]
+    assert sorted(found) == greedy(rows, 0.5)
+
+
+def test_a_line_of_copies_makes_no_pairs(spark, monkeypatch):
+    """Three places of 20,000 copies each would be billions of pairs."""
+    monkeypatch.setattr(resolution, "LOCAL", 0)
+    df = spark.range(60_000).selectExpr("'k' AS kind", "id", "id % 3 * 10 AS place")
+    assert [(r.kind, len(r.members), r.least, r.greatest) for r in resolution.complete_link_line(df, 15).orderBy("least").collect()] == [("k", 40_000, 0, 10), ("k", 20_000, 20, 20)]
