@@ -88,12 +88,12 @@ def fold(text: Column) -> Column:
 
 
 def first_of_each(items: Column, key) -> Column:
-    """Array without the items whose key came before."""
-    keyed = F.transform(items, lambda x: F.struct(x.alias("value"), key(x).alias("key")))
-    kept = F.filter(
-        F.transform(keyed, lambda x, i: F.struct(x["value"].alias("value"), (F.array_position(F.transform(keyed, lambda y: y["key"]), x["key"]) == i + 1).alias("first"))),
-        lambda x: x["first"],
-    )
+    """Array without the items whose key came before: sorted by key and place, so that repeats stand behind their first, and back."""
+    at = F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"), x.alias("value")))
+    placed = F.array_sort(F.filter(at, lambda x: x["key"].isNotNull()))
+    # as the one item of an array the sorted items are a variable below; elsewhere they would be worked out again for each item
+    first = F.transform(F.array(placed), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["key"] != x["key"])))
+    kept = F.array_sort(F.transform(F.get(first, F.lit(0)), lambda x: F.struct(x["at"].alias("at"), x["value"].alias("value"))))
     return F.transform(kept, lambda x: x["value"])
 
 

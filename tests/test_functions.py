@@ -112,3 +112,12 @@ def test_nfkc_sends_no_ascii_to_python(spark):
     df = spark.createDataFrame([("plain",), ("ﬁ Ⅷ",), ("",), (None,)], "t string").select(text.nfkc(F.col("t")).alias("n"))
     assert [r.n for r in df.collect()] == ["plain", "fi VIII", "", None]
     assert "octet_length" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_very_many_parts(spark):
+    """A part costs what it costs in a short text: comparing each with all others would take 20,000 times 20,000 steps of regular expressions."""
+    parts = "concat_ws(';', transform(sequence(0, 39999), i -> concat(if(i % 2 = 0, 'Part ', 'PART '), i % 20000 + 1)))"
+    rows = spark.range(1).selectExpr(f"{parts} AS t")
+    for said in (text.statements(F.col("t")), text.publications(F.regexp_replace("t", ";", "；"))):
+        r = rows.select(F.size(said).alias("n"), F.element_at(said, 1)["text"].alias("first"), F.element_at(said, -1)["text"].alias("last")).first()
+        assert tuple(r) == (20_000, "Part 1", "PART 20000")
