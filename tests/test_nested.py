@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.operators import nested
 
@@ -68,3 +69,44 @@ def test_wide_trees_empty_tables_and_broken_texts(spark):
 def test_empty_output_of_the_same_kind(spark):
     df = spark.createDataFrame([(' {"a": 1}',), ('"text"',), ("[1]",)], "t string")
     assert [r[0] for r in df.select(nested.emptied(df.t)).collect()] == ["{}", '""', '""']
+
+
+def test_nodes_and_trees_rebuilt_from_them(spark, trees):
+    got = {r.id: json.loads(r.tree) for r in nested.rebuilt(nested.nodes(table(spark, trees), "id", "tree"), "id").collect()}
+    assert got == dict(trees)
+
+
+def test_strings_are_changed_without_shuffles_and_files(spark, trees, monkeypatch):
+    """No row a node is written or moved; leaves that become null, and what looks like names and brackets in strings."""
+    monkeypatch.setattr(nested, "cut", lambda df, name: df if name == "trees" else pytest.fail(name))
+    odd = [(1, {'a":': 'b":', "c\\": ["\\", '\\"', ":", '":"', "[{", "\x02"]}), (2, [["x"], "}]", {"": ":"}])]
+    rows = table(spark, odd)
+    made = nested.mapped(rows, "id", "tree", lambda x: F.when(x != ":", F.upper(x)))
+    assert {r.id: json.loads(r.tree) for r in made.collect() if r.tree} == {i: change(x, lambda s: s.upper() if s != ":" else None) for i, x in odd}
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    found = nested.strings(rows, "id", "tree")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.path, r.text) for r in found.select("id", nested.shown(found.path).alias("path"), "text").collect()) == sorted((i, p, t) for i, x in odd for p, t in leaves(x))
+
+
+@pytest.mark.parametrize("levels, fits", [(63, True), (64, False)])
+def test_levels_that_a_tree_may_have(spark, levels, fits):
+    rows = spark.createDataFrame([(1, "[" * levels + '"]["' + "]" * levels)], "id long, tree string")
+    if fits:
+        assert nested._deepest(rows, "tree") == levels
+    else:
+        with pytest.raises(ValueError, match="levels"):
+            nested.strings(rows, "id", "tree")
+
+
+@pytest.mark.parametrize("fragments", [["x", "F"], ["e", "x"], ['"', "F"], ["\\", 'x"'], ["n"], ["{x", " "], [":x"], ["\n", "F"], ["漢", "😀x", "."]])
+def test_fragments_stay_in_names_and_escapes(spark, fragments):
+    odd = [(i, {"F x": [s, None, True, 1.5], 'x"': {"\\e\n": s + "n"}, ":x": [[s, s]]}) for i, s in enumerate(["F", "x", 'xx"F', "\\n\\F", "a\nF", ":x", "{x} x", '":x', "漢.😀x", "", "true", "e\u0001e"])]
+    got = {r.id: json.loads(r.tree) for r in nested.without(table(spark, odd), "id", "tree", fragments).collect() if r.tree}
+
+    def cut(s):
+        for f in fragments:
+            s = s.replace(f, "")
+        return s
+
+    assert got == {i: change(x, cut) for i, x in odd}
