@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,14 +68,26 @@ def _snapshot(url: str | None, html: str | None) -> dict:
     return {"title": " ".join("".join(parser.title).split()), "text": "\n".join(x for x in lines if x), "links": links}
 
 
-def snapshots(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``pages`` with title, text and links (in order, one a target), by an Arrow UDF over the standard parser."""
+SLICE = 1 << 20  # characters of pages that are parsed before their snapshots become Arrow
+_ARROW = pa.struct([("title", pa.string()), ("text", pa.string()), ("links", pa.list_(pa.struct([(c, pa.string()) for c in ("href", "anchor", "heading", "class")])))])
+
 
-    @F.pandas_udf(SNAPSHOT)
-    def parse(u: pd.Series, h: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_snapshot(a, b) for a, b in zip(u, h, strict=True)], columns=["title", "text", "links"])
+def _parsed(urls_: pa.Array, htmls: pa.Array) -> pa.Array:
+    """Snapshots of a batch; no more of them than of a slice are objects at a time."""
+    done, own, size = [], [], 0
+    for u, h in zip(urls_, htmls, strict=True):
+        html = h.as_py()
+        own.append(_snapshot(u.as_py(), html))
+        size += len(html or "")
+        if size >= SLICE:
+            done.append(pa.array(own, _ARROW))
+            own, size = [], 0
+    return pa.concat_arrays([*done, pa.array(own, _ARROW)])
 
-    return pages.withColumn("snapshot", parse(url, html))
+
+def snapshots(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``pages`` with title, text and links (in order, one a target), by an Arrow UDF over the standard parser."""
+    return pages.withColumn("snapshot", F.arrow_udf(_parsed, SNAPSHOT)(url, html))
 
 
 def link_signals(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
