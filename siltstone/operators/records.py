@@ -45,7 +45,8 @@ def sanitized(rows: DataFrame, key: str, raw: str) -> DataFrame:
     """
     v = F.col("_v")
     own = rows.select(key, F.parse_json(raw).alias("_v"))
-    fields = [_one(v, "name").alias("name"), *(_one(v, c).alias(c) for c in TEXTS), *(_many(v, c).alias(c) for c in LISTS)]
-    checked = lambda c, pattern: F.when(_one(v, c).rlike(pattern), _one(v, c)).alias(c)
-    fields += [checked(c, _EMAIL) for c in EMAILS] + [checked(c, "(?i)^https?://") for c in ADDRESSES]
-    return own.select(key, *fields).where("name IS NOT NULL")
+    one, many = ("name", *TEXTS, *EMAILS, *ADDRESSES), LISTS
+    told = own.select(key, *(_one(v, c).alias(c) for c in one), *(_many(v, c).alias(c) for c in many))
+    checked = lambda c, pattern: F.when(F.col(c).rlike(pattern), F.col(c)).alias(c)
+    fields = [*("name", *TEXTS, *LISTS), *(checked(c, _EMAIL) for c in EMAILS), *(checked(c, "(?i)^https?://") for c in ADDRESSES)]
+    return told.select(key, *fields).where("name IS NOT NULL")

@@ -10,7 +10,7 @@ from siltstone.functions.hashing import hash_parts
 from siltstone.operators import gold, nested, records, safety, sampling
 from siltstone.plans.registry import Registry, table
 from siltstone.sources.tables import VersionedTable
-from siltstone.storage import fresh_path
+from siltstone.storage import fresh_path, spread
 from siltstone.streaming import queue
 
 QUERIES = Registry()
@@ -152,7 +152,7 @@ def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sanitized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as records of a model, some fields lists, numbers, blanks or no addresses."""
-    key, every = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    key, every = F.col("c_custkey"), spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"))
     quoted = lambda x: nested.quoted(x)
     fields = {
         "name": quoted(F.when(key % 10 != 1, F.concat(F.lit(" "), "c_name", F.lit("\n "))).otherwise("  ")),
