@@ -154,7 +154,7 @@ def _build(spark: SparkSession, sf_dir: str) -> catalogue.Build:
     seen = orders.select(text("o", order).alias("id"), text("e", F.col("o_custkey")).alias("entity_id"), F.when(order % 7 > 0, text("d", order % 500)).alias("document_id"), grade.alias("grade"), (F.col("o_orderpriority") != "5-LOW").alias("active"))
     first = orders.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("o_orderkey"))
     statement = F.concat(F.lit("s"), "o_custkey", F.lit("-"), "o_orderpriority")
-    mentioned = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == order)
+    mentioned = lines.select(text("o", F.col("l_orderkey")).alias("observation_id"), "l_partkey", "l_shipdate", "l_discount", "l_returnflag").join(orders.select(text("o", order).alias("observation_id"), "o_custkey"), "observation_id")
     topic = text("t", F.col("p_size"))
     return catalogue.Build("b", {
         "universities": nations.select(text("u", F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), none.alias("city")),
@@ -164,7 +164,7 @@ def _build(spark: SparkSession, sf_dir: str) -> catalogue.Build:
         "observations": seen,
         "affiliations": orders.join(customers, F.col("o_custkey") == key).select(text("e", key).alias("entity_id"), unit.alias("org_unit_id"), grade.alias("grade")),
         "statements": first.select(statement.alias("id"), text("e", F.col("o_custkey")).alias("entity_id"), text("o", order).alias("observation_id"), F.col("o_orderpriority").alias("raw_text"), F.lit("en").alias("language"), F.sha2(F.col("o_orderpriority").cast("binary"), 256).alias("hash")),
-        "mentions": mentioned.select(F.concat(F.lit("m"), "o_custkey", F.lit("-"), "l_partkey").alias("id"), text("e", F.col("o_custkey")).alias("entity_id"), text("o", order).alias("observation_id"), F.lit("raw").alias("raw_text"), none.alias("doi"), F.year("l_shipdate").alias("year"), F.col("l_discount").cast("double").alias("confidence"), (F.col("l_returnflag") == "R").alias("needs_review")),
+        "mentions": mentioned.select(F.concat(F.lit("m"), "o_custkey", F.lit("-"), "l_partkey").alias("id"), text("e", F.col("o_custkey")).alias("entity_id"), "observation_id", F.lit("raw").alias("raw_text"), none.alias("doi"), F.year("l_shipdate").alias("year"), F.col("l_discount").cast("double").alias("confidence"), (F.col("l_returnflag") == "R").alias("needs_review")),
         "documents": spark.range(500).select(text("d", F.col("id")).alias("id"), text("u", F.col("id") % 25).alias("university_id"), none.alias("url"), none.alias("content_hash"), none.alias("title"), none.alias("fetched_at")),
         "topics": table(spark, sf_dir, "part").select(topic.alias("id"), topic.alias("canonical_name"), topic.alias("normalized_name"), F.lit("task").alias("kind"), F.when(F.col("p_size") % 10 > 0, "active").otherwise("retired").alias("status")).distinct(),
         "topic_links": first.select(statement.alias("statement_id"), text("t", F.col("o_custkey") % 50 + 1).alias("topic_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "PRIMARY_TOPIC").when(F.col("o_orderpriority") == "2-HIGH", "USES_METHOD").otherwise("STUDIES").alias("relation"), F.when(F.col("o_orderkey") % 3 > 0, "approved").otherwise("pending").alias("review_status"), F.lit(0.9).alias("confidence"), F.lit("alias").alias("method"), F.lit("p").alias("provenance")),
@@ -190,9 +190,9 @@ def _build(spark: SparkSession, sf_dir: str) -> catalogue.Build:
 )
 def catalogue_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The partitions of a build: rows, least and greatest key, and sums over the relations' payloads."""
-    rows = _build(spark, sf_dir).rows()
-    field = lambda name, kind: F.get_json_object("payload", f"$.{name}").cast(kind)
-    told = F.col("partition").startswith("rel:")
+    field = lambda name, kind: F.when(F.col("partition").startswith("rel:"), F.get_json_object("payload", f"$.{name}").cast(kind)).alias(name)
+    # Least strings are worked out over sorted rows, so the payloads, the widest column, are read before.
+    rows = _build(spark, sf_dir).rows().select("partition", "row_key", field("evidence_count", "long"), field("confidence", "double"))
     return rows.groupBy("partition").agg(
-        F.count(F.lit(1)).alias("row_count"), F.min("row_key").alias("min_key"), F.max("row_key").alias("max_key"), F.sum(F.when(told, field("evidence_count", "long"))).alias("evidence"), F.round(F.sum(F.when(told, field("confidence", "double"))), 4).alias("confidence")
+        F.count(F.lit(1)).alias("row_count"), F.min("row_key").alias("min_key"), F.max("row_key").alias("max_key"), F.sum("evidence_count").alias("evidence"), F.round(F.sum("confidence"), 4).alias("confidence")
     )

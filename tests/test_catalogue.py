@@ -56,3 +56,22 @@ def test_rebuilding_partitions_in_a_table_keeps_the_others(spark, build, tmp_pat
     assert {p: f for p, f in after.files.items()} == {p: f for p, f in before.files.items() if p not in again}
     changed = {r.partition for r in read_back(first, build.manifest(table.read())).where("difference IS NOT NULL").collect()}
     assert changed == set(again)
+
+
+def test_partitions_of_one_source_read_it_once(build):
+    leaves = lambda *names: build.rows(names)._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves("node:PublicationMention", "rel:HAS_PUBLICATION_MENTION") == 2  # mentions and observations
+    assert leaves("node:SourceDocument", "rel:FROM_UNIVERSITY") == 3  # documents, observations and professors
+    assert leaves(*(f"rel:{k}" for k in ("PRIMARY_TOPIC", "USES_METHOD", "APPLIED_TO", "TARGETS_TASK", "STUDIES"))) == 2  # links and topics
+    assert "Expand" not in build.rows()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mentions_count_each_observation_once_and_relate_known_ones_alone(spark, build):
+    schema = TABLES["mentions"][0]
+    rows = [("m1", "e1", o, "x", None, y, 1.0, None) for o, y in (("o2", 2020), ("o1", 2020), ("o2", None), ("lost", 2020), (None, 2020))] + [("m2", "e1", "lost", "y", None, None, None, False), ("m3", None, "o6", "z", None, 2020, 0.5, True), ("m3", None, "o6", "z", None, 2021, 0.5, True)]
+    build.tables["mentions"] = spark.createDataFrame(rows, schema)
+    build.tables["observations"] = build.tables["observations"].union(build.tables["observations"].where("id = 'o2'"))
+    nodes = {r.row_key: json.loads(r.payload) for r in build.partition("node:PublicationMention").collect()}
+    assert {k: (v["evidence_count"], v["year"]) for k, v in nodes.items()} == {"m1": (3, 2020), "m2": (1, None), "m3": (1, None)}
+    told = {(r.start, r.end): json.loads(r.payload) for r in build.partition("rel:HAS_PUBLICATION_MENTION").collect()}
+    assert {k: (v["evidence_count"], v["confidence"]) for k, v in told.items()} == {("b:e1", "b:m1"): (2, 0.8), (None, "b:m3"): (1, 0.5)}
