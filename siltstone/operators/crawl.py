@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import urls
-from siltstone.operators.graph import connected_components
 from siltstone.operators.relational import latest_value
+from siltstone.storage import cut, forget
 
 #: Priorities of node types, all over and within a subtree, what links are followed for, and redirect targets.
 PRIORITIES = {"org_listing_url": 100.0, "org_unit": 90.0, "faculty_list_url": 80.0, "pagination_url": 70.0, "faculty_followup_url": 65.0, "detail_url": 50.0}
@@ -18,6 +18,9 @@ SUBTREE_PRIORITIES = {"faculty_list_url": 180.0, "pagination_url": 170.0, "facul
 LABEL_TYPES = {"detail": "detail_url", "pagination": "pagination_url", "followup": "faculty_followup_url", "reslice": "faculty_list_url"}
 CN_SECOND_LEVEL = ["edu", "ac", "com"]
 RETRY_BUDGET = 3
+#: By what a find meets a person of another name, first to last, and how many finds one task replays.
+CONTACTS = ("email", "homepage", "link")
+HEAD = 300_000
 
 
 def _of(table: dict, key: Column) -> Column:
@@ -190,44 +193,100 @@ def backoff_ms(attempt: Column) -> Column:
     return F.least(F.lit(2000.0) * F.pow(F.lit(2.0), attempt - 1), F.lit(60000.0))
 
 
-def save_people(found: DataFrame) -> DataFrame:
+def save_people(found: DataFrame, head: int = HEAD) -> DataFrame:
     """(row, person) of finds (row, unit, name_key, email, homepage, link), saved one after another in order of row.
 
     A find is the person of that name in its unit, else the first one of its email, else of its homepage, else of its
     link; else a new person, named by the row. A person joins the unit of each find, keeps its first name, and
-    takes what it lacks from later finds. Finds meet through shared values alone, so each component of those
-    is replayed by one task, which keeps the component's persons.
+    takes what it lacks from later finds.
+
+    What a find comes to hangs on two things that earlier finds did: which person owned its values then, and whether a person of its name had joined its unit.
+    Both are short tables of changes in order of row (``_learned``). The first ``head`` finds are replayed one by one and give a guess of them; then all finds are
+    settled at once by the guess (``_settled``) and the changes read off the result, until they are those it came from. Such a result is the replay's: the first find
+    that differed would have had the same changes before it. Each round settles at least the first find that was wrong, so there are as many rounds as the longest chain of
+    finds after the head, each changed by the one before.
     """
-    texts = ("email", "homepage", "link")
-    node = F.xxhash64(F.lit("row"), "row")
-    named = F.when(F.col("name_key").isNotNull(), F.xxhash64(F.lit("name"), "unit", "name_key"))
-    shared = [named, *[F.when(F.coalesce(F.col(c), F.lit("")) != "", F.xxhash64(F.lit(c), c)) for c in texts]]
-    edges = found.select(node.alias("src"), F.explode(F.array_compact(F.array(*shared))).alias("dst"))
-    labels = connected_components(edges)
-    rows = found.withColumn("id", node).join(labels, "id", "left").withColumn("component", F.coalesce("component_id", "id"))
+    found = cut(found.select("row", "unit", "name_key", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in CONTACTS)), "finds")
+    first = cut(_replayed(found.orderBy("row").limit(head)), "replayed")
+    if first.count() < head:
+        return first.select("row", "person")
+    changes = _learned(found.join(first, "row").withColumn("open", F.lit(True)))
+    while True:
+        people = cut(_settled(found, *changes), "people")
+        after = _learned(people)
+        done = all(x.count() == y.count() and x.exceptAll(y).isEmpty() for x, y in zip(after, changes, strict=True))
+        for old in changes:
+            forget(old)
+        if done:
+            return people.select("row", "person")
+        forget(people)
+        changes = after
+
+
+def _replayed(found: DataFrame) -> DataFrame:
+    """(row, person, name, arrived) of few finds, replayed by one task; ``name`` is the person's, ``arrived`` tells who came by email, homepage or link."""
 
     def replay(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        component, names, owner, people = None, {}, {}, {}
+        names, owner, people = {}, {}, {}
         for part in parts:
             out = []
-            for at, row, unit, name, *values in part[["component", "row", "unit", "name_key", *texts]].itertuples(index=False):
-                if at != component:
-                    component, names, owner, people = at, {}, {}, {}
-                mine = [(c, v) for c, v in zip(texts, values, strict=True) if isinstance(v, str) and v]
-                person = names.get((unit, name)) if isinstance(name, str) else None
+            for row, unit, name, *values in part[["row", "unit", "name_key", *CONTACTS]].itertuples(index=False):
+                unit = None if unit != unit else unit
+                mine = [(c, v) for c, v in zip(CONTACTS, values, strict=True) if isinstance(v, str)]
+                person = named = names.get((unit, name)) if isinstance(name, str) else None
                 for key in mine:
                     person = owner.get(key) if person is None else person
+                arrived = named is None and person is not None
                 if person is None:
-                    person, people[row] = row, {"name": name}
+                    person, people[row] = row, {"name": name if isinstance(name, str) else None}
                 own = people[person]
                 names.setdefault((unit, own["name"]), person)
                 for c, v in mine:
                     if own.setdefault(c, v) == v:
                         owner[c, v] = min(person, owner.get((c, v), person))
-                out.append((row, person))
-            yield pd.DataFrame(out, columns=["row", "person"])
+                out.append((row, person, own["name"], arrived))
+            yield pd.DataFrame(out, columns=["row", "person", "name", "arrived"])
+
+    return found.repartition(1).sortWithinPartitions("row").mapInPandas(replay, "row long, person long, name string, arrived boolean")
+
 
-    return rows.repartition("component").sortWithinPartitions("component", "row").mapInPandas(replay, "row long, person long")
+def _settled(found: DataFrame, owners: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The finds with (person, name, arrived, open), given who owned what and who joined which unit by a value.
+
+    ``open`` are finds with a value that nobody, or only a later person than theirs, owned: no other find can change an owner.
+    """
+    c, nobody = F.col, F.lit(2**63 - 1)
+    rows = found
+    for x in CONTACTS:
+        of = owners.where(c("contact") == x).groupBy(c("value").alias(x)).agg(F.array_sort(F.collect_list(F.struct("row", "person", "name"))).alias("of"))
+        before = F.filter("of", lambda o: o["row"] < c("row"))
+        rows = rows.join(of, x, "left").withColumn(f"{x}_owner", F.try_element_at(before, F.lit(-1))).drop("of")
+    met = F.coalesce(*(c(f"{x}_owner") for x in CONTACTS))
+    newest = F.greatest(*(F.when(c(x).isNotNull(), F.coalesce(c(f"{x}_owner.person"), nobody)) for x in CONTACTS))
+    rows = rows.select("row", "unit", "name_key", *CONTACTS, met.alias("met"), newest.alias("newest"))
+    joined = arrivals.select(c("unit").alias("in_unit"), c("name").alias("joined_name"), c("row").alias("joined"), c("person").alias("joined_as"))
+    rows = rows.join(joined, c("unit").eqNullSafe(c("in_unit")) & (c("name_key") == c("joined_name")), "left")
+    same_name = Window.partitionBy("unit", "name_key", F.when(c("name_key").isNull(), c("row")))
+    rows = rows.withColumn("first", F.min(F.when(c("met").isNull(), c("row"))).over(same_name))
+    known = F.coalesce(c("name_key").isNotNull() & (c("row") > F.least("first", "joined")), F.lit(False))
+    person = F.when(known, F.when(c("first").isNull() | (c("joined") < c("first")), c("joined_as")).otherwise(c("first"))).when(c("met").isNotNull(), c("met.person")).otherwise(c("row"))
+    name = F.when(~known & c("met").isNotNull(), c("met.name")).otherwise(c("name_key"))
+    rows = rows.select("row", "unit", *CONTACTS, "newest", person.alias("person"), name.alias("name"), (~known & c("met").isNotNull()).alias("arrived"))
+    return rows.withColumn("open", F.coalesce(c("newest") > c("person"), F.lit(False))).drop("newest")
+
+
+def _learned(people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What changed: owners (contact, value, row, person, name) that are earlier persons than those before, and arrivals (unit, name, row, person), the first in a unit."""
+    c = F.col
+    rows = people.where(F.coalesce(*CONTACTS).isNotNull())
+    rows = rows.join(rows.where("open").select("person").distinct(), "person", "left_semi")
+    each = F.inline(F.array(*(F.struct(F.lit(x).alias("contact"), c(x).alias("value")) for x in CONTACTS)))
+    taken = rows.select("person", "row", "name", each).where("value IS NOT NULL").groupBy("person", "contact").agg(F.min("row").alias("row"), F.min_by(F.struct("value", "name"), "row").alias("own"))
+    taken = taken.select("contact", "own.value", "row", "person", "own.name")
+    earlier = F.min("person").over(Window.partitionBy("contact", "value").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
+    owners = taken.withColumn("earlier", earlier).where("earlier IS NULL OR person < earlier").drop("earlier")
+    arrivals = people.where("arrived AND name IS NOT NULL").groupBy("unit", "name").agg(F.min("row").alias("row"), F.min_by("person", "row").alias("person"))
+    return cut(owners, "owners"), cut(arrivals, "arrivals")
 
 
 def filled(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
