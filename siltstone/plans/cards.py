@@ -191,8 +191,8 @@ def _build(spark: SparkSession, sf_dir: str) -> catalogue.Build:
 def catalogue_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The partitions of a build: rows, least and greatest key, and sums over the relations' payloads."""
     field = lambda name, kind: F.when(F.col("partition").startswith("rel:"), F.get_json_object("payload", f"$.{name}").cast(kind)).alias(name)
-    # Least strings are worked out over sorted rows, so the payloads, the widest column, are read before.
-    rows = _build(spark, sf_dir).rows().select("partition", "row_key", field("evidence_count", "long"), field("confidence", "double"))
+    # Least strings are worked out over sorted rows, so the payloads, the widest column, are read before. Decimals add up exactly, whatever the number of rows.
+    rows = _build(spark, sf_dir).rows().select("partition", "row_key", field("evidence_count", "long"), field("confidence", "decimal(20,10)"))
     return rows.groupBy("partition").agg(
-        F.count(F.lit(1)).alias("row_count"), F.min("row_key").alias("min_key"), F.max("row_key").alias("max_key"), F.sum("evidence_count").alias("evidence"), F.round(F.sum("confidence"), 4).alias("confidence")
+        F.count(F.lit(1)).alias("row_count"), F.min("row_key").alias("min_key"), F.max("row_key").alias("max_key"), F.sum("evidence_count").alias("evidence"), F.round(F.sum("confidence").cast("double"), 4).alias("confidence")
     )
