@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +18,10 @@ SUBTREE_PRIORITIES = {"faculty_list_url": 180.0, "pagination_url": 170.0, "facul
 LABEL_TYPES = {"detail": "detail_url", "pagination": "pagination_url", "followup": "faculty_followup_url", "reslice": "faculty_list_url"}
 CN_SECOND_LEVEL = ["edu", "ac", "com"]
 RETRY_BUDGET = 3
-#: By what a find meets a person of another name, first to last, and how many finds one task replays.
+#: By what a find meets a person of another name, first to last, how many finds one task replays, and what these change.
 CONTACTS = ("email", "homepage", "link")
 HEAD = 300_000
+_CHANGE = pa.schema([("contact", pa.string()), ("value", pa.string()), ("unit", pa.int64()), ("row", pa.int64()), ("person", pa.int64()), ("name", pa.string())])
 
 
 def _of(table: dict, key: Column) -> Column:
@@ -200,74 +201,127 @@ def save_people(found: DataFrame, head: int = HEAD) -> DataFrame:
     link; else a new person, named by the row. A person joins the unit of each find, keeps its first name, and
     takes what it lacks from later finds.
 
-    What a find comes to hangs on two things that earlier finds did: which person owned its values then, and whether a person of its name had joined its unit.
-    Both are short tables of changes in order of row (``_learned``). The first ``head`` finds are replayed one by one and give a guess of them; then all finds are
-    settled at once by the guess (``_settled``) and the changes read off the result, until they are those it came from. Such a result is the replay's: the first find
-    that differed would have had the same changes before it. Each round settles at least the first find that was wrong, so there are as many rounds as the longest chain of
-    finds after the head, each changed by the one before.
+    What a find comes to hangs on three things that earlier finds did: which person owned its values then, whether a person of its name had joined its unit by a value,
+    and whether a find of its name there had become a person. A find without values can do the last alone, so ``plain``, the first such find of a name in a unit, stands for them all.
+    The others are short tables of changes in order of row. The first ``head`` finds with values are replayed one by one and give a guess of them; then all finds with values are
+    settled at once by the guess (``_settled``) and the changes read off the result (``_learned``), until they are those it came from. Such a result is the replay's: the first find
+    that differed would have had the same changes before it. Finds that changed something in any round are replayed by themselves for the next guess, while they are no more than ``head``;
+    so a chain of changes is followed in one round, and another is needed only where finds come in that changed nothing before. Where there are more, what was read off is the guess.
+    Each round settles at least the first find that was wrong.
     """
-    found = cut(found.select("row", "unit", "name_key", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in CONTACTS)), "finds")
-    first = cut(_replayed(found.orderBy("row").limit(head)), "replayed")
-    if first.count() < head:
-        return first.select("row", "person")
-    changes = _learned(found.join(first, "row").withColumn("open", F.lit(True)))
+    found = found.select("row", "unit", "name_key", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in CONTACTS))
+    bare = F.coalesce(*CONTACTS).isNull()
+    same_name = Window.partitionBy("unit", "name_key", F.when(F.col("name_key").isNull(), F.col("row")))
+    found = cut(found.withColumn("plain", F.min(F.when(bare & F.col("name_key").isNotNull(), F.col("row"))).over(same_name)), "finds")
+    valued = found.where(~bare)
+    total = valued.count()
+    first = valued
+    if total > head:  # sort no more rows than needed
+        first = valued.where(F.col("row") <= valued.agg(F.percentile_approx("row", min(1.0, 1.2 * head / total), max(10_000, 100 * total // head))).first()[0])
+    first = cut(first.orderBy("row").limit(head), "first")
+    changes = _changes(cut(_replayed(first), "replayed"))
+    if total <= head:
+        return _settled(found, valued, *changes).select("row", "person")
+    makers, live = _live(found, valued, first, changes[0])
+    told = None
     while True:
-        people = cut(_settled(found, *changes), "people")
-        after = _learned(people)
-        done = all(x.count() == y.count() and x.exceptAll(y).isEmpty() for x, y in zip(after, changes, strict=True))
-        for old in changes:
-            forget(old)
-        if done:
-            return people.select("row", "person")
+        people = cut(_settled(live, makers, *changes), "people")
+        taken, arrivals = _learned(people)
         forget(people)
-        changes = after
+        after = (_owners(taken), arrivals)
+        if all(x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty() for x, y in zip(after, changes, strict=True)):
+            return _settled(found, makers, *changes).select("row", "person")
+        rows = taken.select("row").union(arrivals.select("row"))
+        told = cut((rows if told is None else rows.union(told)).distinct(), "told")
+        changes = _changes(cut(_in_turn(live.join(told, "row", "left_semi")), "replayed")) if told.count() <= head else after
+
+
+def _live(found: DataFrame, valued: DataFrame, first: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Finds with values that may become persons while nobody owns their values, and those that may change anything, once the ``first`` are replayed.
+
+    If the first finds leave no value without owner, later persons own nothing, as owners only change to earlier persons than any now. Then later finds that come to a
+    person of their own name change nothing, unless an owner or an earlier person has that name. Else these are all finds with values.
+    """
+    c = F.col
+    last = first.agg(F.max("row")).first()[0]
+    each = F.inline(F.array(*(F.struct(F.lit(x).alias("contact"), c(x).alias("value")) for x in CONTACTS)))
+    if not valued.select(each).where("value IS NOT NULL").distinct().join(owners, ["contact", "value"], "left_anti").isEmpty():
+        return valued, cut(valued, "live")
+    latest = owners.groupBy("contact", "value").agg(F.min("person").alias("person")).agg(F.max("person")).first()[0]
+    early = found.where(c("row") <= latest).select("name_key").where("name_key IS NOT NULL").distinct().withColumn("early", F.lit(True))
+    may = (c("row") <= last) | c("plain").isNull() | (c("plain") > c("row")) | c("early")
+    return first, cut(valued.join(early, "name_key", "left").where(may).select(*valued.columns), "live")
 
 
 def _replayed(found: DataFrame) -> DataFrame:
-    """(row, person, name, arrived) of few finds, replayed by one task; ``name`` is the person's, ``arrived`` tells who came by email, homepage or link."""
+    """What the first finds change."""
+    return _in_turn(found)
 
-    def replay(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, owner, people = {}, {}, {}
-        for part in parts:
+
+def _in_turn(found: DataFrame) -> DataFrame:
+    """What few finds change, replayed by one task in order of row: owners with contact and value, arrivals without.
+
+    Finds that are left out must change nothing that these hang on; ``plain`` stands for those without values.
+    """
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, joined, owner, people = {}, set(), {}, {}
+        for batch in batches:
             out = []
-            for row, unit, name, *values in part[["row", "unit", "name_key", *CONTACTS]].itertuples(index=False):
-                unit = None if unit != unit else unit
-                mine = [(c, v) for c, v in zip(CONTACTS, values, strict=True) if isinstance(v, str)]
-                person = named = names.get((unit, name)) if isinstance(name, str) else None
+            for row, unit, name, plain, *values in zip(*(batch.column(c).to_pylist() for c in ("row", "unit", "name_key", "plain", *CONTACTS)), strict=True):
+                mine = [(c, v) for c, v in zip(CONTACTS, values, strict=True) if v is not None]
+                at, named = names.get((unit, name), (None, None)) if name is not None else (None, None)
+                if plain is not None and plain < row and (at is None or plain < at):
+                    named = plain
+                person = named
                 for key in mine:
                     person = owner.get(key) if person is None else person
                 arrived = named is None and person is not None
-                if person is None:
-                    person, people[row] = row, {"name": name if isinstance(name, str) else None}
-                own = people[person]
-                names.setdefault((unit, own["name"]), person)
+                person = row if person is None else person
+                own = people.setdefault(person, {"name": name})
+                if named is None and own["name"] is not None:
+                    names.setdefault((unit, own["name"]), (row, person))
+                    if arrived and (unit, own["name"]) not in joined:
+                        joined.add((unit, own["name"]))
+                        out.append((None, None, unit, row, person, own["name"]))
                 for c, v in mine:
-                    if own.setdefault(c, v) == v:
-                        owner[c, v] = min(person, owner.get((c, v), person))
-                out.append((row, person, own["name"], arrived))
-            yield pd.DataFrame(out, columns=["row", "person", "name", "arrived"])
+                    if own.setdefault(c, v) == v and person < owner.get((c, v), person + 1):
+                        owner[c, v] = person
+                        out.append((c, v, None, row, person, own["name"]))
+            yield pa.RecordBatch.from_pylist([dict(zip(_CHANGE.names, x, strict=True)) for x in out], _CHANGE)
 
-    return found.repartition(1).sortWithinPartitions("row").mapInPandas(replay, "row long, person long, name string, arrived boolean")
+    return found.repartition(1).sortWithinPartitions("row").mapInArrow(replay, "contact string, value string, unit long, row long, person long, name string")
 
 
-def _settled(found: DataFrame, owners: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """The finds with (person, name, arrived, open), given who owned what and who joined which unit by a value.
+def _changes(replayed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Owners and arrivals of a replay."""
+    owned = F.col("contact").isNotNull()
+    return replayed.where(owned).drop("unit"), replayed.where(~owned).drop("contact", "value")
 
-    ``open`` are finds with a value that nobody, or only a later person than theirs, owned: no other find can change an owner.
-    """
+
+def _met(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """``rows`` with the owner of their first value that has one, and with the latest owner of their values; nobody is later than all."""
     c, nobody = F.col, F.lit(2**63 - 1)
-    rows = found
     for x in CONTACTS:
         of = owners.where(c("contact") == x).groupBy(c("value").alias(x)).agg(F.array_sort(F.collect_list(F.struct("row", "person", "name"))).alias("of"))
         before = F.filter("of", lambda o: o["row"] < c("row"))
         rows = rows.join(of, x, "left").withColumn(f"{x}_owner", F.try_element_at(before, F.lit(-1))).drop("of")
     met = F.coalesce(*(c(f"{x}_owner") for x in CONTACTS))
     newest = F.greatest(*(F.when(c(x).isNotNull(), F.coalesce(c(f"{x}_owner.person"), nobody)) for x in CONTACTS))
-    rows = rows.select("row", "unit", "name_key", *CONTACTS, met.alias("met"), newest.alias("newest"))
+    return rows.select("row", "unit", "name_key", "plain", *CONTACTS, met.alias("met"), newest.alias("newest"))
+
+
+def _settled(rows: DataFrame, makers: DataFrame, owners: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """``rows`` of the finds with (person, name, arrived, open), given who owned what and who joined which unit by a value; ``makers`` are the finds with values that may meet nobody.
+
+    ``open`` are finds with a value that nobody, or only a later person than theirs, owned: no other find can change an owner.
+    """
+    c = F.col
+    made = _met(makers, owners).where("met IS NULL AND name_key IS NOT NULL").groupBy(c("unit").alias("made_unit"), c("name_key").alias("made_name")).agg(F.min("row").alias("made"))
+    rows = _met(rows, owners).join(made, c("unit").eqNullSafe(c("made_unit")) & (c("name_key") == c("made_name")), "left")
     joined = arrivals.select(c("unit").alias("in_unit"), c("name").alias("joined_name"), c("row").alias("joined"), c("person").alias("joined_as"))
     rows = rows.join(joined, c("unit").eqNullSafe(c("in_unit")) & (c("name_key") == c("joined_name")), "left")
-    same_name = Window.partitionBy("unit", "name_key", F.when(c("name_key").isNull(), c("row")))
-    rows = rows.withColumn("first", F.min(F.when(c("met").isNull(), c("row"))).over(same_name))
+    rows = rows.withColumn("first", F.least("plain", "made"))
     known = F.coalesce(c("name_key").isNotNull() & (c("row") > F.least("first", "joined")), F.lit(False))
     person = F.when(known, F.when(c("first").isNull() | (c("joined") < c("first")), c("joined_as")).otherwise(c("first"))).when(c("met").isNotNull(), c("met.person")).otherwise(c("row"))
     name = F.when(~known & c("met").isNotNull(), c("met.name")).otherwise(c("name_key"))
@@ -276,17 +330,19 @@ def _settled(found: DataFrame, owners: DataFrame, arrivals: DataFrame) -> DataFr
 
 
 def _learned(people: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What changed: owners (contact, value, row, person, name) that are earlier persons than those before, and arrivals (unit, name, row, person), the first in a unit."""
+    """What finds gave: (contact, value, row, person, name), the first value of each kind for persons with an open find, and arrivals (unit, row, person, name), the first in a unit."""
     c = F.col
-    rows = people.where(F.coalesce(*CONTACTS).isNotNull())
-    rows = rows.join(rows.where("open").select("person").distinct(), "person", "left_semi")
+    rows = people.join(people.where("open").select("person").distinct(), "person", "left_semi")
     each = F.inline(F.array(*(F.struct(F.lit(x).alias("contact"), c(x).alias("value")) for x in CONTACTS)))
     taken = rows.select("person", "row", "name", each).where("value IS NOT NULL").groupBy("person", "contact").agg(F.min("row").alias("row"), F.min_by(F.struct("value", "name"), "row").alias("own"))
-    taken = taken.select("contact", "own.value", "row", "person", "own.name")
-    earlier = F.min("person").over(Window.partitionBy("contact", "value").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
-    owners = taken.withColumn("earlier", earlier).where("earlier IS NULL OR person < earlier").drop("earlier")
     arrivals = people.where("arrived AND name IS NOT NULL").groupBy("unit", "name").agg(F.min("row").alias("row"), F.min_by("person", "row").alias("person"))
-    return cut(owners, "owners"), cut(arrivals, "arrivals")
+    return cut(taken.select("contact", "own.value", "row", "person", "own.name"), "taken"), cut(arrivals.select("unit", "row", "person", "name"), "arrivals")
+
+
+def _owners(taken: DataFrame) -> DataFrame:
+    """Of values taken, those whose owner changes: nobody, or only later persons, took them before."""
+    earlier = F.min("person").over(Window.partitionBy("contact", "value").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
+    return cut(taken.withColumn("earlier", earlier).where("earlier IS NULL OR person < earlier").drop("earlier"), "owners")
 
 
 def filled(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:

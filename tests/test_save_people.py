@@ -58,3 +58,23 @@ def test_a_unit_that_a_person_joined_by_a_value_knows_its_name(spark):
     rows = [(1, 0, "a", "m", None, None), (2, 1, "b", "m", None, None), (3, 1, "a", None, None, None)]
     for head in (1, 100):
         assert {r.row: r.person for r in crawl.save_people(spark.createDataFrame(rows, SCHEMA), head).collect()} == plain(rows) == {1: 1, 2: 1, 3: 1}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Finds that change something are replayed by themselves: a chain of forty behind the head is not followed a find a round."""
+    rounds, learned = [], crawl._learned
+    monkeypatch.setattr(crawl, "_learned", lambda people: rounds.append(1) or learned(people))
+    rows = [(r, 0, "f", "z", None, None) for r in range(60)] + [(60, 0, "a", "m0", None, None)]
+    for i in range(1, 21):
+        rows += [(2 * i + 59, i, f"b{i}", f"m{i - 1}", f"h{i}", None), (2 * i + 60, i, f"c{i}", f"m{i}", f"h{i}", None)]
+    assert {r.row: r.person for r in crawl.save_people(spark.createDataFrame(rows, SCHEMA), 60).collect()} == plain(rows) and len(rounds) <= 4
+
+
+def test_later_finds_of_their_own_name_are_left_out(spark, monkeypatch):
+    """Once all values have owners, finds that come to a later person of their own name change nothing; the rows are the replay's all the same."""
+    live, settled = [], crawl._live
+    monkeypatch.setattr(crawl, "_live", lambda *a: live.append(settled(*a)) or live[-1])
+    rng = random.Random(4)
+    rows = [(r, r % 2, f"n{rng.randrange(120)}", f"m{r % 5}" if r % 4 == 0 else None, f"h{r % 7}" if r % 3 == 0 else None, None) for r in range(1500)]
+    assert {r.row: r.person for r in crawl.save_people(spark.createDataFrame(rows, SCHEMA), 300).collect()} == plain(rows)
+    assert 300 < live[0][1].count() < sum(r[3] is not None or r[4] is not None for r in rows)
