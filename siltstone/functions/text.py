@@ -14,11 +14,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: What counts as no value, the dots that names are decorated with, and separators.
+#: What counts as no value, the dots that names are decorated with, separators, and Unicode's spaces.
 EMPTY_VALUES = ["unknown", "未知", "暂无", "无", "null", "none", "n/a", "-", "--"]
 NAME_DOTS = "·•∙・･‧"
 MULTI_SEPARATORS = "[；;、\\n]+"
 EDGE_SIGNS = " -—–:：;；、,.，。·•"
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 CJK = "\\u3400-\\u4dbf\\u4e00-\\u9fff"
 
 
@@ -59,6 +60,16 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def plain_spaced(text: Column) -> Column:
+    """Runs of ASCII white space as one space, ends without spaces of any width; all other signs stay, as do texts that say nothing."""
+    return F.btrim(F.regexp_replace(text, r"[ \t\n\f\r]+", " "), F.lit(SPACES))
+
+
+def latin(text: Column) -> Column:
+    """en for a text with a Latin letter, else unknown."""
+    return F.when(text.rlike("[A-Za-z]"), "en").otherwise("unknown")
+
+
 def meaningful(text: Column) -> Column:
     """Collapsed text; null if nothing, only punctuation, or a word for "no value"."""
     clean = collapsed(text)

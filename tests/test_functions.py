@@ -1,9 +1,11 @@
 import uuid
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import hashing, text, urls
+from siltstone.queries import ORACLE_SQL, QUERIES
 
 
 def one(spark, value, expression, kind="string"):
@@ -121,3 +123,14 @@ def test_texts_of_very_many_parts(spark):
     for said in (text.statements(F.col("t")), text.publications(F.regexp_replace("t", ";", "；"))):
         r = rows.select(F.size(said).alias("n"), F.element_at(said, 1)["text"].alias("first"), F.element_at(said, -1)["text"].alias("last")).first()
         assert tuple(r) == (20_000, "Part 1", "PART 20000")
+
+
+def test_text_normalize_gives_its_sql_on_odd_texts(spark, tmp_path):
+    """Full width, ligatures, Han, words for "no value", signs alone, control signs, and spaces of all widths at both ends and inside."""
+    odd = [chr(c) for c in (0, 9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    texts = [None, "", " ", "--", "! !", "N/A", "none", "\u6682\u65e0", "\uff21\uff11", "\ufb01n \u00b2", "\u56fe\u5b66\u4e60", "\u56fe GNN", "\u03a9 \u212b", "e\u0301", "  a \t\r\n b  ", "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16")]
+    texts += [f"{x}{x}a{x}{x} {x}b{x}{x}" for x in odd] + [x * 3 for x in odd]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.clean, r.script) for r in QUERIES["text_normalize"](spark, str(tmp_path)).collect()}
+    sql = ORACLE_SQL["text_normalize"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert found == {i: (clean, script) for i, clean, script in duckdb.sql(sql).fetchall()} and len(found) == len(texts)
