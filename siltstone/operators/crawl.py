@@ -221,19 +221,20 @@ def save_people(found: DataFrame, head: int = HEAD) -> DataFrame:
     first = cut(first.orderBy("row").limit(head), "first")
     changes = _changes(cut(_replayed(first), "replayed"))
     if total <= head:
-        return _settled(found, valued, *changes).select("row", "person")
+        return _settled(found, valued, True, *changes).select("row", "person")
     makers, live = _live(found, valued, first, changes[0])
+    few = makers is first
     told = None
     while True:
-        people = cut(_settled(live, makers, *changes), "people")
+        people = cut(_settled(live, makers, few, *changes), "people")
         taken, arrivals = _learned(people)
         forget(people)
         after = (_owners(taken), arrivals)
         if all(x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty() for x, y in zip(after, changes, strict=True)):
-            return _settled(found, makers, *changes).select("row", "person")
+            return _settled(found, makers, few, *changes).select("row", "person")
         rows = taken.select("row").union(arrivals.select("row"))
         told = cut((rows if told is None else rows.union(told)).distinct(), "told")
-        changes = _changes(cut(_in_turn(live.join(told, "row", "left_semi")), "replayed")) if told.count() <= head else after
+        changes = _changes(cut(_in_turn(live.join(F.broadcast(told), "row", "left_semi")), "replayed")) if told.count() <= head else after
 
 
 def _live(found: DataFrame, valued: DataFrame, first: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -294,9 +295,9 @@ def _in_turn(found: DataFrame) -> DataFrame:
 
 
 def _changes(replayed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Owners and arrivals of a replay."""
+    """Owners and arrivals of a replay, sent to all tasks where they are joined: a find of at most ``HEAD`` changes four of them."""
     owned = F.col("contact").isNotNull()
-    return replayed.where(owned).drop("unit"), replayed.where(~owned).drop("contact", "value")
+    return F.broadcast(replayed.where(owned).drop("unit")), F.broadcast(replayed.where(~owned).drop("contact", "value"))
 
 
 def _met(rows: DataFrame, owners: DataFrame) -> DataFrame:
@@ -311,14 +312,14 @@ def _met(rows: DataFrame, owners: DataFrame) -> DataFrame:
     return rows.select("row", "unit", "name_key", "plain", *CONTACTS, met.alias("met"), newest.alias("newest"))
 
 
-def _settled(rows: DataFrame, makers: DataFrame, owners: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """``rows`` of the finds with (person, name, arrived, open), given who owned what and who joined which unit by a value; ``makers`` are the finds with values that may meet nobody.
+def _settled(rows: DataFrame, makers: DataFrame, few: bool, owners: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """``rows`` of the finds with (person, name, arrived, open), given who owned what and who joined which unit by a value; ``makers`` are the finds with values that may meet nobody, ``few`` if they are no more than one task replays.
 
     ``open`` are finds with a value that nobody, or only a later person than theirs, owned: no other find can change an owner.
     """
     c = F.col
     made = _met(makers, owners).where("met IS NULL AND name_key IS NOT NULL").groupBy(c("unit").alias("made_unit"), c("name_key").alias("made_name")).agg(F.min("row").alias("made"))
-    rows = _met(rows, owners).join(made, c("unit").eqNullSafe(c("made_unit")) & (c("name_key") == c("made_name")), "left")
+    rows = _met(rows, owners).join(F.broadcast(made) if few else made, c("unit").eqNullSafe(c("made_unit")) & (c("name_key") == c("made_name")), "left")
     joined = arrivals.select(c("unit").alias("in_unit"), c("name").alias("joined_name"), c("row").alias("joined"), c("person").alias("joined_as"))
     rows = rows.join(joined, c("unit").eqNullSafe(c("in_unit")) & (c("name_key") == c("joined_name")), "left")
     rows = rows.withColumn("first", F.least("plain", "made"))
